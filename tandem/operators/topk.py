@@ -41,17 +41,17 @@ from tandem.session import materialise
 BLOCK_ROWS = 4096
 SCORE_DIGITS = 9
 _TOLERANCE = 1e-7
-_SCORED = "left_id bigint, right_id bigint, score double"
 
 
-def _score_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+def _score_blocks(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = ()
+) -> DataFrame:
     """Local top-k of every (left block, right block) that share a key."""
+    schema = left.select(*by, "left_id", F.lit(0).cast("bigint").alias("right_id"), F.lit(0.0).alias("score")).schema
 
     def score(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
         if not len(lefts) or not len(rights):
-            return pd.DataFrame({"left_id": [], "right_id": [], "score": []}).astype(
-                {"left_id": "int64", "right_id": "int64", "score": "float64"}
-            )
+            return pd.DataFrame(columns=schema.names)
         rights = rights.sort_values("right_id")
         ids = rights["right_id"].to_numpy()
         scores = np.round(matrix(lefts["left_vec"]) @ matrix(rights["right_vec"]).T, SCORE_DIGITS)
@@ -66,19 +66,18 @@ def _score_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int
         first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
         place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
         row, col = row[place < k], col[place < k]
-        return pd.DataFrame(
-            {"left_id": lefts["left_id"].to_numpy()[row], "right_id": ids[col], "score": scores[row, col]}
-        )
+        found = {"left_id": lefts["left_id"].to_numpy()[row], "right_id": ids[col], "score": scores[row, col]}
+        return pd.DataFrame({**{b: lefts[b].iloc[0] for b in by}, **found})
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, _SCORED)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+def _best(scored: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    order = Window.partitionBy(*by, "left_id").orderBy(F.desc("score"), "right_id")
     return (
         scored.withColumn("cand_pos", F.row_number().over(order))
         .where(F.col("cand_pos") <= k)
-        .select("left_id", "right_id", F.col("score").alias("cosine_score"), "cand_pos")
+        .select(*by, "left_id", "right_id", F.col("score").alias("cosine_score"), "cand_pos")
     )
 
 
@@ -105,6 +104,25 @@ def _hash_blocks(left: DataFrame, right: DataFrame, lb: int, rb: int, k: int) ->
     return _score_blocks(lefts, rights, ["lb", "rb"], k)
 
 
+def _hash_blocks_by(left: DataFrame, right: DataFrame, by: Sequence[str], k: int, block_rows: int) -> DataFrame:
+    """Hash blocks within each value of ``by``; every value gets blocks for its own size."""
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
+    sizes = blocks(left, "n_lb").join(blocks(right, "n_rb"), list(by))
+
+    def cut(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
+        sized = df.join(sizes, list(by))
+        return sized.withColumn(own, F.pmod(F.xxhash64(id_col), F.col(f"n_{own}")).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))
+        ).drop("n_lb", "n_rb")
+
+    return _score_blocks(
+        cut(left, "left_id", "lb", "rb"), cut(right, "right_id", "rb", "lb"), [*by, "lb", "rb"], k, by
+    )
+
+
 def _visit(left: DataFrame, right: DataFrame, right_parts: list[int], k: int, block_rows: int) -> DataFrame:
     """Score ``left`` (array column ``cells``) against the cells it visits."""
     visits = left.select("left_id", "left_vec", F.explode("cells").alias("cell"))
@@ -155,9 +173,9 @@ def _pruned_cells(left: DataFrame, right: DataFrame, n_right: int, k: int, block
     return second.unionByName(first.select("left_id", "right_id", F.col("cosine_score").alias("score")))
 
 
-def _unit_sides(left, right, left_id, left_vec, right_id, right_vec):
-    lefts = left.select(F.col(left_id).cast("bigint").alias("left_id"), unit(left_vec).alias("left_vec"))
-    rights = right.select(F.col(right_id).cast("bigint").alias("right_id"), unit(right_vec).alias("right_vec"))
+def _unit_sides(left, right, left_id, left_vec, right_id, right_vec, by=()):
+    lefts = left.select(*by, F.col(left_id).cast("bigint").alias("left_id"), unit(left_vec).alias("left_vec"))
+    rights = right.select(*by, F.col(right_id).cast("bigint").alias("right_id"), unit(right_vec).alias("right_vec"))
     return lefts.where(F.size("left_vec") > 0), rights.where(F.size("right_vec") > 0)
 
 
@@ -170,17 +188,21 @@ def topk_cosine(
     left_vec: str = "left_vec",
     right_id: str = "right_id",
     right_vec: str = "right_vec",
+    by: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
     method: str = "auto",
 ) -> DataFrame:
     """Exact top-k: ``left_id, right_id, cosine_score, cand_pos``.
 
     ``method`` is ``blocks``, ``cells`` or ``auto`` (cells once the right side has more
-    than sixteen blocks). Rows without a vector take no part.
+    than sixteen blocks). Rows without a vector take no part. With ``by`` columns the join
+    runs within each of their values, all in one job.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    lefts, rights = _unit_sides(left, right, left_id, left_vec, right_id, right_vec)
+    lefts, rights = _unit_sides(left, right, left_id, left_vec, right_id, right_vec, by)
+    if by:
+        return _best(_hash_blocks_by(lefts, rights, by, k, block_rows), k, by)
     n_right = right.count()
     if method == "cells" or (method == "auto" and n_right > 16 * block_rows):
         return _best(_pruned_cells(lefts, rights, n_right, k, block_rows), k)
