@@ -35,6 +35,19 @@ class Judge(Protocol):
         """The model's answer to one prompt."""
 
 
+class _Buckets(dict):
+    """Bucket per term, worked out once per term and task."""
+
+    def __init__(self, width: int):
+        super().__init__()
+        self.width = width
+
+    def __missing__(self, term: str) -> int:
+        digest = hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()
+        bucket = self[term] = int(digest[:8], 16) % self.width
+        return bucket
+
+
 class HashedTermEmbedder:
     """Offline embedder: term frequencies hashed into ``width`` buckets, unit length.
 
@@ -46,18 +59,13 @@ class HashedTermEmbedder:
         self.width = width
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        token = re.compile(r"[^\W_]+")
-        buckets: dict[str, int] = {}
-        out = np.zeros((len(texts), self.width))
-        for row, text in zip(out, texts):
-            for term in token.findall(text or ""):
-                bucket = buckets.get(term)
-                if bucket is None:
-                    digest = hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()
-                    bucket = buckets[term] = int(digest[:8], 16) % self.width
-                row[bucket] += 1.0
-        lengths = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, lengths, out=out, where=lengths > 0)
+        token, buckets = re.compile(r"[^\W_]+"), _Buckets(self.width)
+        counts = np.zeros((len(texts), self.width))
+        for i, text in enumerate(texts):
+            found = [buckets[term] for term in token.findall(text or "")]
+            counts[i] = np.bincount(found, minlength=self.width) if found else 0.0
+        lengths = np.linalg.norm(counts, axis=1, keepdims=True)
+        return np.divide(counts, lengths, out=counts, where=lengths > 0)
 
 
 def embed_column(text: Column | str, embedder: Embedder, lowercase: bool = True) -> Column:
@@ -68,7 +76,9 @@ def embed_column(text: Column | str, embedder: Embedder, lowercase: bool = True)
         for batch in batches:
             yield pd.Series(list(np.asarray(embedder.embed(batch.fillna("").tolist()), dtype=np.float64)))
 
-    return embed(F.lower(as_column(text)) if lowercase else as_column(text))
+    # Not deterministic as far as the optimizer is concerned: a filter on the vector must
+    # not make it call the model a second time.
+    return embed.asNondeterministic()(F.lower(as_column(text)) if lowercase else as_column(text))
 
 
 def score_column(query: Column | str, text: Column | str, scorer: PairScorer) -> Column:
@@ -84,7 +94,7 @@ def score_column(query: Column | str, text: Column | str, scorer: PairScorer) ->
             except Exception:  # any model failure means "no score"
                 yield pd.Series([None] * len(queries), dtype="float64")
 
-    return score(as_column(query), as_column(text))
+    return score.asNondeterministic()(as_column(query), as_column(text))
 
 
 def overlap_score(query: Column | str, text: Column | str) -> Column:
