@@ -75,7 +75,7 @@ def substring_topk(
     )
     candidates = chosen.select("query_id", "query_text", "gram").join(have, "gram").drop("gram")
     pattern = F.concat(F.lit("%"), F.col("query_text"), F.lit("%"))
-    whole = reduce(or_, [F.coalesce(quoted(t).ilike(F.col("__pattern")), F.lit(False)) for t in texts])
+    whole = reduce(or_, [F.coalesce(F.ilike(quoted(t), F.col("__pattern")), F.lit(False)) for t in texts])
     verified = (
         candidates.withColumn("__pattern", pattern)
         .join(records.select(F.col(id_col).alias("id"), *[quoted(t) for t in texts]), "id")

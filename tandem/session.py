@@ -43,6 +43,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared folder."""
+    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
@@ -50,6 +55,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     real file sizes to choose its strategy from.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

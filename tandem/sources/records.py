@@ -115,7 +115,7 @@ def write_matches(matches: DataFrame, path: str, run_column: str = "run_id") ->
 
 def read_question_set(spark, path: str) -> DataFrame:
     """Question set from CSV with a header: ``question, ground_truth``, trimmed, none empty."""
-    raw = spark.read.csv(path, header=True, escape='"', quote='"', multiLine=False)
+    raw = spark.read.csv(path, header=True, quote='"', escape='"')
     return clean_question_set(raw)
 
 
