@@ -1 +1,317 @@
-"""Queries."""
+"""Record matching: candidates, rerank, judge, ranking, whole runs."""
+
+from __future__ import annotations
+
+import json
+import re
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from queryset import register
+from queryset.inputs import spread, table
+from queryset.retrieval import DOCS, QUERIES, TOKENS, VECTORS, WIDTH, jaccard_sql
+from tandem.functions.cells import contextual_content
+from tandem.functions.scores import legacy_final_score, score_band
+from tandem.models import HashedTermEmbedder
+from tandem.operators import judge as judging
+from tandem.operators import matching, topk
+from tandem.plans import compare as plan
+from tandem.session import scratch_path
+from tandem.sources.records import write_matches
+
+# --- vectors on both sides (the same table, as when a workbook is matched with itself) ----
+
+
+def vector_records(spark, sf_dir) -> DataFrame:
+    vecs = table(spark, sf_dir, "embeddings")
+    side = F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side")
+    return vecs.select(side, F.col("vec_id").alias("original_row"), "label", "embedding").select(
+        (F.col("original_row") * 2 + F.when(F.col("side") == "left", 0).otherwise(1)).alias("id"),
+        "side", "original_row", F.concat(F.lit("job"), F.col("label")).alias("job_id"),
+        F.concat(F.lit("label "), F.col("label")).alias("contextual_content"), "embedding",
+    )
+
+
+def pairs_sql(k: int, by: str = "") -> str:
+    """Top-k vector pairs as a common table expression ``pairs``."""
+    score = "round(list_cosine_similarity(l.embedding::double[], r.embedding::double[]), 9)"
+    on = f"l.{by} = r.{by}" if by else "true"
+    return f"""pairs as (select 2 * l.vec_id as left_id, 2 * r.vec_id + 1 as right_id, l.label, {score} as cosine,
+        row_number() over (partition by l.vec_id order by {score} desc, r.vec_id) as pos
+        from embeddings l join embeddings r on {on} qualify pos <= {k})"""
+
+
+_BAND = "case when cosine >= 0.85 then 'match' when cosine >= 0.60 then 'review' else 'weak' end"
+
+
+@register(f"""with {pairs_sql(3)} select left_id, right_id, round(cosine, 6) as cosine_score, round(cosine, 6) as final_score,
+    pos::int as rank, {_BAND} as band from pairs""")
+def compare_vector_run(spark, sf_dir):
+    run = plan.run_compare(vector_records(spark, sf_dir), plan.RunConfig(top_k=3))
+    return run.matches.select(
+        "left_id", "right_id", F.round("cosine_score", 6).alias("cosine_score"), F.round("final_score", 6).alias("final_score"),
+        "rank", score_band("final_score").alias("band"),
+    )
+
+
+@register(f"with {pairs_sql(10)} select left_id, right_id, round(cosine, 6) as cosine_score, pos::int as cand_pos from pairs")
+def topk_cosine_cells(spark, sf_dir):
+    """The exact join through pruned cells."""
+    recs = vector_records(spark, sf_dir)
+    found = matching.vector_candidates(
+        matching.side_of(recs, "left"), matching.side_of(recs, "right"), 10, method="cells", block_rows=128
+    )
+    return found.withColumn("cosine_score", F.round("cosine_score", 6))
+
+
+@register(f"with {pairs_sql(10)} select left_id, right_id, round(cosine, 6) as cosine_score, pos::int as cand_pos from pairs")
+def topk_cosine_blocks(spark, sf_dir):
+    """The exact join through hash blocks."""
+    recs = vector_records(spark, sf_dir)
+    found = matching.vector_candidates(
+        matching.side_of(recs, "left"), matching.side_of(recs, "right"), 10, method="blocks", block_rows=200
+    )
+    return found.withColumn("cosine_score", F.round("cosine_score", 6))
+
+
+@register(f"""with {pairs_sql(3, "label")} select 'job' || label as job_id, left_id, right_id, round(cosine, 6) as cosine_score,
+    pos::int as rank from pairs""")
+def many_jobs(spark, sf_dir):
+    matches = plan.run_many(vector_records(spark, sf_dir), plan.RunConfig(top_k=3))
+    return matches.select("job_id", "left_id", "right_id", F.round("cosine_score", 6).alias("cosine_score"), "rank")
+
+
+@register(f"with {pairs_sql(3)} select 7 as run_id, left_id, right_id, round(cosine, 6) as final_score, pos::int as rank from pairs "
+          f"union all select 8, left_id, right_id, round(cosine, 6), pos::int from pairs where pos <= 2")
+def match_sink(spark, sf_dir):
+    """Two runs stored; the first is written twice and still stands once."""
+    recs, path = vector_records(spark, sf_dir), scratch_path(spark, "matches")
+    for run_id, k in ((7, 3), (8, 2), (7, 3)):
+        write_matches(plan.run_compare(recs, plan.RunConfig(top_k=k)).matches.withColumn("run_id", F.lit(run_id)), path)
+    stored = spark.read.parquet(path)
+    return stored.select("run_id", "left_id", "right_id", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+@register(f"""with {pairs_sql(3)} select count(*) as candidate_pairs, count(distinct left_id) as left_rows, null::bigint as judge_pairs,
+    null::bigint as judge_requests, null::bigint as judge_unparsed, null::int as judge_max_tokens, count(*) as matches_written from pairs""")
+def run_metrics(spark, sf_dir):
+    return plan.run_compare(vector_records(spark, sf_dir), plan.RunConfig(top_k=3)).metrics()
+
+
+@register(f"""with {pairs_sql(2)} select left_id, right_id, pos::int as rank from pairs where left_id in
+    (select 2 * vec_id from embeddings order by vec_id limit 25)""")
+def trial_run(spark, sf_dir):
+    """A run over the first 25 left rows."""
+    run = plan.run_compare(vector_records(spark, sf_dir), plan.RunConfig(top_k=2, max_left_rows=25))
+    return run.matches.select("left_id", "right_id", "rank")
+
+
+# --- passages against documents ----------------------------------------------------------------
+
+
+def passage_records(spark, sf_dir, embedded: bool = True) -> DataFrame:
+    """benchmark on the left, documents on the right."""
+    left = table(spark, sf_dir, "benchmark").select(
+        F.lit("left").alias("side"), F.col("item_id").alias("original_row"), F.col("text").alias("contextual_content"))
+    docs = table(spark, sf_dir, "documents")
+    right = docs.select(
+        F.lit("right").alias("side"), F.col("doc_id").alias("original_row"),
+        contextual_content(["lang"], "text", F.col("source")).alias("contextual_content"))
+    both = left.unionByName(right).select(
+        (F.col("original_row") * 2 + F.when(F.col("side") == "left", 0).otherwise(1)).alias("id"), "*")
+    return plan.embed_records(spread(both), HashedTermEmbedder(WIDTH)) if embedded else both
+
+
+def _passages_sql(k: int) -> str:
+    return f"""{DOCS}, {QUERIES}, {VECTORS.replace("qualify rank <= 50", f"qualify rank <= {k}")},
+        pairs as (select 2 * query_id as left_id, 2 * id + 1 as right_id, query_id, id, query_text, content, cosine, rank as pos
+            from vec join docs using (id) join queries using (query_id))"""
+
+
+@register(f"""with {_passages_sql(10)} select left_id, right_id, round(cosine, 4) as cosine_score, round(rr, 6) as rerank_score,
+    (row_number() over (partition by left_id order by rr desc, pos))::int as rank
+    from (select *, {jaccard_sql("query_text", "content")} as rr from pairs)""")
+def compare_reranked_run(spark, sf_dir):
+    run = plan.run_compare(passage_records(spark, sf_dir), plan.RunConfig(top_k=10, reranker_enabled=True))
+    return run.matches.select(
+        "left_id", "right_id", F.round("cosine_score", 4).alias("cosine_score"), F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
+class LengthJudge:
+    """Stands in for a model: scores a candidate by its length, in several reply forms."""
+
+    def reply(self, system_prompt: str, prompt: str, max_tokens: int) -> str:
+        body = prompt.split("\n\n--- Candidate 1 ---\n", 1)[1]
+        texts = re.split(r"\n\n--- Candidate \d+ ---\n", body)
+        slots = [{"score": len(t) % 101 / 100, "reason": f"{len(t)} characters"} for t in texts]
+        return "```json\n" + json.dumps(slots) + "\n```"
+
+
+_JUDGED = "(length(content) % 101) / 100.0"
+
+
+@register(f"""with {_passages_sql(5)} select left_id, right_id, round(cosine, 4) as cosine_score, judge_score,
+    length(content)::varchar || ' characters' as reason, judge_score as final_score,
+    (row_number() over (partition by left_id order by judge_score desc, pos))::int as rank
+    from (select *, {_JUDGED}::double as judge_score from pairs)""")
+def compare_judged_run(spark, sf_dir):
+    run = plan.run_compare(
+        passage_records(spark, sf_dir), plan.RunConfig(top_k=5, reranker_enabled=True, judge_enabled=True), judge=LengthJudge())
+    return run.matches.select(
+        "left_id", "right_id", F.round("cosine_score", 4).alias("cosine_score"), "judge_score",
+        F.col("judge_meta")["reason"].alias("reason"), "final_score", "rank")
+
+
+_FIRST_RIGHTS = "(select doc_id, '[sheet] ' || source || ' | [lang] ' || lang || ' | [text] ' || text as content from documents order by doc_id limit 100)"
+
+
+@register(f"""select 2 * item_id as left_id, 2 * doc_id + 1 as right_id, 0.0::double as cosine_score, {_JUDGED}::double as final_score,
+    (row_number() over (partition by item_id order by {_JUDGED} desc, doc_id))::int as rank
+    from benchmark, {_FIRST_RIGHTS} qualify rank <= 10""")
+def compare_without_vectors(spark, sf_dir):
+    """Judge alone: every left row with the first hundred right rows."""
+    run = plan.run_compare(
+        passage_records(spark, sf_dir, embedded=False), plan.RunConfig(vector_enabled=False, judge_enabled=True), judge=LengthJudge())
+    return run.matches.select("left_id", "right_id", "cosine_score", "final_score", "rank")
+
+
+@register(f"""select count(*) as candidate_pairs, count(distinct item_id) as left_rows, count(*) as judge_pairs,
+    count(distinct item_id) as judge_requests, 0 as judge_unparsed, 8192 as judge_max_tokens, 10 * count(distinct item_id) as matches_written
+    from benchmark, {_FIRST_RIGHTS}""")
+def run_metrics_judged(spark, sf_dir):
+    run = plan.run_compare(
+        passage_records(spark, sf_dir, embedded=False), plan.RunConfig(vector_enabled=False, judge_enabled=True), judge=LengthJudge())
+    return run.metrics()
+
+
+@register(f"""select 2 * item_id as left_id, 2 * doc_id + 1 as right_id, 0.0::double as cosine_score,
+    (row_number() over (partition by item_id order by doc_id))::int as cand_pos from benchmark, {_FIRST_RIGHTS}""")
+def capped_candidates(spark, sf_dir):
+    recs = passage_records(spark, sf_dir, embedded=False)
+    return matching.capped_candidates(matching.side_of(recs, "left"), matching.side_of(recs, "right"))
+
+
+@register("select least(count(*), 500) as rights_loaded, count(*) as rights_total, count(*) > 500 as truncated from documents")
+def capped_rights_report(spark, sf_dir):
+    return matching.capped_rights_report(matching.side_of(passage_records(spark, sf_dir, embedded=False), "right"), 9999)
+
+
+@register(f"""with {_passages_sql(3)} select left_id, count(*)::int as n_candidates, 'Reference:' || chr(10) || any_value(query_text) || chr(10) || chr(10)
+    || string_agg('--- Candidate ' || pos || ' ---' || chr(10) || content, chr(10) || chr(10) order by pos) as prompt, 2048 as max_tokens
+    from pairs group by left_id""")
+def judge_prompts(spark, sf_dir):
+    recs = passage_records(spark, sf_dir)
+    pairs = matching.vector_candidates(matching.side_of(recs, "left"), matching.side_of(recs, "right"), 3)
+    return judging.judge_prompts(pairs, judging.judge_texts(recs, recs)).select("left_id", "n_candidates", "prompt", "max_tokens")
+
+
+@register(f"""with {_passages_sql(4)}, old as (select *, (row_number() over (partition by left_id order by cosine desc, pos))::int as rank from pairs),
+    chosen as (select left_id from old where rank = 1 and cosine < 0.8)
+    select left_id, right_id, round(cosine, 4) as final_score, rank from old where left_id not in (select left_id from chosen)
+    union all select left_id, right_id, round(js, 4), (row_number() over (partition by left_id order by js desc, rank))::int from
+        (select *, {_JUDGED}::double as js from old where left_id in (select left_id from chosen))""")
+def rejudge_lefts(spark, sf_dir):
+    """Judge again the left rows whose best cosine is under 0.8."""
+    from tandem.session import materialise
+
+    recs = materialise(passage_records(spark, sf_dir), "records")
+    stored = materialise(plan.run_compare(recs, plan.RunConfig(top_k=4)).matches, "matches")
+    chosen = stored.where((F.col("rank") == 1) & (F.col("final_score") < 0.8)).select("left_id")
+    fresh = plan.rejudge(stored, chosen, recs, plan.RunConfig(top_k=4, judge_enabled=True), LengthJudge())
+    return fresh.select("left_id", "right_id", F.round("final_score", 4).alias("final_score"), "rank")
+
+
+@register("""select 2 * item_id as id, '[sheet] benchmark | [item_id] ' || item_id || ' | [n_chars] ' || length(text) as text from benchmark
+    union all select 2 * doc_id + 1, '[sheet] ' || source || ' | [lang] ' || lang || ' | [text] ' || text from documents""")
+def judge_text_override(spark, sf_dir):
+    """The judge sees other columns on the left, the stored text on the right."""
+    recs = passage_records(spark, sf_dir, embedded=False)
+    rows = table(spark, sf_dir, "benchmark").select(
+        F.lit("left").alias("side"), F.col("item_id").alias("original_row"), F.lit("benchmark").alias("sheet_name"),
+        "item_id", F.length("text").alias("n_chars"))
+    return judging.judge_texts(recs, rows, left_columns=["item_id", "n_chars"])
+
+
+# --- scores and replies from order lines ----------------------------------------------------------
+
+_LINES = """lines as (select l_orderkey, l_linenumber, l_discount * 12 - 0.1 as rr, l_tax * 10 as cos,
+    case when l_linenumber % 3 = 0 then l_quantity / 50 end as js from lineitem)"""
+
+
+def order_lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_discount") * 12 - 0.1).alias("rr"), (F.col("l_tax") * 10).alias("cos"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.col("l_quantity") / 50).alias("js"))
+
+
+@register(f"""with {_LINES} select l_orderkey, l_linenumber, round(coalesce(js, case when l_linenumber % 3 = 1 then rr end, cos, 0.0), 6) as final_score,
+    count(*) as n from lines group by all""")
+def final_score(spark, sf_dir):
+    from tandem.functions.scores import final_score as score
+
+    rerank = F.when(F.col("l_linenumber") % 3 == 1, F.col("rr"))
+    scored = order_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(score("js", rerank, "cos"), 6).alias("final_score"))
+    return scored.groupBy("l_orderkey", "l_linenumber", "final_score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"""with {_LINES} select l_orderkey, l_linenumber, round(case when rr >= 0 and rr <= 1 then rr else coalesce(cos, 0) end, 6) as final_score,
+    count(*) as n from lines group by all""")
+def final_score_legacy(spark, sf_dir):
+    scored = order_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(legacy_final_score("rr", "cos"), 6).alias("final_score"))
+    return scored.groupBy("l_orderkey", "l_linenumber", "final_score").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"""with {_LINES} select case when rr >= 0.85 then 'match' when rr >= 0.60 then 'review' else 'weak' end as band, count(*) as n
+    from lines group by 1""")
+def score_bands(spark, sf_dir):
+    return order_lines(spark, sf_dir).groupBy(score_band("rr").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("select l_orderkey, n, least(8192, greatest(2048, 258 + 128 * n))::int as budget from (select l_orderkey, 4 * count(*) as n from lineitem group by 1)")
+def judge_budget(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((4 * F.count(F.lit(1))).alias("n"))
+    return n.select("l_orderkey", "n", judging.completion_budget("n").alias("budget"))
+
+
+@register("""with slots as (select l_orderkey, count(*) over (partition by l_orderkey) as n, l_discount * 20 as raw, l_shipdate::varchar as day,
+        row_number() over (partition by l_orderkey order by l_linenumber, l_discount, l_shipdate) as pos from lineitem)
+    select l_orderkey, pos::int as pos, case
+        when l_orderkey % 6 in (0, 1, 2) or (l_orderkey % 6 = 3 and pos = 1) or (l_orderkey % 6 = 5 and n = 1)
+            then round(least(1.0, greatest(0.0, raw)), 6) end as score,
+        case when l_orderkey % 6 in (0, 1) then day end as reason from slots""")
+def judge_parse(spark, sf_dir):
+    """Replies in six forms, one per order: array, fenced array, wrapped numbers, short
+    array, broken text, single object."""
+    slot = F.struct(
+        "l_linenumber", "l_discount", F.col("l_shipdate").cast("string").alias("day"), (F.col("l_discount") * 20).alias("raw"))
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(slot)).alias("s"))
+    objects = F.to_json(F.transform("s", lambda x: F.struct(x["raw"].alias("score"), x["day"].alias("reason"))))
+    numbers = F.to_json(F.transform("s", lambda x: x["raw"]))
+    form = F.col("l_orderkey") % 6
+    reply = (
+        F.when(form == 0, objects)
+        .when(form == 1, F.concat(F.lit(" ```JSON\n"), objects, F.lit("\n```\n")))
+        .when(form == 2, F.concat(F.lit('{"scores":'), numbers, F.lit("}")))
+        .when(form == 3, F.to_json(F.transform(F.slice("s", 1, 1), lambda x: x["raw"])))
+        .when(form == 4, F.concat(F.lit("["), objects))
+        .otherwise(F.concat(F.lit('{"score":'), F.col("s")[0]["raw"].cast("string"), F.lit("}")))
+    )
+    slots = orders.select("l_orderkey", F.posexplode(judging.parsed_slots(reply, F.size("s"))).alias("pos", "slot"))
+    return slots.select(
+        "l_orderkey", (F.col("pos") + 1).alias("pos"), F.round("slot.score", 6).alias("score"),
+        F.col("slot.meta")["reason"].alias("reason"))
+
+
+@register("""select event_id, round(value % 1, 4) as score, json_extract_string(props, '$.k') as k, 'true' as flag,
+    2001 as note_length, 3 as members from events""")
+def judge_meta(spark, sf_dir):
+    """Members beside the score: number, boolean and over-long text kept, nested ones dropped."""
+    reply = F.concat(
+        F.lit('{"score":'), F.round(F.col("value") % 1, 4).cast("string"), F.lit(',"flag":true,"list":[1],"k":'),
+        F.get_json_object("props", "$.k"), F.lit(',"note":"'), F.repeat(F.lit("x"), 2500), F.lit('"}'))
+    slots = table(spark, sf_dir, "events").select("event_id", judging.parsed_slots(reply, F.lit(1))[0].alias("slot"))
+    meta = F.col("slot.meta")
+    return slots.select(
+        "event_id", F.round("slot.score", 4).alias("score"), meta["k"].alias("k"), meta["flag"].alias("flag"),
+        F.length(meta["note"]).alias("note_length"), F.size(meta).alias("members"))

@@ -1 +1,52 @@
-"""Queries."""
+"""Stream forms, run to the end of what the given tables hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from queryset import register
+from queryset.inputs import table
+from queryset.retrieval import DOCS, QUERIES, index_sql
+from tandem.models import HashedTermEmbedder
+from tandem.session import scratch_path
+from tandem.streaming import decisions as stream_dec
+from tandem.streaming import ingest
+
+OUTCOME = "case event_type when 'signup' then 'no_match' when 'click' then 'partial' when 'error' then 'fail' end"
+
+
+def stream_of(spark, sf_dir, name):
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+@register(f"""select left_id, seq, outcome from (select 2 * user_id as left_id, event_id as seq, {OUTCOME} as outcome, event_id % 11 = 0 as deleted
+    from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where not deleted""")
+def stream_decisions(spark, sf_dir):
+    outcome = F.when(F.col("event_type") == "signup", "no_match").when(F.col("event_type") == "click", "partial").when(
+        F.col("event_type") == "error", "fail")
+    log = stream_of(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), (F.col("user_id") * 2).alias("left_id"), F.col("ts").alias("decided_at"),
+        outcome.alias("review_outcome"), (F.col("event_id") % 11 == 0).alias("deleted"))
+    path = scratch_path(spark, "decision-stream")
+    stream_dec.start_decisions(log, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+    return stream_dec.read_current(spark, f"{path}/log").select("left_id", "seq", F.col("review_outcome").alias("outcome"))
+
+
+def _ingested(spark, sf_dir):
+    rows = stream_of(spark, sf_dir, "documents").withColumnRenamed("source", "sheet_name")
+    stream = ingest.record_stream(rows, "doc_id", ["lang"], ["lang"], "text", HashedTermEmbedder(64))
+    path = scratch_path(spark, "record-stream")
+    ingest.start_ingest(stream, path, f"{path}/checkpoint", analyzer="simple").awaitTermination()
+    return path
+
+
+@register(f"with {DOCS} select id, source as sheet_name, lang as col_lang, content as contextual_content, 64 as width from docs")
+def stream_ingest(spark, sf_dir):
+    records = ingest.read_ingested(spark, _ingested(spark, sf_dir), "records")
+    return records.select("id", "sheet_name", "col_lang", "contextual_content", F.size("embedding").alias("width"))
+
+
+@register(f"with {DOCS}, {QUERIES}, {index_sql()} select id, term, tf from postings")
+def stream_postings(spark, sf_dir):
+    return ingest.read_ingested(spark, _ingested(spark, sf_dir), "postings").select("id", "term", "tf")

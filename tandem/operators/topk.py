@@ -174,8 +174,9 @@ def _pruned_cells(left: DataFrame, right: DataFrame, n_right: int, k: int, block
 
 
 def _unit_sides(left, right, left_id, left_vec, right_id, right_vec, by=()):
-    lefts = left.select(*by, F.col(left_id).cast("bigint").alias("left_id"), unit(left_vec).alias("left_vec"))
-    rights = right.select(*by, F.col(right_id).cast("bigint").alias("right_id"), unit(right_vec).alias("right_vec"))
+    keys = [F.col(b).alias(b) for b in by]
+    lefts = left.select(*keys, F.col(left_id).cast("bigint").alias("left_id"), unit(left_vec).alias("left_vec"))
+    rights = right.select(*keys, F.col(right_id).cast("bigint").alias("right_id"), unit(right_vec).alias("right_vec"))
     return lefts.where(F.size("left_vec") > 0), rights.where(F.size("right_vec") > 0)
 
 
