@@ -120,7 +120,7 @@ def passage_records(spark, sf_dir, embedded: bool = True) -> DataFrame:
         contextual_content(["lang"], "text", F.col("source")).alias("contextual_content"))
     both = left.unionByName(right).select(
         (F.col("original_row") * 2 + F.when(F.col("side") == "left", 0).otherwise(1)).alias("id"), "*")
-    return plan.embed_records(spread(both), HashedTermEmbedder(WIDTH)) if embedded else both
+    return plan.embed_records(spread(both, "id"), HashedTermEmbedder(WIDTH)) if embedded else both
 
 
 def _passages_sql(k: int) -> str:

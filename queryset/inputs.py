@@ -13,7 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for per-row work on an input that arrives in fewer partitions."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core for per-row work on an input that arrives in fewer partitions (these
+    files hold one row group each, so the other partitions of a scan are empty)."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+    return df.repartition(slots, key)

@@ -299,7 +299,7 @@ def question_set(spark, sf_dir):
         select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) group by 1, 2)""")
 def hashed_embedding(spark, sf_dir):
     """The built-in embedder; non-zero entries only."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     vecs = docs.select("doc_id", embed_column("text", HashedTermEmbedder(256)).alias("v"))
     entries = vecs.select("doc_id", F.posexplode("v").alias("bucket", "value")).where(F.col("value") > 0)
     return entries.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("value", 6).alias("value"))

@@ -32,7 +32,7 @@ def document_records(spark, sf_dir) -> DataFrame:
 
 
 def embedded_documents(spark, sf_dir) -> DataFrame:
-    docs = spread(document_records(spark, sf_dir))
+    docs = spread(document_records(spark, sf_dir), "id")
     return docs.withColumn("embedding", embed_column("contextual_content", HashedTermEmbedder(WIDTH)))
 
 
@@ -154,7 +154,7 @@ def id_search_single(spark, sf_dir):
 @register(f"""with {DOCS} select item_id as query_id, id, row_number() over (partition by item_id order by id)::int as rank
     from benchmark join docs on content ilike '%' || text || '%' or source ilike '%' || text || '%' qualify rank <= 5""")
 def ilike_search(spark, sf_dir):
-    docs = spread(document_records(spark, sf_dir))
+    docs = spread(document_records(spark, sf_dir), "id")
     return plan.search(
         "legacy", docs, benchmark_queries(spark, sf_dir), k=5, id_column="source", legacy_method="ilike"
     )
@@ -164,16 +164,16 @@ def ilike_search(spark, sf_dir):
 
 
 def _documents_index(spark, sf_dir, analyzer="simple"):
-    return keyword.KeywordIndex.build(spread(document_records(spark, sf_dir)), analyzer=analyzer)
+    return keyword.KeywordIndex.build(spread(document_records(spark, sf_dir), "id"), analyzer=analyzer).written()
 
 
 def _parts_index(spark, sf_dir, analyzer="simple"):
-    return keyword.KeywordIndex.build(part_records(spark, sf_dir), analyzer=analyzer)
+    return keyword.KeywordIndex.build(part_records(spark, sf_dir), analyzer=analyzer).written()
 
 
 @register(f"with {DOCS}, {QUERIES}, {index_sql()} select id, term, tf from postings")
 def postings(spark, sf_dir):
-    return keyword.build_postings(spread(document_records(spark, sf_dir)), analyzer="simple")
+    return keyword.build_postings(spread(document_records(spark, sf_dir), "id"), analyzer="simple")
 
 
 @register(f"""with {PARTS}, english as (select id, term, count(*) as tf from
@@ -190,7 +190,7 @@ def postings_with_id(spark, sf_dir):
 def postings_english(spark, sf_dir):
     """Stemmed postings, saved and loaded. The stemmer is checked against its published
     vocabulary in the unit tests."""
-    index = keyword.KeywordIndex.build(spread(document_records(spark, sf_dir)), id_text="source")
+    index = keyword.KeywordIndex.build(spread(document_records(spark, sf_dir), "id"), id_text="source")
     path = scratch_path(spark, "index")
     index.save(path)
     return keyword.KeywordIndex.load(spark, path).postings
@@ -202,7 +202,7 @@ def stem_properties(spark, sf_dir):
     """Stemming keeps token counts and never lengthens a token by more than its final e."""
     from tandem.functions.text import tokens
 
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("t")))
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", tokens("text").alias("t"))
     counted = docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("t")).alias("tokens"))
     terms = docs.select(F.explode("t").alias("term")).distinct()
     longer = terms.agg(F.count_if(F.length(english_stem("term")) > F.length("term") + 1).alias("longer"))
@@ -253,7 +253,7 @@ def cosine_similarity(spark, sf_dir):
     """Cosine as a column expression, for vectors with the same label."""
     from tandem.functions.vectors import cosine
 
-    a = spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("a_id"), "label", F.col("embedding").alias("a"))
+    a = spread(table(spark, sf_dir, "embeddings"), "vec_id").select(F.col("vec_id").alias("a_id"), "label", F.col("embedding").alias("a"))
     b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("b_id"), "label", F.col("embedding").alias("b"))
     return a.join(b, "label").select("a_id", "b_id", F.round(cosine("a", "b"), 6).alias("cosine"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queryset import register
-from queryset.inputs import table
+from queryset.inputs import spread, table
 from queryset.retrieval import DOCS, QUERIES, index_sql
 from tandem.models import HashedTermEmbedder
 from tandem.session import scratch_path
@@ -34,7 +34,7 @@ def stream_decisions(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir):
-    rows = stream_of(spark, sf_dir, "documents").withColumnRenamed("source", "sheet_name")
+    rows = spread(stream_of(spark, sf_dir, "documents").withColumnRenamed("source", "sheet_name"), "doc_id")
     stream = ingest.record_stream(rows, "doc_id", ["lang"], ["lang"], "text", HashedTermEmbedder(64))
     path = scratch_path(spark, "record-stream")
     ingest.start_ingest(stream, path, f"{path}/checkpoint", analyzer="simple").awaitTermination()

@@ -35,11 +35,15 @@ def is_stop_word(term: Column | str) -> Column:
     return as_column(term).isin(STOP_WORDS)
 
 
+def distinct_tokens(text: Column | str) -> Column:
+    return F.array_distinct(tokens(text))
+
+
 def token_jaccard(a: Column | str, b: Column | str) -> Column:
-    """Shared over all distinct tokens of two token arrays; 0 when both are empty."""
-    left, right = as_column(a), as_column(b)
-    union = F.size(F.array_union(left, right))
-    return F.when(union > 0, F.size(F.array_intersect(left, right)) / union).otherwise(F.lit(0.0))
+    """Shared over all tokens of two arrays of distinct tokens; 0 when both are empty."""
+    shared = F.size(F.array_intersect(as_column(a), as_column(b)))
+    counts = F.array(F.struct(shared.alias("s"), (F.size(as_column(a)) + F.size(as_column(b))).alias("n")))
+    return F.transform(counts, lambda c: F.when(c["n"] > 0, c["s"] / (c["n"] - c["s"])).otherwise(F.lit(0.0)))[0]
 
 
 # --- English stemmer: the published Porter2 algorithm as one CASE per step ---------------

@@ -10,12 +10,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tandem.functions.cells import as_column
-from tandem.functions.text import token_jaccard, tokens
+from tandem.functions.text import distinct_tokens, token_jaccard
 
 
 class Embedder(Protocol):
@@ -97,9 +97,11 @@ def score_column(query: Column | str, text: Column | str, scorer: PairScorer) ->
     return score.asNondeterministic()(as_column(query), as_column(text))
 
 
-def overlap_score(query: Column | str, text: Column | str) -> Column:
-    """Built-in pair scorer: token overlap, entirely on the JVM."""
-    return token_jaccard(tokens(query), tokens(text))
+def overlap_score(pairs: DataFrame, query: str, text: str, name: str) -> DataFrame:
+    """Built-in pair scorer: token overlap, entirely on the JVM. Each text of a pair is
+    split into tokens once."""
+    split = pairs.withColumns({"__q": distinct_tokens(query), "__t": distinct_tokens(text)})
+    return split.withColumn(name, token_jaccard("__q", "__t")).drop("__q", "__t")
 
 
 class Throttle:

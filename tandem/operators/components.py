@@ -65,20 +65,24 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         .distinct(),
         "edges",
     )
-    previous = None
     for _ in range(max_rounds):
-        # Order-free fingerprint of the edge set: one row.
-        mark = current.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.bit_xor(F.xxhash64("u", "v")).alias("mixed"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("total"),
+        # One row: the edges, and the nodes that still keep them from being stars, that is
+        # nodes with two edges up or with edges both up and down.
+        roles = current.select(
+            F.inline(F.array(
+                F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+            ))
+        )
+        per_node = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        state = per_node.agg(
+            F.coalesce(F.sum("up"), F.lit(0)).alias("edges"),
+            F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).alias("unsettled"),
         ).head()
-        if previous == mark:
-            # Stars: every node but the root has exactly one edge, to its root.
+        if state["unsettled"] == 0:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        previous = mark
-        n = mark["n"]
+        n = state["edges"]
         current = materialise(_small_star(_large_star(current, n), n), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -70,14 +70,9 @@ def _local_groups(near: np.ndarray) -> np.ndarray:
         label = updated
 
 
-def _blocks(cells: DataFrame, counts: dict[int, int], n_cells: int, block_rows: int, slots: int):
+def _blocks(cells: DataFrame, inner_parts: list[int], outer_parts: list[int]):
     """Inner and outer sides of every cell, cut into sub-blocks; ``cells`` has the home
     ``cell`` and the array ``cells`` of cells to meet."""
-    visits = cells.select(F.explode("cells").alias("c")).groupBy("c").count().collect()
-    outer_counts = {r[0]: r[1] for r in visits}
-    rows = min(block_rows, max(256, sum(counts.values()) // max(1, slots)))
-    inner_parts = parts_for(counts, n_cells, rows)
-    outer_parts = parts_for(outer_counts, n_cells, block_rows)
     at = F.col("at")
     point = ["id", "vec", "weight", "core"]
     inner = (
@@ -186,7 +181,12 @@ def dbscan(
     cells = materialise(to_cells(homes, "vec", meets, pivots), "dbscan-cells")
     in_dense = F.col("cell").isin([int(c) for c in dense]) if dense else F.lit(False)
     flagged = cells.withColumn("core", in_dense)
-    inner, outer = _blocks(flagged, counts, n_cells, block_rows, slots)
+    visits = cells.select(F.explode("cells").alias("c")).groupBy("c").count().collect()
+    # At most block_rows rows per block, and work for every core when the input is small.
+    inner_rows = min(block_rows, max(256, n_points // max(1, slots)))
+    inner_parts = parts_for(counts, n_cells, inner_rows)
+    outer_parts = parts_for({r[0]: r[1] for r in visits}, n_cells, block_rows)
+    inner, outer = _blocks(flagged, inner_parts, outer_parts)
     degrees = _degrees(inner.where(~F.col("core")), outer, eps)
     with_core = materialise(
         flagged.join(degrees, "id", "left").withColumn(
@@ -194,7 +194,7 @@ def dbscan(
         ),
         "dbscan-cores",
     )
-    inner, outer = _blocks(with_core, counts, n_cells, block_rows, slots)
+    inner, outer = _blocks(with_core, inner_parts, outer_parts)
     links = materialise(_links(inner, outer, eps), "dbscan-links")
     first_of_cell = with_core.where(in_dense).groupBy("cell").agg(F.min("id").alias("v"))
     spokes = with_core.where(in_dense).join(F.broadcast(first_of_cell), "cell").select(F.col("id").alias("u"), "v")

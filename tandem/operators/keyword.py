@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.cells import as_column
 from tandem.functions.text import ANALYZERS, english_stem, is_stop_word, tokens
+from tandem.session import materialise
 
 # Candidates kept per retriever, and the published BM25 parameters.
 POOL = 50
@@ -72,6 +73,11 @@ class KeywordIndex:
         postings = build_postings(records, id_col, content, id_text, analyzer)
         return cls(postings, lengths_of(postings), analyzer)
 
+    def written(self) -> KeywordIndex:
+        """The index as tables in the shared folder: built once for all that follows."""
+        postings = materialise(self.postings, "postings")
+        return KeywordIndex(postings, materialise(lengths_of(postings), "lengths"), self.analyzer)
+
     def save(self, path: str) -> None:
         """Postings sorted by term, so a reader skips the files and row groups without the
         terms asked for; lengths beside them."""
@@ -105,7 +111,8 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
 def _matched_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of every (query, record) pair that holds all terms of the query:
     ``query_id, id, term, tf, df``. A query without terms matches nothing."""
-    asked = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    # The posting lists asked for, read from the index once and used three times.
+    asked = materialise(postings.join(terms.select("term").distinct(), "term", "left_semi"), "asked")
     frequency = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = terms.join(frequency, "term")
     rarest_first = Window.partitionBy("query_id").orderBy("df", "term")

@@ -96,11 +96,10 @@ def rerank_pairs(
     whole left row falls back to cosine. Without a scorer: built-in token overlap."""
     if not enabled:
         return candidates.withColumn("rerank_score", F.col("cosine_score"))
-    text = with_texts(candidates, texts)
-    left, right = F.coalesce("left_text", F.lit("")), F.coalesce("right_text", F.lit(""))
+    text = with_texts(candidates, texts).fillna("", ["left_text", "right_text"])
     if scorer is None:
-        return text.withColumn("rerank_score", overlap_score(left, right)).drop("left_text", "right_text")
-    scored = text.withColumn("__score", score_column(left, right, scorer))
+        return overlap_score(text, "left_text", "right_text", "rerank_score").drop("left_text", "right_text")
+    scored = text.withColumn("__score", score_column("left_text", "right_text", scorer))
     failed = F.max(F.col("__score").isNull()).over(Window.partitionBy("left_id"))
     return scored.withColumn("rerank_score", F.when(failed, F.col("cosine_score")).otherwise(F.col("__score"))).drop(
         "left_text", "right_text", "__score"

@@ -1,10 +1,15 @@
 """Batched substring search: records whose text matches ``%query%``, first k by id.
 
-One query is a literal predicate on the scan. For many queries the join needs an equality:
-each pattern is probed by the rarest literal n-gram it contains (three characters, fewer
-for shorter patterns). Records are joined on that n-gram only, then checked against the
-whole pattern. Wildcards in the query text keep their meaning, so n-grams are taken between
-them; a pattern made of wildcards alone is probed by the empty n-gram every text has.
+One query is a literal predicate on the scan. For many queries the join needs an equality,
+so each pattern is probed by something every matching text must contain:
+
+* a whole word that has a non-word character on both sides inside the pattern, else
+* a literal n-gram (three characters, fewer for shorter patterns).
+
+The rarest probe of a pattern decides; records are joined on it alone and then checked
+against the whole pattern. Wildcards in the query text keep their meaning, so probes are
+taken from the longest run between them; a pattern made of wildcards alone is probed by the
+empty n-gram, which every text has.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql import functions as F
 
 from tandem.functions.cells import quoted
 from tandem.functions.patterns import ilike_contains
+from tandem.functions.text import distinct_tokens
+from tandem.session import materialise
 
 GRAM = 3
 
@@ -29,29 +36,49 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+_WORD_INSIDE = r"(?<=[^\p{L}\p{N}])([\p{L}\p{N}]+)(?=[^\p{L}\p{N}])"
+
+
 def _probes(queries: DataFrame) -> DataFrame:
-    """``query_id, query_text, gram``: the grams of the longest literal run of each pattern."""
+    """``query_id, query_text, kind, probe``; kind -1 is a word, n >= 0 an n-gram."""
     # A backslash quotes the next character in a pattern; such pairs also end a run.
     runs = F.transform(
         F.split(F.lower("query_text"), r"\\.|[%_\\]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))
     )
     longest = F.element_at(F.sort_array(runs), -1)
     with_run = queries.select("query_id", "query_text", longest["run"].alias("run"))
+    with_words = with_run.withColumn("words", F.array_distinct(F.regexp_extract_all("run", F.lit(_WORD_INSIDE), F.lit(1))))
     grams = _grams(F.col("run"), GRAM)
     for n in range(GRAM - 1, -1, -1):
         grams = F.when(F.length("run") == n, _grams(F.col("run"), n)).otherwise(grams)
-    return with_run.select("query_id", "query_text", F.explode(grams).alias("gram"))
+    has_word = F.size("words") > 0
+    return with_words.select(
+        "query_id",
+        "query_text",
+        F.when(has_word, F.lit(-1)).otherwise(F.least(F.lit(GRAM), F.length("run"))).alias("kind"),
+        F.explode(F.when(has_word, F.col("words")).otherwise(grams)).alias("probe"),
+    )
+
+
+def _tagged(probes: Column, kind: int) -> Column:
+    return F.transform(probes, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("probe")))
 
 
-def _record_grams(records: DataFrame, id_col: str, texts: Sequence[str], wanted: DataFrame) -> DataFrame:
-    """``id, gram`` limited to grams some query asks for, before anything is shuffled."""
-    # At most GRAM + 1 values: the gram sizes in use.
-    sizes = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())
-    every = [
-        _grams(F.lower(F.coalesce(quoted(t), F.lit(""))), n) for t in texts for n in sizes
-    ] or [F.array().cast("array<string>")]
-    exploded = records.select(F.col(id_col).alias("id"), F.explode(F.concat(*every)).alias("gram"))
-    return exploded.join(wanted, "gram", "left_semi").distinct()
+def _record_probes(records: DataFrame, id_col: str, texts: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """``id, kind, probe`` limited to probes some query asks for, before anything is shuffled."""
+    # At most GRAM + 2 values: the kinds of probes in use.
+    kinds = sorted(r[0] for r in wanted.select("kind").distinct().collect())
+    found = []
+    for kind in kinds:
+        for t in texts:
+            text = F.lower(F.coalesce(quoted(t), F.lit("")))
+            probes = distinct_tokens(text) if kind < 0 else _grams(text, kind)
+            found.append(_tagged(probes, kind))
+    if not found:
+        return records.select(F.col(id_col).alias("id"), F.lit(0).alias("kind"), F.lit("").alias("probe")).limit(0)
+    exploded = records.select(F.col(id_col).alias("id"), F.inline(F.concat(*found)))
+    asked = exploded.join(wanted, ["kind", "probe"], "left_semi")
+    return asked if len(texts) == 1 else asked.distinct()
 
 
 def substring_topk(
@@ -63,17 +90,17 @@ def substring_topk(
 ) -> DataFrame:
     """``query_id, id, rank`` for records where any of ``texts`` contains the query text."""
     probes = _probes(queries)
-    have = _record_grams(records, id_col, texts, probes.select("gram").distinct())
-    spread = have.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = Window.partitionBy("query_id").orderBy("n", "gram")
-    # A gram no record has rules the query out: counted as 0, chosen first, joins nothing.
+    have = materialise(_record_probes(records, id_col, texts, probes.select("kind", "probe").distinct()), "probes")
+    spread = have.groupBy("kind", "probe").agg(F.count(F.lit(1)).alias("n"))
+    rarest = Window.partitionBy("query_id").orderBy("n", "probe")
+    # A probe no record has rules the query out: counted as 0, chosen first, joins nothing.
     chosen = (
-        probes.join(spread, "gram", "left")
+        probes.join(spread, ["kind", "probe"], "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("__place", F.row_number().over(rarest))
         .where(F.col("__place") == 1)
     )
-    candidates = chosen.select("query_id", "query_text", "gram").join(have, "gram").drop("gram")
+    candidates = chosen.select("query_id", "query_text", "kind", "probe").join(have, ["kind", "probe"]).drop("kind", "probe")
     pattern = F.concat(F.lit("%"), F.col("query_text"), F.lit("%"))
     whole = reduce(or_, [F.coalesce(F.ilike(quoted(t), F.col("__pattern")), F.lit(False)) for t in texts])
     verified = (

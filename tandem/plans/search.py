@@ -13,6 +13,7 @@ from tandem.operators import fusion
 from tandem.operators.keyword import POOL, KeywordIndex, keyword_baseline, keyword_topk
 from tandem.operators.substring import substring_topk
 from tandem.operators.topk import topk_cosine
+from tandem.session import materialise
 
 # Results returned by default and at most.
 K_DEFAULT = 5
@@ -87,8 +88,10 @@ def search_stages(
         queries = queries.withColumn("query_vec", embed_column("query_text", embedder))
     if config.use_keyword and index is None:
         raise ValueError("keyword search needs an index")
-    vector = vector_list(records, queries) if config.use_vector else None
-    keyword = keyword_topk(index, queries) if config.use_keyword else None
+    # Both lists (at most the pool per query) feed the merge, the scores and the counts:
+    # searched once.
+    vector = materialise(vector_list(records, queries), "vector-list") if config.use_vector else None
+    keyword = materialise(keyword_topk(index, queries), "keyword-list") if config.use_keyword else None
     one = vector if vector is not None else keyword
     merge = fusion.rrf_merge if config.use_rrf else fusion.vector_primary_merge
     merged = merge(vector if vector is not None else _nothing(one), keyword if keyword is not None else _nothing(one))
@@ -102,12 +105,12 @@ def search_stages(
         text = pool.join(records.select("id", "contextual_content"), "id").join(
             queries.select("query_id", "query_text"), "query_id"
         )
-        score = (
-            overlap_score("query_text", "contextual_content")
-            if scorer is None
-            else F.coalesce(score_column("query_text", "contextual_content", scorer), F.lit(0.0))
-        )
-        scored = text.withColumn("rerank", score).drop("contextual_content", "query_text")
+        if scorer is None:
+            scored = overlap_score(text, "query_text", "contextual_content", "rerank")
+        else:
+            score = score_column("query_text", "contextual_content", scorer)
+            scored = text.withColumn("rerank", F.coalesce(score, F.lit(0.0)))
+        scored = scored.drop("contextual_content", "query_text")
         order = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "merged_rank")
         ranked = scored.withColumn("rank", F.row_number().over(order))
     else:
