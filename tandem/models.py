@@ -97,11 +97,30 @@ def score_column(query: Column | str, text: Column | str, scorer: PairScorer) ->
     return score.asNondeterministic()(as_column(query), as_column(text))
 
 
-def overlap_score(pairs: DataFrame, query: str, text: str, name: str) -> DataFrame:
-    """Built-in pair scorer: token overlap, entirely on the JVM. Each text of a pair is
-    split into tokens once."""
-    split = pairs.withColumns({"__q": distinct_tokens(query), "__t": distinct_tokens(text)})
-    return split.withColumn(name, token_jaccard("__q", "__t")).drop("__q", "__t")
+def overlap_score(
+    pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, name: str
+) -> DataFrame:
+    """Built-in pair scorer: token overlap, entirely on the JVM.
+
+    ``left`` and ``right`` hold ``(key, text)``. Every text that occurs in a pair is split
+    into its tokens once, where it is stored, not once per pair. A missing text is empty.
+    """
+
+    def split(texts: DataFrame, key: str, to: str) -> DataFrame:
+        used = texts.join(pairs.select(key).distinct(), key, "left_semi")
+        return used.select(key, distinct_tokens("text").alias(to))
+
+    none = F.array().cast("array<string>")
+    joined = pairs.join(split(left, left_key, "__l"), left_key, "left").join(
+        split(right, right_key, "__r"), right_key, "left"
+    )
+    score = token_jaccard(F.coalesce("__l", none), F.coalesce("__r", none))
+    return joined.withColumn(name, score).drop("__l", "__r")
+
+
+def model_tasks(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Spread model calls over all cores: the rows are few but each one is slow."""
+    return pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 class Throttle:

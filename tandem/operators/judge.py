@@ -104,11 +104,12 @@ def call_judge(
     using them twice and keep speculation off for this stage.
     """
     message = system_prompt(system)
+    tasks = tasks or prompts.sparkSession.sparkContext.defaultParallelism
     share = 0.0
     if rpm > 0:
-        tasks = min(tasks or prompts.sparkSession.sparkContext.defaultParallelism, rpm)
+        tasks = min(tasks, rpm)
         share = rpm / tasks
-    spread = prompts.repartition(tasks, "left_id") if tasks else prompts
+    spread = prompts.repartition(tasks, "left_id")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         throttle = Throttle(share)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.scores import final_score
-from tandem.models import PairScorer, overlap_score, score_column
+from tandem.models import PairScorer, model_tasks, overlap_score, score_column
 from tandem.operators.judge import completion_budget
 from tandem.operators.topk import topk_cosine
 
@@ -96,9 +96,10 @@ def rerank_pairs(
     whole left row falls back to cosine. Without a scorer: built-in token overlap."""
     if not enabled:
         return candidates.withColumn("rerank_score", F.col("cosine_score"))
-    text = with_texts(candidates, texts).fillna("", ["left_text", "right_text"])
     if scorer is None:
-        return overlap_score(text, "left_text", "right_text", "rerank_score").drop("left_text", "right_text")
+        left, right = (texts.select(F.col("id").alias(key), "text") for key in ("left_id", "right_id"))
+        return overlap_score(candidates, left, right, "left_id", "right_id", "rerank_score")
+    text = model_tasks(with_texts(candidates, texts).fillna("", ["left_text", "right_text"]), "left_id")
     scored = text.withColumn("__score", score_column("left_text", "right_text", scorer))
     failed = F.max(F.col("__score").isNull()).over(Window.partitionBy("left_id"))
     return scored.withColumn("rerank_score", F.when(failed, F.col("cosine_score")).otherwise(F.col("__score"))).drop(

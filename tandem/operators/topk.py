@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions.vectors import unit
 from tandem.operators.cells import (
+    block_tasks,
     every_sub_block,
     matrix,
     parts_for,
@@ -44,9 +45,10 @@ _TOLERANCE = 1e-7
 
 
 def _score_blocks(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = ()
+    left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = (), pairs: int | None = None
 ) -> DataFrame:
-    """Local top-k of every (left block, right block) that share a key."""
+    """Local top-k of every (left block, right block) that share a key; ``pairs`` is the
+    number of such block pairs, where known."""
     schema = left.select(*by, "left_id", F.lit(0).cast("bigint").alias("right_id"), F.lit(0.0).alias("score")).schema
 
     def score(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
@@ -69,6 +71,7 @@ def _score_blocks(
         found = {"left_id": lefts["left_id"].to_numpy()[row], "right_id": ids[col], "score": scores[row, col]}
         return pd.DataFrame({**{b: lefts[b].iloc[0] for b in by}, **found})
 
+    left, right = (block_tasks(side, keys, pairs) for side in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
 
 
@@ -101,7 +104,7 @@ def _hash_blocks(left: DataFrame, right: DataFrame, lb: int, rb: int, k: int) ->
 
     lefts = left.withColumn("lb", by_hash("left_id", lb)).withColumn("rb", every(rb))
     rights = right.withColumn("rb", by_hash("right_id", rb)).withColumn("lb", every(lb))
-    return _score_blocks(lefts, rights, ["lb", "rb"], k)
+    return _score_blocks(lefts, rights, ["lb", "rb"], k, pairs=lb * rb)
 
 
 def _hash_blocks_by(left: DataFrame, right: DataFrame, by: Sequence[str], k: int, block_rows: int) -> DataFrame:
@@ -136,7 +139,8 @@ def _visit(left: DataFrame, right: DataFrame, right_parts: list[int], k: int, bl
     rights = right.withColumn("rs", sub_block("right_id", cell, right_parts)).withColumn(
         "ls", every_sub_block(cell, left_parts)
     )
-    return _score_blocks(lefts, rights, ["cell", "ls", "rs"], k)
+    pairs = sum(a * b for a, b in zip(left_parts, right_parts))
+    return _score_blocks(lefts, rights, ["cell", "ls", "rs"], k, pairs=pairs)
 
 
 def _pruned_cells(left: DataFrame, right: DataFrame, n_right: int, k: int, block_rows: int) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandem.models import Embedder, PairScorer, embed_column, overlap_score, score_column
+from tandem.models import Embedder, PairScorer, embed_column, model_tasks, overlap_score, score_column
 from tandem.operators import fusion
 from tandem.operators.keyword import POOL, KeywordIndex, keyword_baseline, keyword_topk
 from tandem.operators.substring import substring_topk
@@ -102,15 +102,15 @@ def search_stages(
         pool = pool.withColumn("cosine", F.lit(None).cast("double"))
     if config.reranks:
         # Texts are attached only to the pool, after the cut.
-        text = pool.join(records.select("id", "contextual_content"), "id").join(
-            queries.select("query_id", "query_text"), "query_id"
-        )
+        texts = records.select("id", F.col("contextual_content").alias("text"))
+        asked = queries.select("query_id", F.col("query_text").alias("text"))
         if scorer is None:
-            scored = overlap_score(text, "query_text", "contextual_content", "rerank")
+            scored = overlap_score(pool, asked, texts, "query_id", "id", "rerank")
         else:
-            score = score_column("query_text", "contextual_content", scorer)
-            scored = text.withColumn("rerank", F.coalesce(score, F.lit(0.0)))
-        scored = scored.drop("contextual_content", "query_text")
+            pairs = pool.join(texts, "id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
+            score = score_column("query_text", "text", scorer)
+            scored = model_tasks(pairs, "query_id", "id").withColumn("rerank", F.coalesce(score, F.lit(0.0)))
+            scored = scored.drop("text", "query_text")
         order = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "merged_rank")
         ranked = scored.withColumn("rank", F.row_number().over(order))
     else:
