@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 4096
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -30,14 +30,15 @@ def angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def spread_pivots(candidates: np.ndarray, count: int, min_angle: float = 1e-6) -> np.ndarray:
     """Up to ``count`` sampled vectors, none within ``min_angle`` of another chosen one."""
-    chosen: list[np.ndarray] = []
-    limit = np.cos(min_angle)
+    chosen = np.empty((min(count, len(candidates)), candidates.shape[1]))
+    n, limit = 0, np.cos(min_angle)
     for vector in candidates:
-        if len(chosen) == count:
+        if n == len(chosen):
             break
-        if not chosen or (np.vstack(chosen) @ vector).max() < limit:
-            chosen.append(vector)
-    return np.vstack(chosen) if chosen else np.zeros((1, candidates.shape[1] if candidates.ndim == 2 else 1))
+        if n == 0 or (chosen[:n] @ vector).max() < limit:
+            chosen[n] = vector
+            n += 1
+    return chosen[:n]
 
 
 def sample_pivots(vectors: DataFrame, id_col: str, vec: str, count: int, min_angle: float = 1e-6) -> np.ndarray:
@@ -81,7 +82,7 @@ def to_cells(
 
 
 def _lookup(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(int(v)) for v in values])
+    return F.lit(np.array(values, dtype=np.int32))
 
 
 def sub_block(id_col: str, cell: Column, parts: Sequence[int]) -> Column:

@@ -29,11 +29,8 @@ from pyspark.sql import functions as F
 from tandem.functions.vectors import unit
 from tandem.operators.cells import (
     block_tasks,
-    every_sub_block,
     matrix,
-    parts_for,
     sample_pivots,
-    sub_block,
     to_cells,
     to_nearest_pivot,
 )
@@ -126,20 +123,27 @@ def _hash_blocks_by(left: DataFrame, right: DataFrame, by: Sequence[str], k: int
     )
 
 
-def _visit(left: DataFrame, right: DataFrame, right_parts: list[int], k: int, block_rows: int) -> DataFrame:
-    """Score ``left`` (array column ``cells``) against the cells it visits."""
+def _visit(left: DataFrame, right: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Score ``left`` (array column ``cells``) against the cells it visits. Every cell is
+    cut into as many left and right sub-blocks as its own size needs."""
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
+
     visits = left.select("left_id", "left_vec", F.explode("cells").alias("cell"))
     right = right.select("right_id", "right_vec", "cell")
-    counts = {r[0]: r[1] for r in left.select(F.explode("cells").alias("c")).groupBy("c").count().collect()}
-    left_parts = parts_for(counts, len(right_parts), block_rows)
-    cell = F.col("cell")
-    lefts = visits.withColumn("ls", sub_block("left_id", cell, left_parts)).withColumn(
-        "rs", every_sub_block(cell, right_parts)
-    )
-    rights = right.withColumn("rs", sub_block("right_id", cell, right_parts)).withColumn(
-        "ls", every_sub_block(cell, left_parts)
-    )
-    pairs = sum(a * b for a, b in zip(left_parts, right_parts))
+    sizes = materialise(blocks(visits, "n_ls").join(blocks(right, "n_rs"), "cell"), "topk-sizes")
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("n_ls").cast("bigint") * F.col("n_rs")), F.lit(0))).head()[0]
+
+    def cut(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
+        return (
+            df.join(sizes, "cell")
+            .withColumn(own, F.pmod(F.xxhash64(id_col), F.col(f"n_{own}")).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
+            .drop("n_ls", "n_rs")
+        )
+
+    lefts, rights = cut(visits, "left_id", "ls", "rs"), cut(right, "right_id", "rs", "ls")
     return _score_blocks(lefts, rights, ["cell", "ls", "rs"], k, pairs=pairs)
 
 
@@ -151,7 +155,6 @@ def _pruned_cells(left: DataFrame, right: DataFrame, n_right: int, k: int, block
     counts, radius = np.zeros(n_cells, dtype=np.int64), np.full(n_cells, -np.inf)
     for s in stats:
         counts[s["cell"]], radius[s["cell"]] = s["n"], s["r"]
-    parts = parts_for({i: int(n) for i, n in enumerate(counts)}, n_cells, block_rows)
 
     def near(batch: pd.DataFrame, a: np.ndarray) -> Iterator[np.ndarray]:
         for row in np.where(counts > 0, a, np.inf):
@@ -166,14 +169,14 @@ def _pruned_cells(left: DataFrame, right: DataFrame, n_right: int, k: int, block
             yield np.flatnonzero(mask)
 
     first_cells = materialise(to_cells(left, "left_vec", near, pivots), "topk-left")
-    first = materialise(_best(_visit(first_cells, homes, parts, k, block_rows), k), "topk-first")
+    first = materialise(_best(_visit(first_cells, homes, k, block_rows), k), "topk-first")
     kth = first.groupBy("left_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("cosine_score")).otherwise(F.lit(-2.0)).alias("kth")
     )
     bounded = first_cells.join(kth, "left_id", "left").withColumn("kth", F.coalesce("kth", F.lit(-2.0)))
     # The new cell list replaces the visited one in the same column.
     second_cells = materialise(to_cells(bounded, "left_vec", remaining, pivots), "topk-rest")
-    second = _visit(second_cells.where(F.size("cells") > 0), homes, parts, k, block_rows)
+    second = _visit(second_cells.where(F.size("cells") > 0), homes, k, block_rows)
     return second.unionByName(first.select("left_id", "right_id", F.col("cosine_score").alias("score")))
 
 
@@ -226,7 +229,7 @@ def approximate_topk(
     right_id: str = "right_id",
     right_vec: str = "right_vec",
     tables: int = 4,
-    bits: int = 4,
+    bits: int | None = None,
     probes: int = 3,
     block_rows: int = BLOCK_ROWS,
     seed: int = 42,
@@ -234,9 +237,12 @@ def approximate_topk(
     """Top-k among rows that share a hyperplane-hash bucket in one of ``tables`` tables.
 
     Each left row visits its own bucket and the ``probes - 1`` buckets nearest to it per
-    table. Large buckets are cut into sub-blocks like any other cell. Same columns as the
+    table. By default a table has a bucket per block of right rows (at least 16); buckets
+    that come out larger are cut into sub-blocks like any other cell. Same columns as the
     exact join; scores are exact, some neighbours may be missing.
     """
+    if bits is None:
+        bits = max(4, min(24, (right.count() // block_rows).bit_length()))
     lefts, rights = _unit_sides(left, right, left_id, left_vec, right_id, right_vec)
     width_row = rights.select(F.size("right_vec").alias("d")).head()
     if width_row is None:
@@ -265,13 +271,11 @@ def approximate_topk(
         schema = df.withColumn("cells", F.array().cast("array<int>")).schema
         return df.mapInPandas(buckets(vec, probes), schema)
 
-    n_cells = tables << bits
-    homes = with_cells(rights, "right_vec", 1).select("right_id", "right_vec", F.explode("cells").alias("cell"))
-    counts = {r[0]: r[1] for r in homes.groupBy("cell").count().collect()}
-    scored = _visit(
-        with_cells(lefts, "left_vec", probes), homes, parts_for(counts, n_cells, block_rows), k, block_rows
+    homes = materialise(
+        with_cells(rights, "right_vec", 1).select("right_id", "right_vec", F.explode("cells").alias("cell")), "lsh-right"
     )
-    return _best(scored.distinct(), k)
+    visits = materialise(with_cells(lefts, "left_vec", probes), "lsh-left")
+    return _best(_visit(visits, homes, k, block_rows).distinct(), k)
 
 
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
+import sys
 import json
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tandem.functions import scores
@@ -9,6 +11,9 @@ from tandem.models import Throttle
 from tandem.operators import judge, matching
 from tandem.plans import compare
 
+# The stand-in models below travel to the workers with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @pytest.mark.parametrize(
     "reply,n,want",

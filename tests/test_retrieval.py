@@ -1,8 +1,10 @@
+import sys
 import math
 import re
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ from tandem.models import HashedTermEmbedder, embed_column
 from tandem.operators import fusion, keyword, substring, topk
 from tandem.plans import search
 
+# The stand-in models below travel to the workers with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 # Published sample vocabulary of the stemmer.
