@@ -99,14 +99,17 @@ def parts_for(counts: dict[int, int], n_cells: int, block_rows: int) -> list[int
     return [max(1, -(-counts.get(c, 0) // block_rows)) for c in range(n_cells)]
 
 
-def block_tasks(side: DataFrame, keys: Sequence[str], pairs: int | None) -> DataFrame:
-    """Shuffle one side of a block join into a set number of tasks.
+# Vector comparisons that make a task worth starting.
+TASK_COMPARISONS = 1 << 22
+
+
+def block_tasks(side: DataFrame, keys: Sequence[str], comparisons: int | None) -> DataFrame:
+    """Shuffle one side of a block join into a set number of tasks, by the work to do.
 
     Block scoring is heavy for its bytes, so the run-time merging of small shuffle
     partitions, which looks at bytes, would leave most cores idle.
     """
-    if pairs is None:
+    if comparisons is None:
         return side
-    spark = side.sparkSession
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32 * spark.sparkContext.defaultParallelism)
-    return side.repartition(max(1, min(pairs, most)), *keys)
+    slots = side.sparkSession.sparkContext.defaultParallelism
+    return side.repartition(max(slots, min(comparisons // TASK_COMPARISONS, 64 * slots)), *keys)

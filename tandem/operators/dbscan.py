@@ -91,23 +91,23 @@ def _blocks(cells: DataFrame, inner_parts: list[int], outer_parts: list[int]):
 _KEYS = ["at", "ib", "ob"]
 
 
-def _meeting(inner: DataFrame, outer: DataFrame, pairs: int):
-    inner, outer = (block_tasks(side, _KEYS, pairs) for side in (inner, outer))
+def _meeting(inner: DataFrame, outer: DataFrame, comparisons: int):
+    inner, outer = (block_tasks(side, _KEYS, comparisons) for side in (inner, outer))
     return inner.groupBy(*_KEYS).cogroup(outer.groupBy(*_KEYS))
 
 
-def _degrees(inner: DataFrame, outer: DataFrame, eps: float, pairs: int) -> DataFrame:
+def _degrees(inner: DataFrame, outer: DataFrame, eps: float, comparisons: int) -> DataFrame:
     def count(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
         if not len(lefts) or not len(rights):
             return pd.DataFrame(columns=["id", "n"])
         n = _near(lefts, rights, eps) @ rights["weight"].to_numpy(dtype=np.float64)
         return pd.DataFrame({"id": lefts["id"], "n": n.astype(np.int64)})
 
-    partial = _meeting(inner, outer, pairs).applyInPandas(count, "id bigint, n bigint")
+    partial = _meeting(inner, outer, comparisons).applyInPandas(count, "id bigint, n bigint")
     return partial.groupBy("id").agg(F.sum("n").alias("degree"))
 
 
-def _links(inner: DataFrame, outer: DataFrame, eps: float, pairs: int) -> DataFrame:
+def _links(inner: DataFrame, outer: DataFrame, eps: float, comparisons: int) -> DataFrame:
     """``u, v, border``: core points linked to one core point of their local group, and
     border points (fewer neighbours than ``min_samples`` by definition) to their cores."""
 
@@ -131,7 +131,7 @@ def _links(inner: DataFrame, outer: DataFrame, eps: float, pairs: int) -> DataFr
         borders = pd.DataFrame({"u": left_ids[~core][row], "v": right_ids[col]})
         return pd.concat([edges.assign(border=False), borders.assign(border=True)])
 
-    return _meeting(inner, outer, pairs).applyInPandas(link, "u bigint, v bigint, border boolean")
+    return _meeting(inner, outer, comparisons).applyInPandas(link, "u bigint, v bigint, border boolean")
 
 
 def dbscan(
@@ -190,10 +190,11 @@ def dbscan(
     # At most block_rows rows per block, and work for every core when the input is small.
     inner_rows = min(block_rows, max(256, n_points // max(1, slots)))
     inner_parts = parts_for(counts, n_cells, inner_rows)
-    outer_parts = parts_for({r[0]: r[1] for r in visits}, n_cells, block_rows)
-    pairs = sum(a * b for a, b in zip(inner_parts, outer_parts))
+    visitors = {r[0]: r[1] for r in visits}
+    outer_parts = parts_for(visitors, n_cells, block_rows)
+    comparisons = sum(counts.get(c, 0) * n for c, n in visitors.items())
     inner, outer = _blocks(flagged, inner_parts, outer_parts)
-    degrees = _degrees(inner.where(~F.col("core")), outer, eps, pairs)
+    degrees = _degrees(inner.where(~F.col("core")), outer, eps, comparisons)
     with_core = materialise(
         flagged.join(degrees, "id", "left").withColumn(
             "core", F.col("core") | (F.coalesce("degree", F.lit(0)) >= min_samples)
@@ -201,7 +202,7 @@ def dbscan(
         "dbscan-cores",
     )
     inner, outer = _blocks(with_core, inner_parts, outer_parts)
-    links = materialise(_links(inner, outer, eps, pairs), "dbscan-links")
+    links = materialise(_links(inner, outer, eps, comparisons), "dbscan-links")
     first_of_cell = with_core.where(in_dense).groupBy("cell").agg(F.min("id").alias("v"))
     spokes = with_core.where(in_dense).join(F.broadcast(first_of_cell), "cell").select(F.col("id").alias("u"), "v")
     components = connected_components(links.where(~F.col("border")).select("u", "v").unionByName(spokes))

@@ -42,10 +42,10 @@ _TOLERANCE = 1e-7
 
 
 def _score_blocks(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = (), pairs: int | None = None
+    left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = (), comparisons: int | None = None
 ) -> DataFrame:
-    """Local top-k of every (left block, right block) that share a key; ``pairs`` is the
-    number of such block pairs, where known."""
+    """Local top-k of every (left block, right block) that share a key; ``comparisons`` is
+    about the number of vector pairs that meet, where known."""
     schema = left.select(*by, "left_id", F.lit(0).cast("bigint").alias("right_id"), F.lit(0.0).alias("score")).schema
 
     def score(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
@@ -68,7 +68,7 @@ def _score_blocks(
         found = {"left_id": lefts["left_id"].to_numpy()[row], "right_id": ids[col], "score": scores[row, col]}
         return pd.DataFrame({**{b: lefts[b].iloc[0] for b in by}, **found})
 
-    left, right = (block_tasks(side, keys, pairs) for side in (left, right))
+    left, right = (block_tasks(side, keys, comparisons) for side in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
 
 
@@ -92,7 +92,7 @@ def _block_counts(n_left: int, n_right: int, block_rows: int, slots: int) -> tup
     return lb, rb
 
 
-def _hash_blocks(left: DataFrame, right: DataFrame, lb: int, rb: int, k: int) -> DataFrame:
+def _hash_blocks(left: DataFrame, right: DataFrame, lb: int, rb: int, k: int, comparisons: int) -> DataFrame:
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
@@ -101,7 +101,7 @@ def _hash_blocks(left: DataFrame, right: DataFrame, lb: int, rb: int, k: int) ->
 
     lefts = left.withColumn("lb", by_hash("left_id", lb)).withColumn("rb", every(rb))
     rights = right.withColumn("rb", by_hash("right_id", rb)).withColumn("lb", every(lb))
-    return _score_blocks(lefts, rights, ["lb", "rb"], k, pairs=lb * rb)
+    return _score_blocks(lefts, rights, ["lb", "rb"], k, comparisons=comparisons)
 
 
 def _hash_blocks_by(left: DataFrame, right: DataFrame, by: Sequence[str], k: int, block_rows: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _visit(left: DataFrame, right: DataFrame, k: int, block_rows: int) -> DataFr
         )
 
     lefts, rights = cut(visits, "left_id", "ls", "rs"), cut(right, "right_id", "rs", "ls")
-    return _score_blocks(lefts, rights, ["cell", "ls", "rs"], k, pairs=pairs)
+    return _score_blocks(lefts, rights, ["cell", "ls", "rs"], k, comparisons=pairs * block_rows**2)
 
 
 def _pruned_cells(left: DataFrame, right: DataFrame, n_right: int, k: int, block_rows: int) -> DataFrame:
@@ -215,8 +215,9 @@ def topk_cosine(
     if method == "cells" or (method == "auto" and n_right > 16 * block_rows):
         return _best(_pruned_cells(lefts, rights, n_right, k, block_rows), k)
     slots = left.sparkSession.sparkContext.defaultParallelism
-    lb, rb = _block_counts(left.count(), n_right, block_rows, slots)
-    return _best(_hash_blocks(lefts, rights, lb, rb, k), k)
+    n_left = left.count()
+    lb, rb = _block_counts(n_left, n_right, block_rows, slots)
+    return _best(_hash_blocks(lefts, rights, lb, rb, k, n_left * n_right), k)
 
 
 def approximate_topk(
