@@ -310,7 +310,8 @@ def judge_meta(spark, sf_dir):
     reply = F.concat(
         F.lit('{"score":'), F.round(F.col("value") % 1, 4).cast("string"), F.lit(',"flag":true,"list":[1],"k":'),
         F.get_json_object("props", "$.k"), F.lit(',"note":"'), F.repeat(F.lit("x"), 2500), F.lit('"}'))
-    slots = table(spark, sf_dir, "events").select("event_id", judging.parsed_slots(reply, F.lit(1))[0].alias("slot"))
+    events = spread(table(spark, sf_dir, "events"), "event_id")
+    slots = events.select("event_id", judging.parsed_slots(reply, F.lit(1))[0].alias("slot"))
     meta = F.col("slot.meta")
     return slots.select(
         "event_id", F.round("slot.score", 4).alias("score"), meta["k"].alias("k"), meta["flag"].alias("flag"),

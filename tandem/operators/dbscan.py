@@ -42,7 +42,7 @@ from tandem.session import materialise
 # The defaults of the clustering screen.
 EPS = 0.3
 MIN_SAMPLES = 5
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
 NOISE = -1
 _SLACK = 1e-9
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -136,6 +136,11 @@ def _kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _number(v: Column) -> Column:
     """The value as a number; booleans and text are not numbers."""
     return F.when(_kind(v).isin(*_NUMERIC), F.try_variant_get(v, "$", "double"))
@@ -161,14 +166,14 @@ def _meta(v: Column) -> Column:
 
 def _slot(v: Column) -> Column:
     """``score, meta`` of one array element: a number, or an object with a numeric score."""
-    plain = _number(v)
-    is_object = _kind(v) == "OBJECT"
-    inner = F.when(is_object, _number(F.try_variant_get(v, "$.score", "variant")))
-    score = _clamped(F.coalesce(plain, inner))
-    return F.when(
-        F.coalesce(plain, inner).isNotNull(),
-        F.struct(score.alias("score"), F.when(inner.isNotNull(), _meta(v)).alias("meta")),
-    )
+    inner = _bind(F.try_variant_get(v, "$.score", "variant"), _number)
+
+    def scored(found: Column) -> Column:
+        score = F.coalesce(found["plain"], found["inner"])
+        meta = F.when(found["inner"].isNotNull(), _meta(v))
+        return F.when(score.isNotNull(), F.struct(_clamped(score).alias("score"), meta.alias("meta")))
+
+    return _bind(F.struct(_number(v).alias("plain"), inner.alias("inner")), scored)
 
 
 def without_fence(text: Column | str) -> Column:
@@ -195,12 +200,13 @@ def parsed_slots(reply: Column | str, n: Column | str) -> Column:
         has_scores = F.try_variant_get(v, "$.scores", "variant").isNotNull()
         alone = (count == 1) & is_object & ~has_scores
         entries = F.when(alone, F.array(v)).otherwise(listed)
-        return F.transform(
-            F.sequence(F.lit(1), count), lambda i: F.transform(F.array(F.try_element_at(entries, i)), _slot)[0]
+        return _bind(
+            entries,
+            lambda e: F.transform(F.sequence(F.lit(1), count), lambda i: _bind(F.try_element_at(e, i), _slot)),
         )
 
     parsed = F.try_parse_json(without_fence(reply))
-    return F.when(count > 0, F.element_at(F.transform(F.array(parsed), read), 1))
+    return F.when(count > 0, _bind(parsed, read))
 
 
 def judge_scores(replies: DataFrame) -> DataFrame:

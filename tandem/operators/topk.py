@@ -37,10 +37,27 @@ from tandem.operators.cells import (
 from tandem.session import materialise
 
 BLOCK_ROWS = 4096
+SLICE_ROWS = 512
 SCORE_DIGITS = 9
 _TOLERANCE = 1e-7
 
 
+def _slice_topk(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of each row's k best entries, ties by column."""
+    if scores.shape[1] > k:
+        # Everything at or above each row's k-th score, then a stable sort.
+        kth = np.partition(scores, -k, axis=1)[:, [-k]]
+        row, col = np.nonzero(scores >= kth)
+    else:
+        row, col = np.indices(scores.shape).reshape(2, -1)
+    order = np.lexsort((col, -scores[row, col], row))
+    row, col = row[order], col[order]
+    first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+    place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    row, col = row[place < k], col[place < k]
+    return row, col, scores[row, col]
+
+
 def _score_blocks(
     left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = (), comparisons: int | None = None
 ) -> DataFrame:
@@ -52,21 +69,15 @@ def _score_blocks(
         if not len(lefts) or not len(rights):
             return pd.DataFrame(columns=schema.names)
         rights = rights.sort_values("right_id")
-        ids = rights["right_id"].to_numpy()
-        scores = np.round(matrix(lefts["left_vec"]) @ matrix(rights["right_vec"]).T, SCORE_DIGITS)
-        if len(ids) > k:
-            # Everything at or above each row's k-th score, then a stable sort: ties by id.
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-            row, col = np.nonzero(scores >= kth)
-        else:
-            row, col = np.nonzero(np.ones_like(scores, dtype=bool))
-        order = np.lexsort((col, -scores[row, col], row))
-        row, col = row[order], col[order]
-        first = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-        place = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
-        row, col = row[place < k], col[place < k]
-        found = {"left_id": lefts["left_id"].to_numpy()[row], "right_id": ids[col], "score": scores[row, col]}
-        return pd.DataFrame({**{b: lefts[b].iloc[0] for b in by}, **found})
+        ids, columns = rights["right_id"].to_numpy(), matrix(rights["right_vec"]).T
+        # A slice of left rows at a time, so that the scores in memory stay few.
+        found = []
+        for start in range(0, len(lefts), SLICE_ROWS):
+            part = lefts.iloc[start : start + SLICE_ROWS]
+            row, col, scores = _slice_topk(np.round(matrix(part["left_vec"]) @ columns, SCORE_DIGITS), k)
+            found.append(pd.DataFrame({"left_id": part["left_id"].to_numpy()[row], "right_id": ids[col], "score": scores}))
+        best = pd.concat(found)
+        return best.assign(**{b: lefts[b].iloc[0] for b in by})[schema.names]
 
     left, right = (block_tasks(side, keys, comparisons) for side in (left, right))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
