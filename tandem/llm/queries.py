@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bpe, exact, packing, sharding, syncmers
+from tandem.llm import bpe, exact, packing, setsketch, sharding, syncmers
 from tandem.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = [op2_sharding, op3_packing, op4_syncmers, op7_exact_dedup, op9_byte_bpe]
+    made = [op2_sharding, op3_packing, op4_syncmers, op6_setsketch, op7_exact_dedup, op9_byte_bpe]
     return {query.__name__: query for query in made}
 
 
