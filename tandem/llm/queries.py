@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bpe, exact, packing, setsketch, sharding, syncmers
+from tandem.llm import bpe, exact, packing, setsketch, sharding, suffixes, syncmers
 from tandem.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -40,7 +44,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    made = [op2_sharding, op3_packing, op4_syncmers, op6_setsketch, op7_exact_dedup, op9_byte_bpe]
+    made = [op1_suffix_array, op2_sharding, op3_packing, op4_syncmers, op6_setsketch, op7_exact_dedup, op9_byte_bpe]
     return {query.__name__: query for query in made}
 
 
