@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bpe, exact, packing, setsketch, sharding, suffixes, syncmers
+from tandem.llm import bpe, exact, packing, quality, setsketch, sharding, suffixes, syncmers, warc
 from tandem.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -38,13 +42,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = bpe.BytePairs.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.round_trip(table(spark, sf_dir, "documents"), pairs)
 
 
 def queries() -> dict[str, Query]:
-    made = [op1_suffix_array, op2_sharding, op3_packing, op4_syncmers, op6_setsketch, op7_exact_dedup, op9_byte_bpe]
+    made = [op1_suffix_array, op2_sharding, op3_packing, op4_syncmers, op5_warc, op6_setsketch, op7_exact_dedup,
+            op8_rule_ensemble, op9_byte_bpe]
     return {query.__name__: query for query in made}
 
 
@@ -53,6 +62,15 @@ def oracle_sql() -> dict[str, str]:
 
 
 ORACLES = {
+    "op5_warc": """
+with payloads as (
+    select page_id, encode(coalesce(html, '')) as payload from pages),
+sized as (select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest from payloads),
+firsts as (select payload_digest, min(page_id) as first from sized where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+    case when first < page_id then 'revisit' else 'response' end as record_type,
+    case when first < page_id then first end as refers_to
+from sized left join firsts using (payload_digest)""",
     "op7_exact_dedup": r"""
 with rows as (
     select doc_id, length(coalesce(text, '')) as n,
