@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bpe, exact, packing, quality, setsketch, sharding, suffixes, syncmers, warc
+from tandem.llm import bpe, exact, packing, quality, setsketch, sharding, suffixes, syncmers, toxicity, warc
 from tandem.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,9 +51,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), pairs)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
     made = [op1_suffix_array, op2_sharding, op3_packing, op4_syncmers, op5_warc, op6_setsketch, op7_exact_dedup,
-            op8_rule_ensemble, op9_byte_bpe]
+            op8_rule_ensemble, op9_byte_bpe, op10_toxicity]
     return {query.__name__: query for query in made}
 
 
