@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -170,6 +171,16 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
+def _learnt(
+    docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, held_out: tuple[int, int], max_labelled: int
+) -> tuple[DataFrame, Column, RuleEnsemble]:
+    rows = materialise(with_statistics(docs, key, text), "statistics")
+    divisor, remainder = held_out
+    aside = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % divisor == remainder, F.lit(False))
+    known = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
+    return rows, aside, fit(rows.where(~aside).join(known, "key"), max_labelled=max_labelled)
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -182,11 +193,33 @@ def classify(
 ) -> DataFrame:
     """``key, held_out, score, predicted`` for each row. Labels are learnt only from rows whose
     crc32 of the id, as text, leaves another remainder than ``held_out`` (divisor, remainder)."""
-    rows = materialise(with_statistics(docs, key, text), "statistics")
-    divisor, remainder = held_out
-    aside = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % divisor == remainder, F.lit(False))
-    known = labels.select(F.col(key).alias("key"), F.col(label).alias("label"))
-    ensemble = fit(rows.where(~aside).join(known, "key"), max_labelled=max_labelled)
+    rows, aside, ensemble = _learnt(docs, labels, label, key, text, held_out, max_labelled)
     return rows.select(
         F.col("key").alias(key), aside.alias("held_out"), ensemble.score().alias("score")
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "quality",
+    key: str = "doc_id",
+    text: str = "text",
+    held_out: tuple[int, int] = (4, 2),
+    threshold: float = 0.7,
+    max_labelled: int = MAX_LABELLED,
+) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold; no row moves to be decided."""
+    _, _, ensemble = _learnt(docs, labels, label, key, text, held_out, max_labelled)
+    kinds = ", ".join(f"{name} double" for name in STATISTICS)
+
+    @F.pandas_udf(kinds)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics(t) for t in texts], columns=list(STATISTICS), dtype="float64")
+
+    scored = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        found(F.coalesce(F.col(text), F.lit(""))).alias("found"),
+    ).select("row", "found.*")
+    kept = scored.where(ensemble.score() >= threshold)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

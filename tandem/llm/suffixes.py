@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.llm.common import join_hot, prepared
 from tandem.session import materialise
@@ -52,6 +53,7 @@ PART_BYTES = 32 << 20
 _WINDOWS = 1 << 20
 _POSITION_BITS = 24
 _NO_ID = -(1 << 63)
+NO_TEXT = "__no_text"
 
 _RUN = np.dtype(
     [("key", "<u8"), ("context", "<u8"), ("doc", "<u4"), ("low", "<u4"), ("span", "u1"), ("offset", "u1")]
@@ -538,15 +540,19 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def repeated_spans(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT
 ) -> DataFrame:
-    """``key, text, copy_of, marks`` for each row: where its text repeats earlier text, as packed
-    marks for ``removed_spans``; ``copy_of`` is the first document with the same text, or null
-    where it is this one or the text is shorter than ``length`` bytes."""
+    """``key, row, text, copy_of, marks`` for each row: where its text repeats earlier text, as
+    packed marks for ``removed_spans``; ``copy_of`` is the first document with the same text, or
+    null where it is this one or the text is shorter than ``length`` bytes; ``row`` holds the
+    row's columns but for the text."""
     if not K <= length < 256:
         raise ValueError(f"length must be from {K} to 255 bytes")
     prepared(df.sparkSession)
-    rows = df.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    whole = df.select(
+        F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("key"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text], F.col(text).isNull().alias(NO_TEXT)).alias("row"),
     ).withColumn("text_hash", F.xxhash64("text"))
+    rows = whole.select("key", "text", "text_hash")
     long_rows = rows.where(F.octet_length("text") >= length)
     names = materialise(
         long_rows.select(
@@ -576,39 +582,45 @@ def repeated_spans(
     more = materialise(coded.groupBy("part").applyInArrow(_classify(length), marks_schema), "contested")
     every = marks.unionByName(more).groupBy("key", "text_hash").agg(F.collect_list("marks").alias("marks"))
     found = every.join(copies, ["key", "text_hash"], "full")
-    return rows.join(found, ["key", "text_hash"], "left").select(
-        F.when(F.col("key") != _NO_ID, F.col("key")).alias("key"), "text", "copy_of", "marks"
+    return whole.join(found, ["key", "text_hash"], "left").select(
+        F.when(F.col("key") != _NO_ID, F.col("key")).alias("key"), "row", "text", "copy_of", "marks"
     )
 
 
-def without_repeats(
-    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = False
-) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept_sha256`` for each row and, if asked, the kept
-    text (``kept_text``), less the parts of characters that a cut goes through."""
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``key, n_bytes, n_removed, n_spans, kept_sha256`` for each row."""
+    return _cut(repeated_spans(df, key, text, length).drop("row"), length, "key").withColumnRenamed("key", key)
+
+
+def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """The columns of ``df`` with the text less its repeats (and less the parts of characters
+    that a cut goes through), and ``n_bytes, n_removed``. A null text stays null."""
+    cut = _cut(repeated_spans(df, key, text, length), length, "row", with_text=True)
+    kept = F.when(~F.col(f"row.{NO_TEXT}"), F.col("kept_text")).alias(text)
+    columns = [kept if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
+    return cut.select(*columns, "n_bytes", "n_removed")
+
+
+def _cut(spans: DataFrame, length: int, carried: str, with_text: bool = False) -> DataFrame:
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for value, copy_of, marks in zip(*(batch.column(c).to_pylist() for c in ("text", "copy_of", "marks"))):
                 raw = value.encode()
-                spans = [(0, len(raw))] if copy_of is not None else []
-                if not spans and marks:
-                    spans = removed_spans(np.frombuffer(b"".join(marks), _MARK), length)
-                kept = kept_bytes(raw, spans)
-                made.append(
-                    (len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(),
-                     kept.decode(errors="ignore") if with_text else None)
-                )
-            n_bytes, removed, n_spans, digests, texts = zip(*made) if made else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *[pa.array(c, pa.int64()) for c in (n_bytes, removed, n_spans)],
-                 pa.array(digests, pa.string()), pa.array(texts, pa.string())],
-                names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
-            )
-
-    spans = repeated_spans(df, key, text, length)
-    out = spans.mapInArrow(
-        cut, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    ).withColumnRenamed("key", key)
-    return out if with_text else out.drop("kept_text")
+                stretches = [(0, len(raw))] if copy_of is not None else []
+                if not stretches and marks:
+                    stretches = removed_spans(np.frombuffer(b"".join(marks), _MARK), length)
+                kept = kept_bytes(raw, stretches)
+                facts = [len(raw), len(raw) - len(kept), len(stretches), hashlib.sha256(kept).hexdigest()]
+                made.append([*facts, kept.decode(errors="ignore")] if with_text else facts)
+            columns = list(zip(*made)) if made else [[]] * len(names)
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2
+            arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(carried), *arrays], names=[carried, *names])
+
+    schema = T.StructType([spans.schema[carried]])
+    for name in names:
+        schema = schema.add(name, "long" if name.startswith("n_") else "string")
+    return spans.mapInArrow(cut, schema)
