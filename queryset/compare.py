@@ -172,7 +172,7 @@ _FIRST_RIGHTS = "(select doc_id, '[sheet] ' || source || ' | [lang] ' || lang ||
 def compare_without_vectors(spark, sf_dir):
     """Judge alone: every left row with the first hundred right rows."""
     run = plan.run_compare(
-        passage_records(spark, sf_dir, embedded=False), plan.RunConfig(vector_enabled=False, judge_enabled=True), judge=LengthJudge())
+        passage_records(spark, sf_dir, embedded=False), plan.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=100), judge=LengthJudge())
     return run.matches.select("left_id", "right_id", "cosine_score", "final_score", "rank")
 
 
@@ -181,7 +181,7 @@ def compare_without_vectors(spark, sf_dir):
     from benchmark, {_FIRST_RIGHTS}""")
 def run_metrics_judged(spark, sf_dir):
     run = plan.run_compare(
-        passage_records(spark, sf_dir, embedded=False), plan.RunConfig(vector_enabled=False, judge_enabled=True), judge=LengthJudge())
+        passage_records(spark, sf_dir, embedded=False), plan.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=100), judge=LengthJudge())
     return run.metrics()
 
 
@@ -189,12 +189,12 @@ def run_metrics_judged(spark, sf_dir):
     (row_number() over (partition by item_id order by doc_id))::int as cand_pos from benchmark, {_FIRST_RIGHTS}""")
 def capped_candidates(spark, sf_dir):
     recs = passage_records(spark, sf_dir, embedded=False)
-    return matching.capped_candidates(matching.side_of(recs, "left"), matching.side_of(recs, "right"))
+    return matching.capped_candidates(matching.side_of(recs, "left"), matching.side_of(recs, "right"), 100)
 
 
 @register("select least(count(*), 500) as rights_loaded, count(*) as rights_total, count(*) > 500 as truncated from documents")
 def capped_rights_report(spark, sf_dir):
-    return matching.capped_rights_report(matching.side_of(passage_records(spark, sf_dir, embedded=False), "right"), 9999)
+    return matching.capped_rights_report(matching.side_of(passage_records(spark, sf_dir, embedded=False), "right"), 500)
 
 
 @register(f"""with {_passages_sql(3)} select left_id, count(*)::int as n_candidates, 'Reference:' || chr(10) || any_value(query_text) || chr(10) || chr(10)

@@ -94,6 +94,18 @@ def forward_fill(spark, sf_dir):
     return ordering.forward_fill(gappy, ["lang"], "doc_id", ["source"], block_rows=128)
 
 
+@register("""select doc_id, source, n_chars,
+    last_value(lang ignore nulls) over (partition by source order by doc_id rows unbounded preceding) as lang
+    from (select doc_id, nullif(source, 'src3') as source, case when doc_id % 3 = 0 then lang end as lang, n_chars from documents)""")
+def forward_fill_null_group(spark, sf_dir):
+    """Rows without a group are filled among themselves."""
+    gappy = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("source") != "src3", F.col("source")).alias("source"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("lang"), "n_chars",
+    )
+    return ordering.forward_fill(gappy, ["lang"], "doc_id", ["source"], block_rows=128)
+
+
 @register("select doc_id, source, (row_number() over (partition by source order by doc_id) - 1)::bigint as original_row from documents")
 def row_ordinal(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")

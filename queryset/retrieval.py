@@ -145,6 +145,16 @@ def id_search(spark, sf_dir):
     return plan.search("id", customers, id_queries(spark, sf_dir), k=50, id_column="c_name")
 
 
+@register("""select q.n_nationkey::bigint as query_id, c_custkey as id, row_number() over (partition by q.n_nationkey order by c_custkey)::int as rank
+    from nation q join customer on contains(lower(c_name), '#00000' || q.n_nationkey) qualify rank <= 50""")
+def id_search_backslash(spark, sf_dir):
+    """A backslash before an ordinary character stands for that character."""
+    queries = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("query_id"), F.concat(F.lit("\\#000\\00"), F.col("n_nationkey")).alias("query_text"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    return plan.search("id", customers, queries, k=50, id_column="c_name")
+
+
 @register("select c_custkey as id, c_name from customer where c_name ilike '%r#0000_01%' order by c_custkey limit 50")
 def id_search_single(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")

@@ -23,9 +23,8 @@ K = 5
 
 def records(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     side = F.explode(F.array(F.lit("left"), F.lit("right"))).alias("side")
-    return docs.join(vecs, "doc_id").select("doc_id", "source", "text", side).select(
+    return docs.select("doc_id", "source", "text", side).select(
         (F.col("doc_id") * 2 + F.when(F.col("side") == "left", 0).otherwise(1)).alias("id"), "side",
         F.col("doc_id").alias("original_row"), F.col("text").alias("contextual_content"),
         F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("display_value"),
@@ -84,7 +83,7 @@ RUN = f"""matches as (select 2 * l.vec_id as left_id, 2 * r.vec_id + 1 as right_
         case when (2 * r.vec_id + 1) % 3 <> 0 then '{{"reason":"r' || (2 * r.vec_id + 1) || '"}}' else '' end as meta
         from embeddings l, embeddings r qualify rank <= {K}),
     recs as (select doc_id, 2 * doc_id as lid, 2 * doc_id + 1 as rid, text, case when doc_id % 4 <> 0 then source end as display
-        from documents where doc_id in (select vec_id from embeddings)),
+        from documents),
     log as (select event_id as seq, 2 * user_id as left_id, ts as decided_at, props as comment,
         case event_type when 'signup' then 'no_match' when 'click' then 'partial' when 'error' then 'fail' end as outcome,
         event_id % 11 = 0 as deleted, case when event_type = 'signup' then []::bigint[] when event_id % 7 = 0

@@ -82,17 +82,29 @@ def embed_column(text: Column | str, embedder: Embedder, lowercase: bool = True)
 
 
 def score_column(query: Column | str, text: Column | str, scorer: PairScorer) -> Column:
-    """Pair score from a model. A batch the model fails on is scored null, so the caller
-    falls back to the score it already has; a missing single score is 0."""
+    """Pair score from a model; a missing single score is 0. Where the model fails on a batch,
+    each query of the batch is tried alone, and only those it fails on are scored null, so the
+    caller falls back for them to the score it already has."""
+
+    def scored(queries: list[str], texts: list[str]) -> list[float]:
+        return [0.0 if s is None else float(s) for s in scorer.score(queries, texts)]
 
     @F.pandas_udf(DoubleType())
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, texts in batches:
+            asked, found = queries.fillna("").tolist(), texts.fillna("").tolist()
             try:
-                raw = scorer.score(queries.fillna("").tolist(), texts.fillna("").tolist())
-                yield pd.Series([0.0 if s is None else float(s) for s in raw], dtype="float64")
-            except Exception:  # any model failure means "no score"
-                yield pd.Series([None] * len(queries), dtype="float64")
+                out: list[float | None] = list(scored(asked, found))
+            except Exception:  # some query of the batch
+                out = [None] * len(asked)
+                for rows in pd.Series(asked).groupby(asked, sort=False).indices.values():
+                    try:
+                        values = scored([asked[i] for i in rows], [found[i] for i in rows])
+                    except Exception:  # any model failure means "no score"
+                        continue
+                    for i, value in zip(rows, values):
+                        out[i] = value
+            yield pd.Series(out, dtype="float64")
 
     return score.asNondeterministic()(as_column(query), as_column(text))
 

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.patterns import cluster_filter, normalise_cluster_filters
+from tandem.functions.patterns import MAX_CLUSTER_FILTERS, MAX_CLUSTER_VALUES, cluster_filter, cluster_filters
 from tandem.functions.vectors import unit
 
 # Bounds on k, the seed, and when a result counts as too dense.
@@ -20,23 +20,30 @@ SEED = 42
 DENSE_CLUSTERS = 50
 
 
-def select_records(records: DataFrame, filters: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+def select_records(
+    records: DataFrame,
+    filters: Sequence[tuple[str, Sequence[str]]],
+    max_columns: int = MAX_CLUSTER_FILTERS,
+    max_values: int = MAX_CLUSTER_VALUES,
+) -> DataFrame:
     """Records to cluster: any value within a column, all columns."""
-    return records.where(cluster_filter(normalise_cluster_filters(filters, records.columns)))
+    return records.where(cluster_filter(cluster_filters(filters, records.columns, max_columns, max_values)))
 
 
-def check_k(k: int | None, n: int) -> int:
+def check_k(k: int | None, n: int, max_k: int = MAX_K) -> int:
     if k is None:
         raise ValueError("k is required for k-means")
-    upper = min(MAX_K, n - 1) if n > 1 else 1
+    upper = min(max_k, n - 1) if n > 1 else 1
     if not 2 <= k <= upper:
         raise ValueError(f"k must be between 2 and {upper} for {n} records")
     return k
 
 
-def kmeans(records: DataFrame, k: int, id_col: str = "id", vec: str = "embedding", seed: int = SEED) -> DataFrame:
+def kmeans(
+    records: DataFrame, k: int, id_col: str = "id", vec: str = "embedding", seed: int = SEED, max_k: int = MAX_K
+) -> DataFrame:
     """``id, cluster_id`` from k-means on unit vectors."""
-    check_k(k, records.count())
+    check_k(k, records.count(), max_k)
     points = records.select(F.col(id_col).alias("id"), array_to_vector(unit(vec)).alias("features"))
     model = KMeans(k=k, seed=seed, initMode="k-means||", initSteps=5, featuresCol="features", predictionCol="cluster_id").fit(points)
     return model.transform(points).select("id", "cluster_id")

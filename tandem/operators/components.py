@@ -7,51 +7,37 @@ of edges never grows. A round's result is written to the shared folder, so plans
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.session import materialise
 
 MAX_ROUNDS = 100
-# A node with more edges than this, and than a ten-thousandth of all edges, is a hub. There
-# are at most 20,000 hubs, so their minima are broadcast and their edges never meet in one
-# task; every other node's edges fit one.
-HUB_SHARE = 10_000
-HUB_MINIMUM = 100_000
 
 
-def _with_minimum(edges: DataFrame, n_edges: int) -> DataFrame:
-    """Adds ``m``, the smallest of a node ``u`` and its neighbours, to each edge."""
-    hub_degree = max(HUB_MINIMUM, n_edges // HUB_SHARE)
-    smallest = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    if n_edges <= hub_degree:
-        return edges.withColumn("m", smallest)
-    hubs = (
-        edges.groupBy("u")
-        .agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("degree"))
-        .where(F.col("degree") > hub_degree)
-        .select("u", F.least("low", "u").alias("hub_m"))
-    )
-    marked = edges.join(F.broadcast(hubs), "u", "left")
-    at_hub = marked.where(F.col("hub_m").isNotNull()).select("u", "v", F.col("hub_m").alias("m"))
-    others = marked.where(F.col("hub_m").isNull()).select("u", "v")
-    return at_hub.unionByName(others.withColumn("m", smallest))
+def _with_minimum(edges: DataFrame) -> DataFrame:
+    """Adds ``m``, the smallest of a node ``u`` and its neighbours, to each edge. The minimum
+    is reduced before the shuffle and joined back, so no node's edges meet in one task
+    (a hub's side of the join is split at run time)."""
+    least = edges.groupBy("u").agg(F.min("v").alias("__least"))
+    joined = edges.join(least, "u")
+    return joined.withColumn("m", F.least("__least", "u")).drop("__least")
 
 
 def _edge(u: str, v: str):
     return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
 
 
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Connect each larger neighbour of a node to the smallest node around it."""
     both = edges.select(F.inline(F.array(_edge("u", "v"), _edge("v", "u"))))
-    linked = _with_minimum(both, 2 * n_edges)
+    linked = _with_minimum(both)
     return linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them; ``u > v`` holds."""
-    linked = _with_minimum(edges, n_edges)
+    linked = _with_minimum(edges)
     moved = linked.select(F.inline(F.array(_edge("v", "m"), _edge("u", "m"))))
     return moved.where(F.col("u") != F.col("v")).distinct()
 
@@ -66,8 +52,8 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         "edges",
     )
     for _ in range(max_rounds):
-        # One row: the edges, and the nodes that still keep them from being stars, that is
-        # nodes with two edges up or with edges both up and down.
+        # One row: how many nodes still keep the edges from being stars, with two edges up or
+        # with edges both up and down.
         roles = current.select(
             F.inline(F.array(
                 F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
@@ -76,13 +62,11 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
         )
         per_node = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         state = per_node.agg(
-            F.coalesce(F.sum("up"), F.lit(0)).alias("edges"),
             F.count_if((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).alias("unsettled"),
         ).head()
         if state["unsettled"] == 0:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        n = state["edges"]
-        current = materialise(_small_star(_large_star(current, n), n), "edges")
+        current = materialise(_small_star(_large_star(current)), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -127,6 +127,7 @@ def _links(inner: DataFrame, outer: DataFrame, eps: float, comparisons: int) ->
             first = rows[:, touched].argmax(axis=0)
             out.append((right_ids[touched], ids[group[first]]))
         edges = pd.concat([pd.DataFrame({"u": u, "v": v}) for u, v in out]) if out else pd.DataFrame(columns=["u", "v"])
+        edges = edges[edges["u"] != edges["v"]]
         row, col = np.nonzero(near[~core])
         borders = pd.DataFrame({"u": left_ids[~core][row], "v": right_ids[col]})
         return pd.concat([edges.assign(border=False), borders.assign(border=True)])
@@ -134,6 +135,10 @@ def _links(inner: DataFrame, outer: DataFrame, eps: float, comparisons: int) ->
     return _meeting(inner, outer, comparisons).applyInPandas(link, "u bigint, v bigint, border boolean")
 
 
+def vectors_weight(points: DataFrame) -> int:
+    return points.agg(F.sum("weight")).head()[0]
+
+
 def dbscan(
     records: DataFrame,
     id_col: str = "id",
@@ -147,16 +152,21 @@ def dbscan(
         raise ValueError("eps must be positive and min_samples at least 1")
     spark = records.sparkSession
     slots = spark.sparkContext.defaultParallelism
-    vectors = materialise(
-        records.where(F.size(vec) > 0).select(F.col(id_col).cast("bigint").alias("id"), unit(vec).alias("vec")), "dbscan-vectors"
-    )
+    given = records.where(F.size(vec) > 0).select(F.col(id_col).cast("bigint").alias("id"), unit(vec).alias("vec"))
+    is_zero = ~F.exists("vec", lambda x: x != 0)
+    vectors = materialise(given.where(~is_zero), "dbscan-vectors")
+    # Zero vectors are one point too: 0 from each other and 1 from every unit vector.
+    zeros = materialise(given.where(is_zero).select("id"), "dbscan-zeros")
+    zero_id, zero_weight = zeros.agg(F.min("id"), F.count(F.lit(1))).head()
+    reached_weight = zero_weight if eps >= 1 else 0
     points = materialise(
         vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "dbscan-points"
     )
     n_points = points.count()
     pivots = sample_pivots(points, "id", "vec", max(1, -(-n_points // block_rows)), _angle_of(eps / 2))
     if not len(pivots):
-        return vectors.select("id", F.lit(NOISE).alias("cluster_id"))
+        alone = 0 if zero_weight >= min_samples else NOISE
+        return zeros.select("id", F.lit(alone).alias("cluster_id"))
     n_cells = len(pivots)
     homes = materialise(to_nearest_pivot(points, "vec", pivots), "dbscan-homes")
     stats = (
@@ -197,7 +207,7 @@ def dbscan(
     degrees = _degrees(inner.where(~F.col("core")), outer, eps, comparisons)
     with_core = materialise(
         flagged.join(degrees, "id", "left").withColumn(
-            "core", F.col("core") | (F.coalesce("degree", F.lit(0)) >= min_samples)
+            "core", F.col("core") | (F.coalesce("degree", F.lit(0)) + reached_weight >= min_samples)
         ),
         "dbscan-cores",
     )
@@ -205,22 +215,43 @@ def dbscan(
     links = materialise(_links(inner, outer, eps, comparisons), "dbscan-links")
     first_of_cell = with_core.where(in_dense).groupBy("cell").agg(F.min("id").alias("v"))
     spokes = with_core.where(in_dense).join(F.broadcast(first_of_cell), "cell").select(F.col("id").alias("u"), "v")
-    components = connected_components(links.where(~F.col("border")).select("u", "v").unionByName(spokes))
+    edges = links.where(~F.col("border")).select("u", "v").unionByName(spokes)
+    cores, borders = with_core.where("core").select("id"), links.where("border").select("u", "v")
+    if zero_weight:
+        # Within reach (eps of 1 or more) the zero point touches all others.
+        zero = spark.range(1).select(F.lit(zero_id).cast("bigint").alias("id"))
+        touched = vectors_weight(points) if eps >= 1 else 0
+        if zero_weight + touched >= min_samples:
+            cores = cores.unionByName(zero)
+            if eps >= 1:
+                hub = F.lit(zero_id).cast("bigint").alias("v")
+                edges = edges.unionByName(with_core.where("core").select(F.col("id").alias("u"), hub))
+                borders = borders.unionByName(with_core.where(~F.col("core")).select(F.col("id").alias("u"), hub))
+        elif eps >= 1:
+            borders = borders.unionByName(
+                with_core.where("core").select(F.lit(zero_id).cast("bigint").alias("u"), F.col("id").alias("v"))
+            )
+    components = connected_components(edges)
 
-    roots = with_core.where("core").select("id").join(
+    roots = cores.join(
         components.withColumnRenamed("node", "id"), "id", "left"
     ).select("id", F.coalesce("root", "id").alias("root"))
     numbers = row_ordinal(roots.select("root").distinct(), "root", "number")
     of_core = materialise(roots.join(numbers, "root").select("id", F.col("number").cast("int").alias("cluster_id")), "dbscan-labels")
     of_border = (
-        links.where("border")
-        .select(F.col("u").alias("point"), F.col("v").alias("id"))
+        borders.select(F.col("u").alias("point"), F.col("v").alias("id"))
         .join(of_core, "id")
         .groupBy("point")
         .agg(F.min("cluster_id").alias("cluster_id"))
         .withColumnRenamed("point", "id")
     )
-    of_point = points.join(of_core.unionByName(of_border), "id", "left").select(
+    labelled = of_core.unionByName(of_border)
+    of_point = points.join(labelled, "id", "left").select(
         "vec", F.coalesce("cluster_id", F.lit(NOISE)).alias("cluster_id")
     )
-    return vectors.join(of_point, "vec").select("id", "cluster_id")
+    found = vectors.join(of_point, "vec").select("id", "cluster_id")
+    if not zero_weight:
+        return found
+    # One row or none.
+    of_zero = labelled.where(F.col("id") == zero_id).agg(F.coalesce(F.min("cluster_id"), F.lit(NOISE)).alias("cluster_id"))
+    return found.unionByName(zeros.join(F.broadcast(of_zero)).select("id", "cluster_id"))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tandem.functions.cells import WHITESPACE, as_column, contextual_content, strip
 from tandem.models import Judge, Throttle
 
-# Completion budget (floor, ceiling, base, per candidate), request-rate limit
-# of a run, and the longest reason text kept.
+# Completion budget (floor, ceiling, base, per candidate) and request-rate limit
+# of a run. And the length at which texts beside a score are cut, unless the caller says
+# otherwise.
 TOKENS_MIN, TOKENS_MAX, TOKENS_BASE, TOKENS_PER_CANDIDATE = 2048, 8192, 258, 128
 MAX_RUN_RPM = 360
 META_TEXT_LIMIT = 2000
@@ -44,21 +45,24 @@ def judge_texts(
     rows: DataFrame,
     left_columns: Sequence[str] | None = None,
     right_columns: Sequence[str] | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """``id, text`` for the judge: rebuilt from other columns of the source rows (joined on
-    side and row number) where a side has such columns, else the stored text.
+    side and row number, within each ``by`` value) where a side has such columns, else the
+    stored text.
 
-    ``rows`` carries ``side, original_row, sheet_name`` and the source columns.
+    ``rows`` carries ``side, original_row, sheet_name``, the ``by`` columns and the source
+    columns.
     """
-    base = records.select("id", "side", "original_row", F.coalesce("contextual_content", F.lit("")).alias("stored"))
+    base = records.select(*by, "id", "side", "original_row", F.coalesce("contextual_content", F.lit("")).alias("stored"))
     if not left_columns and not right_columns:
         return base.select("id", F.col("stored").alias("text"))
     rebuilt = F.when(F.col("side") == "left", contextual_content(left_columns)) if left_columns else None
     if right_columns:
         test, text = F.col("side") == "right", contextual_content(right_columns)
         rebuilt = rebuilt.when(test, text) if rebuilt is not None else F.when(test, text)
-    own = rows.select("side", "original_row", rebuilt.alias("rebuilt"))
-    return base.join(own, ["side", "original_row"], "left").select(
+    own = rows.select(*by, "side", "original_row", rebuilt.alias("rebuilt"))
+    return base.join(own, [*by, "side", "original_row"], "left").select(
         "id", F.coalesce("rebuilt", "stored").alias("text")
     )
 
@@ -150,27 +154,29 @@ def _clamped(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def _meta(v: Column) -> Column:
+def _meta(v: Column, text_limit: int | None) -> Column:
     """Text, number, boolean and null members other than the score, as text; none = null."""
     members = F.try_variant_get(v, "$", "map<string,variant>")
     kept = F.map_filter(members, lambda k, x: (k != "score") & ~_kind(x).isin("ARRAY", "OBJECT"))
 
     def text(k: Column, x: Column) -> Column:
         s = F.try_variant_get(x, "$", "string")
-        cut = F.concat(F.substring(s, 1, META_TEXT_LIMIT), F.lit("…"))
-        return F.when((_kind(x) == "STRING") & (F.length(s) > META_TEXT_LIMIT), cut).otherwise(s)
+        if text_limit is None:
+            return s
+        cut = F.concat(F.substring(s, 1, text_limit), F.lit("…"))
+        return F.when((_kind(x) == "STRING") & (F.length(s) > text_limit), cut).otherwise(s)
 
     as_text = F.transform_values(kept, text)
     return F.when(F.size(as_text) > 0, as_text)
 
 
-def _slot(v: Column) -> Column:
+def _slot(v: Column, text_limit: int | None) -> Column:
     """``score, meta`` of one array element: a number, or an object with a numeric score."""
     inner = _bind(F.try_variant_get(v, "$.score", "variant"), _number)
 
     def scored(found: Column) -> Column:
         score = F.coalesce(found["plain"], found["inner"])
-        meta = F.when(found["inner"].isNotNull(), _meta(v))
+        meta = F.when(found["inner"].isNotNull(), _meta(v, text_limit))
         return F.when(score.isNotNull(), F.struct(_clamped(score).alias("score"), meta.alias("meta")))
 
     return _bind(F.struct(_number(v).alias("plain"), inner.alias("inner")), scored)
@@ -184,8 +190,9 @@ def without_fence(text: Column | str) -> Column:
     return strip(F.when(raw.startswith("```"), closed).otherwise(raw))
 
 
-def parsed_slots(reply: Column | str, n: Column | str) -> Column:
-    """array<struct<score, meta>> with exactly ``n`` entries.
+def parsed_slots(reply: Column | str, n: Column | str, text_limit: int | None = META_TEXT_LIMIT) -> Column:
+    """array<struct<score, meta>> with exactly ``n`` entries; texts beside a score are cut at
+    ``text_limit`` characters, or not at all.
 
     Accepted: an array (cut or padded to n), ``{"scores": [...]}``, and for one candidate
     ``{"score": x}``. Anything else leaves every entry null.
@@ -202,7 +209,7 @@ def parsed_slots(reply: Column | str, n: Column | str) -> Column:
         entries = F.when(alone, F.array(v)).otherwise(listed)
         return _bind(
             entries,
-            lambda e: F.transform(F.sequence(F.lit(1), count), lambda i: _bind(F.try_element_at(e, i), _slot)),
+            lambda e: F.transform(F.sequence(F.lit(1), count), lambda i: _bind(F.try_element_at(e, i), lambda x: _slot(x, text_limit))),
         )
 
     parsed = F.try_parse_json(without_fence(reply))

@@ -21,7 +21,7 @@ from tandem.functions.cells import as_column
 from tandem.functions.text import ANALYZERS, english_stem, is_stop_word, tokens
 from tandem.session import materialise
 
-# Candidates kept per retriever, and the published BM25 parameters.
+# Candidates per retriever by default, and the published BM25 parameters (fixed values).
 POOL = 50
 K1 = 1.2
 B = 0.75
@@ -160,9 +160,5 @@ def keyword_topk(index: KeywordIndex, queries: DataFrame, pool: int = POOL) -> D
 
 
 def keyword_baseline(index: KeywordIndex, queries: DataFrame, k: int) -> DataFrame:
-    """Keyword-only search: the best ``k`` of the pool, score at four decimals."""
-    return (
-        keyword_topk(index, queries)
-        .where(F.col("rank") <= k)
-        .withColumn("score", F.round("score", 4))
-    )
+    """Keyword-only search: the best ``k``, score at four decimals."""
+    return keyword_topk(index, queries, k).withColumn("score", F.round("score", 4))

@@ -16,21 +16,16 @@ from tandem.models import PairScorer, model_tasks, overlap_score, score_column
 from tandem.operators.judge import completion_budget
 from tandem.operators.topk import topk_cosine
 
-# Limits of a run without vectors, and of left rows per run.
-MAX_RIGHTS_DEFAULT = 100
-MAX_RIGHTS = 500
-MAX_LEFT_ROWS = 50_000
-
 
 def side_of(records: DataFrame, side: str) -> DataFrame:
     return records.where(F.col("side") == side)
 
 
 def first_left_rows(left: DataFrame, limit: int | None, by: Sequence[str] = ()) -> DataFrame:
-    """A trial run's first rows by id (1..50,000); no limit keeps all."""
+    """A trial run's first ``limit`` rows by id; without a limit all."""
     if limit is None or limit < 1:
         return left
-    n = min(limit, MAX_LEFT_ROWS)
+    n = limit
     if by:
         place = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
         return left.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
@@ -44,9 +39,16 @@ def vector_candidates(left: DataFrame, right: DataFrame, k: int, by: Sequence[st
     return topk_cosine(lefts, rights, k, by=by, **options)
 
 
-def capped_rights(right: DataFrame, limit: int | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """First right ids, clamped to 1..500 (default 100), as one array per ``by`` value."""
-    n = max(1, min(MAX_RIGHTS_DEFAULT if limit is None else limit, MAX_RIGHTS))
+def left_rows_report(left: DataFrame, limit: int | None) -> DataFrame:
+    """``lefts_used, lefts_total, limited``."""
+    total = F.count(F.lit(1))
+    used = total if limit is None or limit < 1 else F.least(total, F.lit(limit))
+    return left.agg(used.cast("bigint").alias("lefts_used"), total.alias("lefts_total"), (used < total).alias("limited"))
+
+
+def capped_rights(right: DataFrame, limit: int, by: Sequence[str] = ()) -> DataFrame:
+    """The first ``limit`` right ids as one array per ``by`` value."""
+    n = _at_least_one(limit)
     if by:
         place = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
         first = right.select(*by, "id", place.alias("__place")).where(F.col("__place") <= n)
@@ -55,13 +57,17 @@ def capped_rights(right: DataFrame, limit: int | None = None, by: Sequence[str]
     return first.groupBy(*by).agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def capped_candidates(
-    left: DataFrame, right: DataFrame, limit: int | None = None, by: Sequence[str] = ()
-) -> DataFrame:
-    """Every left row with the first right rows, cosine 0: the run without vectors.
+def _at_least_one(limit: int | None) -> int:
+    if limit is None or limit < 1:
+        raise ValueError("a run without vectors needs the number of right rows to pair with each left row")
+    return limit
+
+
+def capped_candidates(left: DataFrame, right: DataFrame, limit: int, by: Sequence[str] = ()) -> DataFrame:
+    """Every left row with the first ``limit`` right rows, cosine 0: the run without vectors.
 
-    The right ids travel as arrays of at most 500 ids (one row unless ``by`` is given), so
-    the left side is not shuffled for them.
+    The right ids travel as arrays of that many ids (one row unless ``by`` is given), so the
+    left side is not shuffled for them.
     """
     ids = capped_rights(right, limit, by)
     lefts = left.select(*by, F.col("id").alias("left_id"))
@@ -71,9 +77,9 @@ def capped_candidates(
     )
 
 
-def capped_rights_report(right: DataFrame, limit: int | None = None) -> DataFrame:
+def capped_rights_report(right: DataFrame, limit: int) -> DataFrame:
     """``rights_loaded, rights_total, truncated``."""
-    n = max(1, min(MAX_RIGHTS_DEFAULT if limit is None else limit, MAX_RIGHTS))
+    n = _at_least_one(limit)
     total = F.count(F.lit(1))
     return right.agg(
         F.least(total, F.lit(n)).cast("bigint").alias("rights_loaded"),

@@ -9,8 +9,10 @@ globally.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.cells import quoted
@@ -23,6 +25,12 @@ def _with_block(df: DataFrame, order: str, block_rows: int) -> DataFrame:
     return df.withColumn(_BLOCK, F.floor(quoted(order) / F.lit(block_rows)))
 
 
+def _same_keys(summary: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """A summary table and the condition that joins rows to it; a null key is a key."""
+    renamed = summary.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    return renamed, reduce(and_, [quoted(k).eqNullSafe(quoted(f"__of_{k}")) for k in keys])
+
+
 def row_ordinal(
     df: DataFrame,
     order: str,
@@ -43,9 +51,9 @@ def row_ordinal(
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(quoted(order)))
     return (
         blocked.withColumn("__local", local)
-        .join(starts, keys)
+        .join(*_same_keys(starts, keys))
         .withColumn(name, F.col("__start") + F.col("__local") - 1)
-        .drop(_BLOCK, "__local", "__start")
+        .drop(_BLOCK, "__local", "__start", *[f"__of_{k}" for k in keys])
     )
 
 
@@ -82,7 +90,7 @@ def forward_fill(
     )
     filled = blocked
     local = {c: F.last(quoted(c), ignorenulls=True).over(inside) for c in columns}
-    filled = filled.withColumns(local).join(carried, keys)
+    filled = filled.withColumns(local).join(*_same_keys(carried, keys))
     return filled.withColumns(
         {c: F.coalesce(quoted(c), F.col(f"__carry{i}")) for i, c in enumerate(columns)}
     ).select(*[quoted(c) for c in df.columns])

@@ -8,29 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.cells import cell_text, contextual_content, quoted, strip, vector_preview
-from tandem.functions.patterns import RowFilter, check_row_filters, row_filter
+from tandem.functions.patterns import RowFilter, require_valid, row_filter
 from tandem.sources.records import SIDES
 
-# List and page limits.
+# Values listed by default.
 MAX_VALUES = 100
-MAX_BROWSE = 200
-MAX_SAMPLES = 20
-MAX_PREVIEW = 5
+
+
+def page(size: int) -> int:
+    """The caller's page size; a page holds at least one row."""
+    if size < 1:
+        raise ValueError("a page holds at least one row")
+    return size
 
 
 def filtered(rows: DataFrame, filters: Sequence[RowFilter]) -> DataFrame:
-    check_row_filters(filters, rows.columns)
+    require_valid(filters, rows.columns)
     return rows.where(row_filter(filters, rows.columns))
 
 
 def browse_records(records: DataFrame, side: str | None = None, limit: int = 25) -> DataFrame:
-    """First records by id (1..200) with a vector preview and the total in ``total``."""
+    """First ``limit`` records by id with a vector preview and the total in ``total``."""
     if side is not None:
         if side not in SIDES:
             raise ValueError("side must be 'left' or 'right'")
         records = records.where(F.col("side") == side)
     total = records.agg(F.count(F.lit(1)).alias("total"))
-    first = records.orderBy("id").limit(max(1, min(limit, MAX_BROWSE)))
+    first = records.orderBy("id").limit(page(limit))
     if "embedding" in records.columns:
         first = first.withColumn("embedding", vector_preview("embedding"))
     return first.join(F.broadcast(total))
@@ -54,10 +58,12 @@ def _first_values(values: DataFrame, order, max_values: int) -> DataFrame:
     """First values in order and whether there were more. One row beyond the limit is
     fetched to know."""
     first = values.orderBy(*order).limit(max_values + 1)
-    listed = first.agg(F.collect_list("value").alias("all"))
-    ordered = F.col("all")
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    entry = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], "value")
+    listed = first.agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    ordered = F.transform("all", lambda x: x["value"])
     return listed.select(
-        F.explode(F.slice(ordered, 1, max_values)).alias("value"), (F.size(ordered) > max_values).alias("truncated")
+        F.explode(F.slice(ordered, 1, max_values)).alias("value"), (F.size("all") > max_values).alias("truncated")
     )
 
 
@@ -79,9 +85,9 @@ def distinct_cells(
 
 
 def column_samples(rows: DataFrame, columns: Sequence[str], order: str, n: int = 5) -> DataFrame:
-    """``column, position, value``: the first cells (1..20) of each column."""
+    """``column, position, value``: the first n cells of each column."""
     known = [c for c in columns if c in rows.columns]
-    first = rows.orderBy(order).limit(max(1, min(n, MAX_SAMPLES)))
+    first = rows.orderBy(order).limit(page(n))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), cell_text(quoted(c)).alias("value")) for c in known])
     listed = first.agg(F.array_sort(F.collect_list(F.struct(quoted(order).alias("o"), cells.alias("cells")))).alias("rows"))
     return listed.select(F.posexplode("rows").alias("position", "row")).select(
@@ -91,7 +97,7 @@ def column_samples(rows: DataFrame, columns: Sequence[str], order: str, n: int =
 
 def filter_counts(rows: DataFrame, filters: Sequence[RowFilter]) -> DataFrame:
     """``rows_unfiltered, rows_filtered`` in one pass."""
-    check_row_filters(filters, rows.columns)
+    require_valid(filters, rows.columns)
     return rows.agg(
         F.count(F.lit(1)).alias("rows_unfiltered"),
         F.count_if(row_filter(filters, rows.columns)).alias("rows_filtered"),
@@ -106,9 +112,9 @@ def context_preview(
     filters: Sequence[RowFilter] = (),
     n: int = 3,
 ) -> DataFrame:
-    """The first record texts (1..5) that the chosen columns would give."""
+    """The first n record texts that the chosen columns would give."""
     if not context_columns and not content_column:
         raise ValueError("choose at least one column")
     text = contextual_content(context_columns, content_column)
     built = filtered(rows, filters).select(quoted(order).alias("row_no"), text.alias("sample"))
-    return built.where(strip("sample") != "").orderBy("row_no").limit(max(1, min(n, MAX_PREVIEW)))
+    return built.where(strip("sample") != "").orderBy("row_no").limit(page(n))

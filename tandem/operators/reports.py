@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tandem.operators.profile import page
 from tandem.functions.scores import (
     confirmed_outcome_text,
     effective_ids,
@@ -59,8 +60,8 @@ def raw_pairs(records: DataFrame, matches: DataFrame, decisions: DataFrame) -> D
 
 
 def browse_pairs(records: DataFrame, matches: DataFrame, limit: int = 50, left_row: int | None = None) -> DataFrame:
-    """First pairs by left row and rank (1..500), with the total in ``total``."""
-    n = max(1, min(limit, 500))
+    """First ``limit`` pairs by left row and rank, with the total in ``total``."""
+    n = page(limit)
     rows = _pairs(matches, records)
     if left_row is not None:
         rows = rows.where(F.col("left_row") == left_row)

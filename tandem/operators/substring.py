@@ -101,11 +101,9 @@ def substring_topk(
         .where(F.col("__place") == 1)
     )
     candidates = chosen.select("query_id", "query_text", "kind", "probe").join(have, ["kind", "probe"]).drop("kind", "probe")
-    pattern = F.concat(F.lit("%"), F.col("query_text"), F.lit("%"))
-    whole = reduce(or_, [F.coalesce(F.ilike(quoted(t), F.col("__pattern")), F.lit(False)) for t in texts])
+    whole = reduce(or_, [F.coalesce(ilike_contains(quoted(t), F.col("query_text")), F.lit(False)) for t in texts])
     verified = (
-        candidates.withColumn("__pattern", pattern)
-        .join(records.select(F.col(id_col).alias("id"), *[quoted(t) for t in texts]), "id")
+        candidates.join(records.select(F.col(id_col).alias("id"), *[quoted(t) for t in texts]), "id")
         .where(whole)
     )
     order = Window.partitionBy("query_id").orderBy("id")

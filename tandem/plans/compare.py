@@ -38,6 +38,8 @@ class RunConfig:
             raise ValueError("at least one stage must be enabled")
         if not self.vector_enabled and not self.judge_enabled:
             raise ValueError("without vectors the judge must be enabled to score the pairs")
+        if not self.vector_enabled and (self.max_rights or 0) < 1:
+            raise ValueError("without vectors max_rights says how many right rows each left row meets")
 
 
 @dataclass(frozen=True)
@@ -64,10 +66,15 @@ def embed_records(
 
 
 def _judged(
-    pairs: DataFrame, records: DataFrame, config: RunConfig, judge: Judge, rows: DataFrame | None
+    pairs: DataFrame,
+    records: DataFrame,
+    config: RunConfig,
+    judge: Judge,
+    rows: DataFrame | None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     if (config.judge_left_columns or config.judge_right_columns) and rows is not None:
-        texts = judging.judge_texts(records, rows, config.judge_left_columns, config.judge_right_columns)
+        texts = judging.judge_texts(records, rows, config.judge_left_columns, config.judge_right_columns, by)
     else:
         texts = judging.judge_texts(records, records)
     prompts = judging.judge_prompts(pairs, texts)
@@ -108,7 +115,7 @@ def run_compare(
         # Used by the prompts and by the final ranking: searched and reranked once.
         pairs = materialise(pairs, "run-candidates")
         candidates = pairs.select(*candidates.columns)
-    judged = _judged(pairs, records, config, judge, source_rows) if config.judge_enabled else None
+    judged = _judged(pairs, records, config, judge, source_rows, by) if config.judge_enabled else None
     scored = matching.with_scores(pairs, judged)
     return RunResult(candidates, scored, matching.rank_matches(scored, config.top_k), config.judge_enabled)
 
@@ -133,22 +140,27 @@ def rejudge(
 _JOB_STRIDE = 1 << 40
 
 
-def run_many(records: DataFrame, config: RunConfig, **models) -> DataFrame:
+def run_many(records: DataFrame, config: RunConfig, source_rows: DataFrame | None = None, **models) -> DataFrame:
     """Matches of many independent jobs: ``job_id`` and the match columns.
 
-    ``records`` of all jobs stand in one table with ``job_id``. Every join and window is
-    keyed by job, so all jobs run as one Spark job, large and small ones side by side.
-    Call once per distinct configuration.
+    ``records`` of all jobs stand in one table with ``job_id``, and so do the ``source_rows``
+    that the judge's texts are rebuilt from. Every join and window is keyed by job, so all jobs
+    run as one Spark job, large and small ones side by side; records without a job are a job of
+    their own. Call once per distinct configuration.
     """
     jobs = records.select("job_id").distinct()
-    numbers = jobs.withColumn("job_no", F.row_number().over(Window.orderBy("job_id")).cast("bigint"))
-    fits = F.assert_true((F.col("id") >= 0) & (F.col("id") < _JOB_STRIDE), "record ids must be below 2^40")
-    numbered = (
-        records.join(numbers, "job_id")
-        .where(fits.isNull())
-        .withColumn("id", F.col("job_no") * _JOB_STRIDE + F.col("id"))
+    numbers = jobs.select(
+        F.col("job_id").alias("__job"), F.row_number().over(Window.orderBy("job_id")).cast("bigint").alias("job_no")
     )
+
+    def with_number(rows: DataFrame) -> DataFrame:
+        return rows.join(numbers, rows["job_id"].eqNullSafe(numbers["__job"])).drop("__job")
+
+    fits = F.assert_true((F.col("id") >= 0) & (F.col("id") < _JOB_STRIDE), "record ids must be below 2^40")
+    numbered = with_number(records).where(fits.isNull()).withColumn("id", F.col("job_no") * _JOB_STRIDE + F.col("id"))
+    if source_rows is not None:
+        models["source_rows"] = with_number(source_rows)
     matches = run_compare(numbered, config, by=["job_no"], **models).matches
     back = {c: F.pmod(F.col(c), F.lit(_JOB_STRIDE)) for c in ("left_id", "right_id")}
     with_no = matches.withColumn("job_no", F.floor(F.col("left_id") / F.lit(_JOB_STRIDE)))
-    return with_no.withColumns(back).join(numbers, "job_no").drop("job_no")
+    return with_no.withColumns(back).join(numbers, "job_no").withColumnRenamed("__job", "job_id").drop("job_no")

@@ -15,14 +15,17 @@ from tandem.operators.substring import substring_topk
 from tandem.operators.topk import topk_cosine
 from tandem.session import materialise
 
-# Results returned by default and at most.
+# Results returned by default.
 K_DEFAULT = 5
-K_MAX = 50
 
 
 @dataclass(frozen=True)
 class SearchConfig:
+    """``pool`` is the number of candidates each retriever gives and the merge keeps; it is
+    never less than ``k``."""
+
     k: int = K_DEFAULT
+    pool: int = POOL
     use_vector: bool = True
     use_keyword: bool = True
     use_rrf: bool = True
@@ -32,10 +35,12 @@ class SearchConfig:
     def __post_init__(self) -> None:
         if not (self.use_vector or self.use_keyword):
             raise ValueError("at least one of vector and keyword search must be on")
+        if self.k < 1 or self.pool < 1:
+            raise ValueError("k and pool must be at least 1")
 
     @property
-    def results(self) -> int:
-        return min(self.k, K_MAX)
+    def candidates(self) -> int:
+        return max(self.k, self.pool)
 
     @property
     def reranks(self) -> bool:
@@ -88,14 +93,14 @@ def search_stages(
         queries = queries.withColumn("query_vec", embed_column("query_text", embedder))
     if config.use_keyword and index is None:
         raise ValueError("keyword search needs an index")
-    # Both lists (at most the pool per query) feed the merge, the scores and the counts:
+    # Both lists (at most the candidates per query) feed the merge, the scores and the counts:
     # searched once.
-    vector = materialise(vector_list(records, queries), "vector-list") if config.use_vector else None
-    keyword = materialise(keyword_topk(index, queries), "keyword-list") if config.use_keyword else None
+    vector = materialise(vector_list(records, queries, config.candidates), "vector-list") if config.use_vector else None
+    keyword = materialise(keyword_topk(index, queries, config.candidates), "keyword-list") if config.use_keyword else None
     one = vector if vector is not None else keyword
     merge = fusion.rrf_merge if config.use_rrf else fusion.vector_primary_merge
     merged = merge(vector if vector is not None else _nothing(one), keyword if keyword is not None else _nothing(one))
-    pool = fusion.cut(merged, POOL).select("query_id", "id", "kw_rank", F.col("rank").alias("merged_rank"))
+    pool = fusion.cut(merged, config.candidates).select("query_id", "id", "kw_rank", F.col("rank").alias("merged_rank"))
     if config.use_vector:
         pool = pool.join(vector.select("query_id", "id", "cosine"), ["query_id", "id"], "left")
     else:
@@ -131,7 +136,7 @@ def hybrid_search(
     """``query_id, rank, id, score, cosine_score, bm25_rank, rerank_score`` and the display
     columns, which are joined last."""
     stages = search_stages(records, queries, index, config, embedder=embedder, scorer=scorer)
-    best = stages.ranked.where(F.col("rank") <= config.results).select(
+    best = stages.ranked.where(F.col("rank") <= config.k).select(
         "query_id",
         "rank",
         "id",
@@ -160,7 +165,7 @@ def stage_counts(stages: SearchStages, queries: DataFrame) -> DataFrame:
             out = out.withColumn(name, F.lit(None).cast("bigint"))
         else:
             out = out.join(part, "query_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out.withColumn("returned", F.least("merged", F.lit(stages.config.results)).cast("bigint"))
+    return out.withColumn("returned", F.least("merged", F.lit(stages.config.k)).cast("bigint"))
 
 
 def evaluation_contexts(
@@ -174,7 +179,7 @@ def evaluation_contexts(
 ) -> DataFrame:
     """``query_id, question, contexts, ground_truth``: the texts retrieved per question.
 
-    ``cases``: ``query_id, question, ground_truth``. A list holds at most 50 texts.
+    ``cases``: ``query_id, question, ground_truth``. A list holds at most ``k`` texts.
     """
     queries = cases.select("query_id", F.col("question").alias("query_text"))
     best = hybrid_search(
@@ -231,7 +236,6 @@ def search(
     **models,
 ) -> DataFrame:
     """One entry for the three search modes: ``id``, ``legacy`` and ``topic``."""
-    k = min(k, K_MAX)
     if mode == "id":
         if not id_column:
             raise ValueError("id search needs an id column")

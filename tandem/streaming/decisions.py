@@ -13,6 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tandem.operators.decisions import current_decisions, latest_per_left
 
+# The folder of compacted rows; micro-batches count from 0.
+COMPACTED = -1
+
 
 def start_decisions(log: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -32,4 +35,4 @@ def read_current(spark: SparkSession, path: str) -> DataFrame:
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the latest rows (deletions included) of all batches to a new log folder."""
-    latest_per_left(spark.read.parquet(path).drop("batch")).write.mode("overwrite").parquet(f"{target}/batch=0")
+    latest_per_left(spark.read.parquet(path).drop("batch")).write.mode("overwrite").parquet(f"{target}/batch={COMPACTED}")

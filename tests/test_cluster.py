@@ -78,14 +78,20 @@ def test_components_of_a_long_chain_a_hub_and_a_ring(spark):
     assert got == want
 
 
-def test_hubs_take_the_broadcast_way(spark, monkeypatch):
-    monkeypatch.setattr("tandem.operators.components.HUB_MINIMUM", 10)
-    monkeypatch.setattr("tandem.operators.components.HUB_SHARE", 1000)
+def test_hubs_and_chains_settle(spark):
     edges = [(50, i) for i in range(51, 120)] + [(200, i) for i in range(60, 100)] + [(300, 301)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 50 for i in [*range(50, 120), 200]} | {300: 300, 301: 300}
 
 
+@pytest.mark.parametrize("eps, expected", [(0.3, {10: 0, 20: 1, 30: -1}), (1.0, {10: 0, 20: 0, 30: 0})])
+def test_zero_vectors_are_one_point(spark, eps, expected):
+    rows = [(10 + i, [0.0, 0.0]) for i in range(6)] + [(20 + i, [1.0, 0.0]) for i in range(5)] + [(30, [0.0, 1.0])]
+    got = {r.id: r.cluster_id for r in dbscan(spark.createDataFrame(rows, "id long, embedding array<double>"), eps=eps).collect()}
+    assert {i: got[i] for i in expected} == expected
+    assert len({got[i] for i in range(10, 16)}) == 1 and len({got[i] for i in range(20, 25)}) == 1
+
+
 def test_kmeans_bounds_and_groups(spark):
     data = frame(spark, blobs(5))
     labels = clustering.kmeans(data, 4)

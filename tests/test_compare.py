@@ -79,10 +79,11 @@ def test_score_rules(spark):
 def test_run_settings():
     for bad in (
         {"vector_enabled": False}, {"vector_enabled": False, "reranker_enabled": True}, {"top_k": 0},
+        {"vector_enabled": False, "judge_enabled": True},
     ):
         with pytest.raises(ValueError):
             compare.RunConfig(**bad)
-    compare.RunConfig(vector_enabled=False, judge_enabled=True)
+    compare.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=10)
 
 
 @pytest.fixture(scope="module")
@@ -142,8 +143,15 @@ def test_caps(spark, records):
     left, right = matching.side_of(records, "left"), matching.side_of(records, "right")
     pairs = matching.capped_candidates(left, right, 2).collect()
     assert {(r.left_id, r.right_id, r.cand_pos) for r in pairs} == {(2 * i, 2 * j + 1, j + 1) for i in range(6) for j in range(2)}
-    report = matching.capped_rights_report(right, 0).head()
+    report = matching.capped_rights_report(right, 1).head()
     assert (report.rights_loaded, report.rights_total, report.truncated) == (1, 9, True)
+    with pytest.raises(ValueError):
+        matching.capped_rights_report(right, 0)
+    many = spark.range(60_100)
+    assert matching.first_left_rows(many, 60_000).count() == 60_000
+    assert matching.capped_rights(many, 1000).select(F.size("ids")).head()[0] == 1000
+    report = matching.left_rows_report(left, 2).head()
+    assert (report.lefts_used, report.lefts_total, report.limited) == (2, 6, True)
     assert [r.id for r in matching.first_left_rows(left, 2).collect()] == [0, 2]
     assert matching.first_left_rows(left, None).count() == 6
 
@@ -168,3 +176,48 @@ def test_many_jobs_equal_single_runs(spark, records):
     for job, part in (("a", records), ("b", records.where("id < 9"))):
         want |= {(job, r.left_id, r.right_id, r["rank"]) for r in compare.run_compare(part, config).matches.collect()}
     assert got == want
+
+
+class FailsOnOne:
+    """A scorer that breaks on a batch that holds the text ``bad``."""
+
+    def score(self, queries, texts):
+        if "bad" in queries:
+            raise RuntimeError("no")
+        return [0.9 for _ in queries]
+
+
+def test_a_failing_left_row_falls_back_alone(spark):
+    pairs = spark.createDataFrame(
+        [(left, right, 0.1, 1) for left in range(5) for right in (10, 11)],
+        "left_id long, right_id long, cosine_score double, cand_pos int",
+    )
+    texts = spark.createDataFrame([(i, "bad" if i == 3 else f"text {i}") for i in [*range(5), 10, 11]], "id long, text string")
+    got = matching.rerank_pairs(pairs.coalesce(1), texts, FailsOnOne()).collect()
+    assert {(r.left_id, r.rerank_score) for r in got} == {(i, 0.1 if i == 3 else 0.9) for i in range(5)}
+
+
+class TextLengths:
+    """Scores each candidate by how long its text is, which only fits its own job's texts."""
+
+    def reply(self, system_prompt, prompt, max_tokens):
+        blocks = prompt.split("--- Candidate ")[1:]
+        return str([min(1.0, len(b.split("---\n", 1)[1].strip()) / 100) for b in blocks])
+
+
+def test_jobs_with_the_same_rows_are_judged_apart(spark):
+    rows, source = [], []
+    for job in ("a", "b", None):
+        for i in range(4):
+            side = "left" if i < 2 else "right"
+            rows.append((job, i, side, i % 2, "s", f"text {i}", None, [1.0, 0.1 * i]))
+            source.append((job, side, i % 2, "s", "x" * (10 + i if job == "a" else 50 + i)))
+    records = spark.createDataFrame(
+        rows, "job_id string, id long, side string, original_row long, sheet_name string, contextual_content string,"
+        " display_value string, embedding array<double>")
+    extra = spark.createDataFrame(source, "job_id string, side string, original_row long, sheet_name string, note string")
+    config = compare.RunConfig(top_k=2, judge_enabled=True, judge_left_columns=["note"], judge_right_columns=["note"])
+    got = compare.run_many(records, config, source_rows=extra, judge=TextLengths()).collect()
+    assert len(got) == 12 and {r.job_id for r in got} == {"a", "b", None}
+    assert {len({(r.left_id, r.right_id) for r in got if r.job_id == job}) for job in ("a", "b", None)} == {4}
+    assert max(r.judge_score for r in got if r.job_id == "a") < min(r.judge_score for r in got if r.job_id == "b")

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 from tandem.functions import cells
 from tandem.functions.patterns import (
     RowFilter,
-    check_row_filters,
+    require_valid,
     ilike_contains,
-    normalise_cluster_filters,
+    cluster_filters,
     row_filter,
     text_contains,
 )
@@ -102,21 +102,44 @@ def test_row_filters(spark):
 
 
 def test_filter_checks():
-    check_row_filters([RowFilter("a", "empty")], ["a"])
+    require_valid([RowFilter("a", "empty")], ["a"])
     for bad in (RowFilter("b", "empty"), RowFilter("a", "contains", " "), RowFilter("a", "regex", "(")):
         with pytest.raises(ValueError):
-            check_row_filters([bad], ["a"])
+            require_valid([bad], ["a"])
+
+
+def test_patterns_are_checked_by_the_engine_that_runs_them(spark):
+    df = spark.createDataFrame([("a",)], "a string")
+    for broken in ("(", "(?P<n>a)"):
+        with pytest.raises(ValueError):
+            require_valid([RowFilter("a", "regex", broken)], ["a"])
+        assert df.where(row_filter([RowFilter("a", "regex", broken)], ["a"])).count() == 0
+
+
+def test_rows_without_a_group_are_a_group(spark):
+    rows = [(0, None, "x"), (1, None, None), (2, "g", None), (3, "g", "y")]
+    df = spark.createDataFrame(rows, "n long, g string, v string")
+    assert [r.v for r in forward_fill(df, ["v"], "n", ["g"]).orderBy("n").collect()] == ["x", "x", None, "y"]
+    assert [r.original_row for r in row_ordinal(df, "n", group=["g"]).orderBy("n").collect()] == [0, 1, 0, 1]
+
+
+def test_a_backslash_before_a_letter_is_that_letter(spark):
+    df = spark.createDataFrame([("c:dir",), ("c:\\dir",), ("50%",)], "t string")
+    assert [r.t for r in df.where(ilike_contains("t", "C:\\dir")).collect()] == ["c:dir"]
+    assert [r.t for r in df.where(ilike_contains("t", F.lit("C:\\dir"))).collect()] == ["c:dir"]
+    assert [r.t for r in df.where(ilike_contains("t", "C:\\\\dir")).collect()] == ["c:\\dir"]
+    assert [r.t for r in df.where(ilike_contains("t", "0\\%")).collect()] == ["50%"]
 
 
 def test_cluster_filter_rules():
-    merged = normalise_cluster_filters([("a", [" x ", "x", "y"]), ("b", [""]), ("a", ["z"])], ["a", "b"])
-    assert merged == [("a", ["z"])]
+    merged = cluster_filters([("a", [" x ", "x", "y"]), ("b", [""]), ("a", ["z"])], ["a", "b"])
+    assert [(f.column, f.values) for f in merged] == [("a", ("z",))]
     with pytest.raises(ValueError):
-        normalise_cluster_filters([("c", ["x"])], ["a"])
+        cluster_filters([("c", ["x"])], ["a"])
     with pytest.raises(ValueError):
-        normalise_cluster_filters([(str(i), ["x"]) for i in range(11)], map(str, range(11)))
+        cluster_filters([(str(i), ["x"]) for i in range(11)], map(str, range(11)))
     with pytest.raises(ValueError):
-        normalise_cluster_filters([("a", map(str, range(101)))], ["a"])
+        cluster_filters([("a", map(str, range(101)))], ["a"])
 
 
 def test_wildcards_count_in_ids_but_not_in_review_text(spark):

@@ -197,7 +197,7 @@ def test_search_modes(spark, corpus):
         search.search("other", corpus, asked)
     with pytest.raises(ValueError):
         search.SearchConfig(use_vector=False, use_keyword=False)
-    assert search.SearchConfig(k=80).results == 50
+    assert search.SearchConfig(k=80).candidates == 80
     assert not search.SearchConfig(rerank_allowed=False).reranks
 
 

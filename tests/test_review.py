@@ -141,7 +141,9 @@ def test_browse_limits(records, matches):
     assert [(r.id, r.total) for r in rows] == [(100, 5), (101, 5)]
     with pytest.raises(ValueError):
         profile.browse_records(records, "middle")
-    pairs = reports.browse_pairs(records, matches, 0, left_row=4).collect()
+    with pytest.raises(ValueError):
+        reports.browse_pairs(records, matches, 0)
+    pairs = reports.browse_pairs(records, matches, 1, left_row=4).collect()
     assert len(pairs) == 1 and pairs[0].total == 3
 
 

@@ -49,3 +49,19 @@ def test_ingest_equals_batch_and_drops_replays(spark, tmp_path):
     got = ingest.read_ingested(spark, out, "postings").select("id", "term", "tf")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("id", "term", "tf").collect()))
     assert stored.where(F.size("embedding") != 8).count() == 0
+
+
+def test_a_stream_goes_on_in_the_compacted_log(spark, tmp_path):
+    schema = "seq long, left_id long, decided_at timestamp, review_outcome string, deleted boolean"
+
+    def batch(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        return spark.readStream.schema(schema).parquet(str(tmp_path / name))
+
+    first = [(i, i, T, "fail", False) for i in range(5)]
+    decisions.start_decisions(batch("one", first), str(tmp_path / "log"), str(tmp_path / "a")).awaitTermination()
+    decisions.compact(spark, str(tmp_path / "log"), str(tmp_path / "folded"))
+    later = [(10, 0, T + dt.timedelta(days=1), "partial", False), (11, 9, T, None, False)]
+    decisions.start_decisions(batch("two", later), str(tmp_path / "folded"), str(tmp_path / "b")).awaitTermination()
+    want = {(r.left_id, r.seq) for r in current_decisions(spark.createDataFrame(first + later, schema)).collect()}
+    assert {(r.left_id, r.seq) for r in decisions.read_current(spark, str(tmp_path / "folded")).collect()} == want
