@@ -39,6 +39,7 @@ from tandem.session import materialise
 
 MAX_LABELLED = 20_000
 TERMS = 400
+RIDGE = 0.0002
 CACHED_TOKENS = 800_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SYMBOLS = len(LETTERS) + 1  # and the edge of a word
@@ -290,7 +291,7 @@ def classify(
     numbered = {term: i for i, term in enumerate(chosen)}
     labelled = _found(sample.select(F.col("label").alias("key"), "text"), model, numbered, "int")
     indicators = F.array(*[F.array_contains("found", i).cast("double") for i in range(len(chosen))])
-    fitted = LogisticRegression(regParam=0.002, standardization=False, maxIter=60, labelCol="label").fit(
+    fitted = LogisticRegression(regParam=RIDGE, standardization=False, maxIter=100, labelCol="label").fit(
         materialise(labelled.select(F.col("key").cast("double").alias("label"), array_to_vector(indicators).alias("features")), "terms")
     )
     weights, intercept = fitted.coefficients.toArray().tolist(), float(fitted.intercept)
