@@ -291,18 +291,19 @@ def l2_normalise(spark, sf_dir):
 
 @register("""select trim('Is "' || regexp_replace(b.text, '\\s+', ' ', 'g') || '", here, right?') as question,
         trim(regexp_replace(d.text, '\\s+', ' ', 'g')) as ground_truth
-    from benchmark b join documents d on d.source = 'src' || (b.item_id % 20) where d.n_chars % 4 <> 0""")
+    from benchmark b join documents d on b.item_id = d.doc_id % 40 where d.n_chars % 4 <> 0""")
 def question_set(spark, sf_dir):
-    """Write questions with quotes and commas as CSV, read them back, drop incomplete rows."""
+    """Write a question per document, with quotes and commas, as CSV, read them back, drop
+    incomplete rows."""
     one_line = F.regexp_replace("text", r"\s+", " ")
     truth = F.when(F.col("n_chars") % 4 != 0, F.concat(F.lit("  "), one_line)).otherwise("   ")
-    docs = table(spark, sf_dir, "documents").select("source", truth.alias("ground_truth"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 40).alias("item_id"), truth.alias("ground_truth"))
     asked = table(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"),
+        "item_id",
         F.concat(F.lit(' Is "'), one_line, F.lit('", here, right? ')).alias("question"),
     )
     path = scratch_path(spark, "questions")
-    rec.write_table(asked.join(docs, "source").select("question", "ground_truth"), path, "csv")
+    rec.write_table(asked.join(docs, "item_id").select("question", "ground_truth"), path, "csv")
     return rec.read_question_set(spark, path)
 
 

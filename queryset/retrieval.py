@@ -138,11 +138,11 @@ def id_queries(spark, sf_dir) -> DataFrame:
     return nations.union(regions)
 
 
-@register(f"""select query_id::bigint as query_id, c_custkey as id, row_number() over (partition by query_id order by c_custkey)::int as rank
+@register(f"""select query_id::bigint as query_id, c_custkey as id, row_number() over (partition by query_id order by c_custkey)::int as rank, c_name
     from {_ID_QUERIES} q join customer on c_name ilike '%' || query_text || '%' qualify rank <= 50""")
 def id_search(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    return plan.search("id", customers, id_queries(spark, sf_dir), k=50, id_column="c_name")
+    return plan.search("id", customers, id_queries(spark, sf_dir), k=50, id_column="c_name", display=["c_name"])
 
 
 @register("""select q.n_nationkey::bigint as query_id, c_custkey as id, row_number() over (partition by q.n_nationkey order by c_custkey)::int as rank
@@ -258,14 +258,16 @@ def _vector_list(spark, sf_dir):
 
 
 @register("""select a.vec_id as a_id, b.vec_id as b_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6)
-    as cosine from embeddings a join embeddings b on a.label = b.label""")
+    as cosine from embeddings a join embeddings b on b.vec_id between a.vec_id + 1 and a.vec_id + 8""")
 def cosine_similarity(spark, sf_dir):
-    """Cosine as a column expression, for vectors with the same label."""
+    """Cosine as a column expression over listed pairs: each vector with the eight after it."""
     from tandem.functions.vectors import cosine
 
-    a = spread(table(spark, sf_dir, "embeddings"), "vec_id").select(F.col("vec_id").alias("a_id"), "label", F.col("embedding").alias("a"))
-    b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("b_id"), "label", F.col("embedding").alias("b"))
-    return a.join(b, "label").select("a_id", "b_id", F.round(cosine("a", "b"), 6).alias("cosine"))
+    a = spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
+        F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"),
+        F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 8)).alias("b_id"))
+    b = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b"))
+    return a.join(b, "b_id").select("a_id", "b_id", F.round(cosine("a", "b"), 6).alias("cosine"))
 
 
 @register(f"with {DOCS}, {QUERIES}, {VECTORS} select query_id, id, round(cosine, 6) as cosine, rank::int as rank from vec")
@@ -275,12 +277,13 @@ def vector_topk(spark, sf_dir):
 
 @register("select 10 * count(*) as exact_pairs, true as enough_found from embeddings")
 def vector_topk_approximate(spark, sf_dir):
-    """Hash-bucket search against the exact one: at least 70 % of the pairs."""
+    """Hash-bucket search against the exact one, at a stated setting: at least 90 % of the pairs."""
     vecs = table(spark, sf_dir, "embeddings")
     left = vecs.select(F.col("vec_id").alias("left_id"), F.col("embedding").alias("left_vec"))
     right = vecs.select(F.col("vec_id").alias("right_id"), F.col("embedding").alias("right_vec"))
-    report = topk.recall(topk.approximate_topk(left, right, 10), topk.topk_cosine(left, right, 10))
-    return report.select("exact_pairs", (F.col("recall") >= 0.7).alias("enough_found"))
+    found = topk.topk_cosine(left, right, 10, method="approximate", tables=8, bits=4, probes=5)
+    report = topk.recall(found, topk.topk_cosine(left, right, 10))
+    return report.select("exact_pairs", (F.col("recall") >= 0.9).alias("enough_found"))
 
 
 @register(f"""with {DOCS}, {QUERIES}, {index_sql()}, {VECTORS}, {MERGED}

@@ -210,15 +210,24 @@ def topk_cosine(
     by: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
     method: str = "auto",
+    **approximate,
 ) -> DataFrame:
-    """Exact top-k: ``left_id, right_id, cosine_score, cand_pos``.
+    """Top-k: ``left_id, right_id, cosine_score, cand_pos``.
 
     ``method`` is ``blocks``, ``cells`` or ``auto`` (cells once the right side has more
-    than sixteen blocks). Rows without a vector take no part. With ``by`` columns the join
+    than sixteen blocks), all exact, or ``approximate`` with the settings of
+    ``approximate_topk``. Rows without a vector take no part. With ``by`` columns the join
     runs within each of their values, all in one job.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if method == "approximate":
+        if by:
+            raise ValueError("approximate search does not run within groups")
+        ids = {"left_id": left_id, "left_vec": left_vec, "right_id": right_id, "right_vec": right_vec}
+        return approximate_topk(left, right, k, **ids, block_rows=block_rows, **approximate)
+    if approximate:
+        raise ValueError(f"exact search has no setting {', '.join(approximate)}")
     lefts, rights = _unit_sides(left, right, left_id, left_vec, right_id, right_vec, by)
     if by:
         return _best(_hash_blocks_by(lefts, rights, by, k, block_rows), k, by)
@@ -241,7 +250,7 @@ def approximate_topk(
     right_id: str = "right_id",
     right_vec: str = "right_vec",
     tables: int = 4,
-    bits: int | None = None,
+    bits: int = 8,
     probes: int = 3,
     block_rows: int = BLOCK_ROWS,
     seed: int = 42,
@@ -249,12 +258,10 @@ def approximate_topk(
     """Top-k among rows that share a hyperplane-hash bucket in one of ``tables`` tables.
 
     Each left row visits its own bucket and the ``probes - 1`` buckets nearest to it per
-    table. By default a table has a bucket per block of right rows (at least 16); buckets
-    that come out larger are cut into sub-blocks like any other cell. Same columns as the
+    table. A table has ``2 ** bits`` buckets at every size of the input; buckets larger than
+    a block are cut into sub-blocks like any other cell. Same columns as the
     exact join; scores are exact, some neighbours may be missing.
     """
-    if bits is None:
-        bits = max(4, min(24, (right.count() // block_rows).bit_length()))
     lefts, rights = _unit_sides(left, right, left_id, left_vec, right_id, right_vec)
     width_row = rights.select(F.size("right_vec").alias("d")).head()
     if width_row is None:

@@ -59,10 +59,10 @@ def embed_records(
     left_prefix: str | None = None,
     right_prefix: str | None = None,
 ) -> DataFrame:
-    """Records with ``embedding``. The side prefix goes to the embedder only. Write the
-    result once and every run reads the same vectors."""
+    """Records with ``embedding``, written once: every run and every stage of it reads the same
+    vectors, and no text is embedded twice. The side prefix goes to the embedder only."""
     text = embedding_text("contextual_content", "side", left_prefix, right_prefix)
-    return records.withColumn("embedding", embed_column(text, embedder))
+    return materialise(records.withColumn("embedding", embed_column(text, embedder)), "embedded")
 
 
 def _judged(
@@ -108,13 +108,15 @@ def run_compare(
         candidates = matching.vector_candidates(left, right, config.top_k, by, **topk_options)
     else:
         candidates = matching.capped_candidates(left, right, config.max_rights, by)
+    if config.vector_enabled and (config.reranker_enabled or config.judge_enabled):
+        # Several later steps read the candidates: searched once.
+        candidates = materialise(candidates, "run-candidates")
     pairs = candidates
     if config.vector_enabled and config.reranker_enabled:
         pairs = matching.rerank_pairs(candidates, _record_texts(records), scorer)
-    if config.judge_enabled and config.vector_enabled:
-        # Used by the prompts and by the final ranking: searched and reranked once.
-        pairs = materialise(pairs, "run-candidates")
-        candidates = pairs.select(*candidates.columns)
+        if config.judge_enabled:
+            # Used by the prompts and by the final ranking: scored once.
+            pairs = materialise(pairs, "run-pairs")
     judged = _judged(pairs, records, config, judge, source_rows, by) if config.judge_enabled else None
     scored = matching.with_scores(pairs, judged)
     return RunResult(candidates, scored, matching.rank_matches(scored, config.top_k), config.judge_enabled)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
@@ -86,7 +86,9 @@ def search_stages(
     *,
     embedder: Embedder | None = None,
     scorer: PairScorer | None = None,
+    vector_options: Mapping[str, object] | None = None,
 ) -> SearchStages:
+    """``vector_options`` go to the vector join, e.g. ``{"method": "approximate", "bits": 12}``."""
     if config.use_vector and "query_vec" not in queries.columns:
         if embedder is None:
             raise ValueError("vector search needs query vectors or an embedder")
@@ -95,7 +97,7 @@ def search_stages(
         raise ValueError("keyword search needs an index")
     # Both lists (at most the candidates per query) feed the merge, the scores and the counts:
     # searched once.
-    vector = materialise(vector_list(records, queries, config.candidates), "vector-list") if config.use_vector else None
+    vector = materialise(vector_list(records, queries, config.candidates, **(vector_options or {})), "vector-list") if config.use_vector else None
     keyword = materialise(keyword_topk(index, queries, config.candidates), "keyword-list") if config.use_keyword else None
     one = vector if vector is not None else keyword
     merge = fusion.rrf_merge if config.use_rrf else fusion.vector_primary_merge
@@ -132,10 +134,13 @@ def hybrid_search(
     display: Sequence[str] = (),
     embedder: Embedder | None = None,
     scorer: PairScorer | None = None,
+    vector_options: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """``query_id, rank, id, score, cosine_score, bm25_rank, rerank_score`` and the display
     columns, which are joined last."""
-    stages = search_stages(records, queries, index, config, embedder=embedder, scorer=scorer)
+    stages = search_stages(
+        records, queries, index, config, embedder=embedder, scorer=scorer, vector_options=vector_options
+    )
     best = stages.ranked.where(F.col("rank") <= config.k).select(
         "query_id",
         "rank",
@@ -233,24 +238,32 @@ def search(
     legacy_method: str = "keyword",
     index: KeywordIndex | None = None,
     config: SearchConfig | None = None,
+    display: Sequence[str] = (),
     **models,
 ) -> DataFrame:
-    """One entry for the three search modes: ``id``, ``legacy`` and ``topic``."""
+    """One entry for the three search modes: ``id``, ``legacy`` and ``topic``. The display
+    columns of the records are joined last."""
+
+    def shown(found: DataFrame) -> DataFrame:
+        return found.join(records.select("id", *display), "id").select(*found.columns, *display) if display else found
+
+    if k < 1:
+        raise ValueError("k must be at least 1")
     if mode == "id":
         if not id_column:
             raise ValueError("id search needs an id column")
-        return substring_topk(records, queries, k, [id_column])
+        return shown(substring_topk(records, queries, k, [id_column]))
     if mode == "legacy":
         if legacy_method == "keyword":
             if index is None:
                 raise ValueError("keyword search needs an index")
-            return keyword_baseline(index, queries, k)
+            return shown(keyword_baseline(index, queries, k))
         if legacy_method == "ilike":
             texts = ["contextual_content", *([id_column] if id_column else [])]
-            return substring_topk(records, queries, k, texts)
+            return shown(substring_topk(records, queries, k, texts))
         raise ValueError(f"unknown legacy method: {legacy_method!r}")
     if mode == "topic":
-        return hybrid_search(records, queries, index, replace(config or SearchConfig(), k=k), **models)
+        return hybrid_search(records, queries, index, replace(config or SearchConfig(), k=k), display=display, **models)
     raise ValueError(f"unknown search mode: {mode!r}")
 
 

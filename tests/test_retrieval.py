@@ -89,7 +89,7 @@ def test_approximate_topk_finds_most(spark):
     right = rng.standard_normal((300, 6))
     left = right[:50] + 0.05 * rng.standard_normal((50, 6))
     l, r = as_frame(spark, left, "left"), as_frame(spark, right, "right")
-    report = topk.recall(topk.approximate_topk(l, r, 5), topk.topk_cosine(l, r, 5)).head()
+    report = topk.recall(topk.topk_cosine(l, r, 5, method="approximate", bits=4), topk.topk_cosine(l, r, 5)).head()
     assert report.exact_pairs == 250 and report.recall > 0.8
 
 
