@@ -75,6 +75,32 @@ select page_id, payload_bytes, payload_digest,
     case when first < page_id then 'revisit' else 'response' end as record_type,
     case when first < page_id then first end as refers_to
 from sized left join firsts using (payload_digest)""",
+    "op6_setsketch": r"""
+with recursive words as (
+    select doc_id, list_filter(
+        regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'),
+        lambda w: w <> '') as ws from documents),
+sets as (
+    select doc_id, case when len(ws) = 0 then []
+        when len(ws) < 3 then [array_to_string(ws, ' ')]
+        else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+        end as shingles from words),
+sizes as (select doc_id, len(shingles) as n from sets),
+entries as (select doc_id, unnest(shingles) as x from sets),
+common as (
+    select a.doc_id as u, b.doc_id as v, count(*) as c
+    from entries a join entries b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+links as (
+    select u, v from common join sizes a on a.doc_id = u join sizes b on b.doc_id = v
+    where 100 * c >= 85 * (a.n + b.n - c)),
+reach as (
+    select doc_id, doc_id as root from sizes
+    union select l.v, r.root from reach r join links l on l.u = r.doc_id),
+components as (select doc_id, min(root) as component_id from reach group by doc_id)
+select doc_id, n as n_shingles, component_id, doc_id = component_id as kept
+from sizes join components using (doc_id)""",
     "op7_exact_dedup": r"""
 with rows as (
     select doc_id, length(coalesce(text, '')) as n,
