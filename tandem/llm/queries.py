@@ -66,6 +66,22 @@ def oracle_sql() -> dict[str, str]:
 
 
 ORACLES = {
+    "op1_suffix_array": """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+bytes as (select doc_id, b, octet_length(b) as n, unnest(range(1, octet_length(b) + 1)) as i from d),
+strings as (select doc_id, i, case when i + 99 <= n then b[i:i+99] end as s, b[i:i] as own from bytes),
+starts as (
+    select doc_id, i, own, s is not null and row_number() over (partition by s order by doc_id, i) > 1 as repeated from strings),
+reached as (
+    select doc_id, i, own, coalesce(
+        max(case when repeated then i end) over (partition by doc_id order by i rows unbounded preceding) >= i - 99, false) as gone
+    from starts),
+marked as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from reached),
+cut as (
+    select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans,
+    sha256(unhex(coalesce(string_agg(hex(own), '' order by i) filter (not gone), ''))) as kept_sha256 from marked group by doc_id)
+select doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+    coalesce(kept_sha256, sha256('')) as kept_sha256 from d left join cut using (doc_id)""",
     "op5_warc": """
 with payloads as (
     select page_id, encode(coalesce(html, '')) as payload from pages),
