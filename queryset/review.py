@@ -60,7 +60,7 @@ def submissions(spark, sf_dir) -> DataFrame:
     best = matches(spark, sf_dir).groupBy("left_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "right_id"))), lambda x: x["right_id"]).alias("best"))
     outcome = F.when(F.col("event_type") == "signup", "no_match").when(F.col("event_type") == "click", "partial").when(
-        F.col("event_type") == "error", "fail")
+        F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "system_fail")
     picked = F.slice("best", F.lit(1), (F.col("seq") % 4).cast("int"))
     old = F.col("seq") % 7 == 0
     return events.join(best, "left_id").select(
@@ -85,7 +85,8 @@ RUN = f"""matches as (select 2 * l.vec_id as left_id, 2 * r.vec_id + 1 as right_
     recs as (select doc_id, 2 * doc_id as lid, 2 * doc_id + 1 as rid, text, case when doc_id % 4 <> 0 then source end as display
         from documents),
     log as (select event_id as seq, 2 * user_id as left_id, ts as decided_at, props as comment,
-        case event_type when 'signup' then 'no_match' when 'click' then 'partial' when 'error' then 'fail' end as outcome,
+        case event_type when 'signup' then 'no_match' when 'click' then 'partial' when 'error' then 'fail'
+            when 'purchase' then 'system_fail' end as outcome,
         event_id % 11 = 0 as deleted, case when event_type = 'signup' then []::bigint[] when event_id % 7 = 0
             then case when event_id % 4 > 0 then best[1:1] else []::bigint[] end else best[1:event_id % 4] end as ids
         from events join (select left_id, list(right_id order by rank) as best from matches group by 1) b on b.left_id = 2 * user_id),
@@ -187,8 +188,10 @@ def review_queue_page(spark, sf_dir):
 
 @register(f"""with {RUN} select lid as left_id, c.candidates, coalesce(array_to_string(ids, ','), '') as matched_right_ids,
     cur.left_id is not null as is_decided, outcome as review_outcome, case when cur.left_id is null then ''
-        when len(ids) > 0 then 'Matched' || case outcome when 'partial' then ' · partial' when 'fail' then ' · fail' else '' end
-        when outcome = 'partial' then 'Partial' when outcome = 'fail' then 'Fail' when outcome = 'no_match' then 'No match'
+        when len(ids) > 0 then 'Matched' || case outcome when 'partial' then ' · partial' when 'fail' then ' · fail'
+            when 'system_fail' then ' · system failure' else '' end
+        when outcome = 'partial' then 'Partial' when outcome = 'fail' then 'Fail' when outcome = 'system_fail' then 'System failure'
+        when outcome = 'no_match' then 'No match'
         else 'Reviewed' end as badge
     from recs left join cur on cur.left_id = lid join (select left_id, string_agg(right_id || ':' || length(text), ' ' order by rank) as candidates
         from matches join recs on rid = right_id group by 1) c on c.left_id = lid""")
@@ -206,7 +209,7 @@ def review_items(spark, sf_dir):
 
 # --- reports --------------------------------------------------------------------------------------
 
-_RAW_TEXT = "case outcome when 'no_match' then 'no match' when 'partial' then 'partial' when 'fail' then 'fail' else '' end"
+_RAW_TEXT = "case outcome when 'no_match' then 'no match' when 'partial' then 'partial' when 'fail' then 'fail' when 'system_fail' then 'system failure' else '' end"
 
 
 @register(f"""with {RUN} select l.doc_id as left_row, l.display as left_display, l.text as left_contextual, rank::int as rank,
@@ -229,7 +232,8 @@ def browse_pairs(spark, sf_dir):
     select l.doc_id as left_row, l.display as left_display, l.text as left_contextual, r.doc_id as right_row, r.display as right_display,
     r.text as right_contextual, score as cosine_score, null::double as rerank_score, null::double as judge_score, meta as judge_meta,
     score as final_score, len(ids)::int as selected_rights_count, match_index::int as match_index,
-    case outcome when 'no_match' then 'no match' when 'partial' then 'partial' when 'fail' then 'fail' else 'matched' end as review_outcome_display,
+    case outcome when 'no_match' then 'no match' when 'partial' then 'partial' when 'fail' then 'fail'
+        when 'system_fail' then 'system failure' else 'matched' end as review_outcome_display,
     coalesce(comment, '') as review_comment, decided_at from picked join matches m using (left_id, right_id)
     join recs l on l.lid = left_id join recs r on r.rid = right_id""")
 def confirmed_matches(spark, sf_dir):
@@ -237,7 +241,8 @@ def confirmed_matches(spark, sf_dir):
 
 
 @register(f"""with {RUN} select doc_id as left_row, display as left_display, text as left_contextual, case when cur.left_id is null then ''
-    when outcome = 'partial' then 'partial' when outcome = 'fail' then 'fail' else 'no match' end as human_review,
+    when outcome = 'partial' then 'partial' when outcome = 'fail' then 'fail'
+        when outcome = 'system_fail' then 'system failure' else 'no match' end as human_review,
     coalesce(comment, '') as review_comment from recs left join cur on cur.left_id = lid where cur.left_id is null or len(ids) = 0""")
 def unique_left(spark, sf_dir):
     return reports.unique_left(records(spark, sf_dir), decisions(spark, sf_dir))
