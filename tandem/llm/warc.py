@@ -1,7 +1,7 @@
 """WARC archives with an index first, and reads that are planned from it.
 
-Writing: each task appends the records of its rows to an archive file of its own in the
-shared folder and returns one index row per record: file, offset, length, URL, digest. Files
+Writing: each task appends the records of its rows, each a gzip member of its own, to an
+archive file of its own in the shared folder and returns one index row per record: file, offset, length, URL, digest. Files
 get a fresh name per attempt, and the index, which is a table, names only files of attempts
 that ended well, so a lost executor leaves nothing but an unnamed file.
 
@@ -19,6 +19,7 @@ to others. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,6 +36,7 @@ GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 STRETCH_BYTES = 64 << 20
 FILE_BYTES = 256 << 20
+LEVEL = 5
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
@@ -145,9 +147,9 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc", 0
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = system.open_output_stream(f"{root}/{name}")
-                    record = make_record(page_id, url, html.encode(), digest, refers_to)
+                    record = gzip.compress(make_record(page_id, url, html.encode(), digest, refers_to), LEVEL, mtime=0)
                     out.write(record)
                     kind = "response" if refers_to is None else "revisit"
                     rows.append((page_id, name, at, len(record), url, digest, kind))
@@ -182,7 +184,8 @@ def read_records(
                 data = file.read_at(end - first, first)
                 for i in group:
                     offset, length = ranges[i]
-                    made.append(_facts(*parse_record(data[offset - first : offset - first + length])))
+                    member = data[offset - first : offset - first + length]
+                    made.append(_facts(*parse_record(gzip.decompress(member))))
         columns = list(zip(*made))
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"]
