@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                        out = system.open_output_stream(f"{root}/{name}")
+                        out = system.open_output_stream(f"{root}/{name}", compression=None)
                     record = gzip.compress(make_record(page_id, url, html.encode(), digest, refers_to), LEVEL, mtime=0)
                     out.write(record)
                     kind = "response" if refers_to is None else "revisit"
