@@ -203,7 +203,7 @@ def postings_english(spark, sf_dir):
     index = keyword.KeywordIndex.build(spread(document_records(spark, sf_dir), "id"), id_text="source")
     path = scratch_path(spark, "index")
     index.save(path)
-    return keyword.KeywordIndex.load(spark, path).postings
+    return keyword.KeywordIndex.load(spark, path).postings.select("id", "term", "tf")
 
 
 @register("""select count(*) as documents, sum(n)::bigint as tokens, true as stems_never_longer from (

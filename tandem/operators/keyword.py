@@ -26,6 +26,9 @@ POOL = 50
 K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 9
+# Folders of a saved index.
+BUCKET = "term_bucket"
+BUCKETS = 256
 
 
 def _stemmed(terms: DataFrame) -> DataFrame:
@@ -79,12 +82,14 @@ class KeywordIndex:
         return KeywordIndex(postings, materialise(lengths_of(postings), "lengths"), self.analyzer)
 
     def save(self, path: str) -> None:
-        """Postings sorted by term, so a reader skips the files and row groups without the
-        terms asked for; lengths beside them."""
+        """Postings partitioned by a hash of the term and sorted by term, so a search reads the
+        folders of its terms and skips row groups without them; lengths beside them."""
         (
-            self.postings.repartitionByRange("term", "id")
-            .sortWithinPartitions("term", "id")
-            .write.mode("overwrite")
+            self.postings.withColumn(BUCKET, _bucket("term"))
+            .repartitionByRange(BUCKET, "term", "id")
+            .sortWithinPartitions(BUCKET, "term", "id")
+            .write.partitionBy(BUCKET)
+            .mode("overwrite")
             .parquet(f"{path}/postings")
         )
         lengths_of(self.postings.sparkSession.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(
@@ -96,6 +101,19 @@ class KeywordIndex:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), analyzer)
 
 
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def asked_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """The posting lists of the terms; of a saved index only their folders are read."""
+    if BUCKET in postings.columns:
+        # At most BUCKETS numbers.
+        wanted = [r[0] for r in terms.select(_bucket("term")).distinct().collect()]
+        postings = postings.where(F.col(BUCKET).isin(wanted)).drop(BUCKET)
+    return postings.join(terms.select("term").distinct(), "term", "left_semi")
+
+
 def lengths_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("id").agg(F.sum("tf").alias("length"))
 
@@ -112,7 +130,7 @@ def _matched_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of every (query, record) pair that holds all terms of the query:
     ``query_id, id, term, tf, df``. A query without terms matches nothing."""
     # The posting lists asked for, read from the index once and used three times.
-    asked = materialise(postings.join(terms.select("term").distinct(), "term", "left_semi"), "asked")
+    asked = materialise(asked_postings(postings, terms), "asked")
     frequency = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = terms.join(frequency, "term")
     rarest_first = Window.partitionBy("query_id").orderBy("df", "term")

@@ -176,7 +176,14 @@ def test_index_survives_storage(spark, corpus, tmp_path):
     index = keyword.KeywordIndex.build(corpus, analyzer="simple")
     index.save(str(tmp_path / "ix"))
     loaded = keyword.KeywordIndex.load(spark, str(tmp_path / "ix"), "simple")
-    assert sorted(map(tuple, loaded.postings.collect())) == sorted(map(tuple, index.postings.collect()))
+    columns = ["id", "term", "tf"]
+    stored, built = (sorted(map(tuple, x.postings.select(*columns).collect())) for x in (loaded, index))
+    assert stored == built
+    terms = keyword.query_terms(queries_of(spark, "red ring"), "simple")
+    asked = keyword.asked_postings(loaded.postings, terms)
+    assert sorted(map(tuple, asked.select(*columns).collect())) == [r for r in built if r[1] in ("red", "ring")]
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [{keyword.BUCKET}" in plan or f"{keyword.BUCKET}#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 @pytest.mark.parametrize("text", ["RING", "r_ng", "e%r", "", "%", "_", "ue ring of", "red_ring", "7", "zz", "g-r", "d\\_r"])
