@@ -5,17 +5,17 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queryset import register
 from queryset.inputs import spread, table
-from queryset.retrieval import DOCS, QUERIES, TOKENS, VECTORS, WIDTH, jaccard_sql
+from queryset.retrieval import DOCS, QUERIES, VECTORS, WIDTH, jaccard_sql
 from tandem.functions.cells import contextual_content
 from tandem.functions.scores import legacy_final_score, score_band
 from tandem.models import HashedTermEmbedder
 from tandem.operators import judge as judging
-from tandem.operators import matching, topk
+from tandem.operators import matching
 from tandem.plans import compare as plan
 from tandem.session import scratch_path
 from tandem.sources.records import write_matches
