@@ -39,8 +39,7 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 GROUP_DOCUMENTS = 4096
 STEP_TOKENS = 32_768
-CACHED_WORDS = 600_000
-CACHED_PARTS = 1_200_000
+CACHED_WORDS = 1_200_000
 
 # A word of Latin-1 letters with ASCII marks behind it: normalisation does not cross from one
 # to the other, lower case maps letter by letter, and the splitting pattern cuts between them.
@@ -64,7 +63,6 @@ class WordTokens:
     def _start(self) -> None:
         self._tokenizer = None
         self._words: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {"": b""}
 
     def __getstate__(self):
         return {"definition": self.definition}
@@ -83,24 +81,31 @@ class WordTokens:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in made]
 
     def _learn(self, words: Iterable[str]) -> None:
-        """Ids of new words, from the ids of their letters and marks where that is exact. The
-        parts, which cost the tokenizer's work, outlive the words made of them."""
-        if len(self._words) >= CACHED_WORDS:
-            self._words.clear()
-        if len(self._parts) >= CACHED_PARTS:
-            self._parts = {"": b""}
-        known, parts = self._words, self._parts
+        """Ids of new words, from the ids of their letters and marks where that is exact."""
+        known = self._words
+        new = [w for w in words if w not in known]
+        if not new:
+            return
         split: dict[str, tuple[str, str]] = {}
-        missing: set[str] = set()
-        for word in words:
-            if word not in known:
-                match = _SIMPLE.fullmatch(word)
-                split[word] = pair = (match[1].lower(), match[2]) if match else (word, "")
-                missing.update(p for p in pair if p not in parts)
-        ordered = list(missing)
-        parts.update(zip(ordered, self._encoded(ordered)))
+        parts: set[str] = set()
+        for word in new:
+            match = _SIMPLE.fullmatch(word)
+            if match:
+                letters, marks = match[1].lower(), match[2]
+                split[word] = letters, marks
+                parts.update(p for p in (letters, marks) if p and p not in known)
+            else:
+                parts.add(word)
+        if len(known) + len(new) + len(parts) > CACHED_WORDS:
+            known.clear()
+            parts.update(p for pair in split.values() for p in pair if p)
+            parts.update(w for w in new if w not in split)
+        ordered = list(parts)
+        known.update(zip(ordered, self._encoded(ordered)))
+        known[""] = b""
         for word, (letters, marks) in split.items():
-            known[word] = parts[letters] + parts[marks] if marks else parts[letters]
+            if word not in known:
+                known[word] = known[letters] + known[marks]
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -116,9 +121,10 @@ class WordTokens:
             except KeyError:
                 distinct = set(words)
                 self._learn(distinct)
-                if not distinct <= known.keys():  # the cache was emptied before this text
-                    self._learn(distinct)
-                out.append(b"".join([known[w] for w in words]))
+                if distinct <= known.keys():
+                    out.append(b"".join([known[w] for w in words]))
+                else:  # the cache was emptied for this text's words
+                    out += self._encoded([text])
         return out
 
 
