@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from queryset import register
 from queryset.inputs import spread, table
-from queryset.retrieval import DOCS, QUERIES, VECTORS, WIDTH, jaccard_sql
+from queryset.retrieval import DOCS, QUERIES, VECTORS, WIDTH, index_sql, jaccard_sql
 from tandem.functions.cells import contextual_content
 from tandem.functions.scores import legacy_final_score, score_band
 from tandem.models import HashedTermEmbedder
@@ -163,6 +163,39 @@ def compare_judged_run(spark, sf_dir):
         F.col("judge_meta")["reason"].alias("reason"), "final_score", "rank")
 
 
+_UNEMBEDDED = plan.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=100)
+_BY_WORDS = f"""with {DOCS}, {QUERIES}, {index_sql()}, sums as (
+        select t.query_id, p.id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
+            / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 9) as score
+        from terms t join postings p using (term) join freq f using (term) join lengths l on l.id = p.id cross join totals
+        group by t.query_id, p.id),
+    found as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as pos
+        from sums qualify pos <= 100)"""
+
+
+@register(f"""{_BY_WORDS} select 2 * query_id as left_id, 2 * id + 1 as right_id, 0.0::double as cosine_score, {_JUDGED}::double as final_score,
+    (row_number() over (partition by query_id order by {_JUDGED} desc, pos))::int as rank
+    from found join docs using (id) qualify rank <= 10""")
+def compare_keyword_run(spark, sf_dir):
+    """Judge alone: every left row with its hundred best right rows of all, by shared words."""
+    run = plan.run_compare(passage_records(spark, sf_dir, embedded=False), _UNEMBEDDED, judge=LengthJudge())
+    return run.matches.select("left_id", "right_id", "cosine_score", "final_score", "rank")
+
+
+@register(f"""{_BY_WORDS}, sizes as (select query_id, count(*) as n from found group by query_id)
+    select sum(n)::bigint as candidate_pairs, count(*) as left_rows, sum(n)::bigint as judge_pairs, count(*) as judge_requests,
+    0 as judge_unparsed, least(8192, greatest(2048, 258 + 128 * max(n)))::int as judge_max_tokens,
+    sum(least(n, 10))::bigint as matches_written from sizes""")
+def run_metrics_keyword(spark, sf_dir):
+    return plan.run_compare(passage_records(spark, sf_dir, embedded=False), _UNEMBEDDED, judge=LengthJudge()).metrics()
+
+
+def _first_rights_run(spark, sf_dir):
+    recs = passage_records(spark, sf_dir, embedded=False)
+    first = matching.capped_candidates(matching.side_of(recs, "left"), matching.side_of(recs, "right"), 100)
+    return plan.run_candidates(recs, first, _UNEMBEDDED, judge=LengthJudge())
+
+
 _FIRST_RIGHTS = "(select doc_id, '[sheet] ' || source || ' | [lang] ' || lang || ' | [text] ' || text as content from documents order by doc_id limit 100)"
 
 
@@ -171,8 +204,7 @@ _FIRST_RIGHTS = "(select doc_id, '[sheet] ' || source || ' | [lang] ' || lang ||
     from benchmark, {_FIRST_RIGHTS} qualify rank <= 10""")
 def compare_without_vectors(spark, sf_dir):
     """Judge alone: every left row with the first hundred right rows."""
-    run = plan.run_compare(
-        passage_records(spark, sf_dir, embedded=False), plan.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=100), judge=LengthJudge())
+    run = _first_rights_run(spark, sf_dir)
     return run.matches.select("left_id", "right_id", "cosine_score", "final_score", "rank")
 
 
@@ -180,8 +212,7 @@ def compare_without_vectors(spark, sf_dir):
     count(distinct item_id) as judge_requests, 0 as judge_unparsed, 8192 as judge_max_tokens, 10 * count(distinct item_id) as matches_written
     from benchmark, {_FIRST_RIGHTS}""")
 def run_metrics_judged(spark, sf_dir):
-    run = plan.run_compare(
-        passage_records(spark, sf_dir, embedded=False), plan.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=100), judge=LengthJudge())
+    run = _first_rights_run(spark, sf_dir)
     return run.metrics()
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tandem.functions.scores import final_score
 from tandem.models import PairScorer, model_tasks, overlap_score, score_column
 from tandem.operators.judge import completion_budget
+from tandem.operators.keyword import any_term_topk
 from tandem.operators.topk import topk_cosine
 
 
@@ -39,6 +40,17 @@ def vector_candidates(left: DataFrame, right: DataFrame, k: int, by: Sequence[st
     return topk_cosine(lefts, rights, k, by=by, **options)
 
 
+def keyword_candidates(left: DataFrame, right: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """The k best right rows of every left row by shared words (BM25 over all right rows), cosine
+    0: the run without vectors. Rows that share no word are no candidates."""
+
+    def texts(rows: DataFrame, key: str) -> DataFrame:
+        return rows.select(*by, F.col("id").alias(key), F.coalesce("contextual_content", F.lit("")).alias("text"))
+
+    found = any_term_topk(texts(left, "left_id"), texts(right, "right_id"), _at_least_one(k), by)
+    return found.select(*by, "left_id", "right_id", F.lit(0.0).alias("cosine_score"), F.col("rank").alias("cand_pos"))
+
+
 def left_rows_report(left: DataFrame, limit: int | None) -> DataFrame:
     """``lefts_used, lefts_total, limited``."""
     total = F.count(F.lit(1))
@@ -64,7 +76,7 @@ def _at_least_one(limit: int | None) -> int:
 
 
 def capped_candidates(left: DataFrame, right: DataFrame, limit: int, by: Sequence[str] = ()) -> DataFrame:
-    """Every left row with the first ``limit`` right rows, cosine 0: the run without vectors.
+    """Every left row with the first ``limit`` right rows by id, cosine 0. No run chooses this form.
 
     The right ids travel as arrays of that many ids (one row unless ``by`` is given), so the
     left side is not shuffled for them.

@@ -99,7 +99,8 @@ def run_compare(
     by: Sequence[str] = (),
     **topk_options,
 ) -> RunResult:
-    """One run over embedded two-sided records; record ids are unique in the table."""
+    """One run over embedded two-sided records; record ids are unique in the table. Without
+    vectors the candidates are the best ``max_rights`` of all right rows by shared words."""
     if config.judge_enabled and judge is None:
         raise ValueError("the judge stage needs a judge")
     left = matching.first_left_rows(matching.side_of(records, "left"), config.max_left_rows, by)
@@ -107,10 +108,26 @@ def run_compare(
     if config.vector_enabled:
         candidates = matching.vector_candidates(left, right, config.top_k, by, **topk_options)
     else:
-        candidates = matching.capped_candidates(left, right, config.max_rights, by)
-    if config.vector_enabled and (config.reranker_enabled or config.judge_enabled):
+        candidates = matching.keyword_candidates(left, right, config.max_rights, by)
+    if config.reranker_enabled or config.judge_enabled:
         # Several later steps read the candidates: searched once.
         candidates = materialise(candidates, "run-candidates")
+    return run_candidates(records, candidates, config, scorer=scorer, judge=judge, source_rows=source_rows, by=by)
+
+
+def run_candidates(
+    records: DataFrame,
+    candidates: DataFrame,
+    config: RunConfig,
+    *,
+    scorer: PairScorer | None = None,
+    judge: Judge | None = None,
+    source_rows: DataFrame | None = None,
+    by: Sequence[str] = (),
+) -> RunResult:
+    """The stages of a run after the search, over candidates of the caller's choice."""
+    if config.judge_enabled and judge is None:
+        raise ValueError("the judge stage needs a judge")
     pairs = candidates
     if config.vector_enabled and config.reranker_enabled:
         pairs = matching.rerank_pairs(candidates, _record_texts(records), scorer)

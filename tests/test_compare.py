@@ -221,3 +221,20 @@ def test_jobs_with_the_same_rows_are_judged_apart(spark):
     assert len(got) == 12 and {r.job_id for r in got} == {"a", "b", None}
     assert {len({(r.left_id, r.right_id) for r in got if r.job_id == job}) for job in ("a", "b", None)} == {4}
     assert max(r.judge_score for r in got if r.job_id == "a") < min(r.judge_score for r in got if r.job_id == "b")
+
+
+class Constant:
+    def reply(self, system_prompt, prompt, max_tokens):
+        return str([0.5] * prompt.count("--- Candidate "))
+
+
+def test_a_run_without_vectors_finds_right_rows_of_any_id(spark):
+    rows = [(0, "left", 0, "a", "blue kettle"), (2, "left", 1, "b", "red lamp"), (4, "left", 2, "a", "nothing alike")]
+    rows += [(2 * i + 1, "right", i, "a" if i < 200 else "b", f"plain row {i}") for i in range(300)]
+    rows += [(9001, "right", 9000, "a", "a kettle in blue"), (9003, "right", 9001, "b", "the red one"), (9005, "right", 9002, "a", None)]
+    records = spark.createDataFrame(rows, "id long, side string, original_row long, job_id string, contextual_content string")
+    config = compare.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=2)
+    run = compare.run_compare(records, config, judge=Constant())
+    assert {(r.left_id, r.right_id, r.cand_pos) for r in run.candidates.collect()} == {(0, 9001, 1), (2, 9003, 1)}
+    jobs = compare.run_many(records, config, judge=Constant()).collect()
+    assert {(r.job_id, r.left_id, r.right_id) for r in jobs} == {("a", 0, 9001), ("b", 2, 9003)}
