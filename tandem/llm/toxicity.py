@@ -44,7 +44,6 @@ CACHED_TOKENS = 800_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SYMBOLS = len(LETTERS) + 1  # and the edge of a word
 _GRAMS = _SYMBOLS**4
-LONGEST_TOKEN = 64
 _COUNTED = 1 << 22
 
 # What may stand for a letter (fixed values, in common use).
@@ -133,11 +132,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def restore(token: str, model: CharacterModel) -> str:
-    """The most likely reading of a disguised token."""
-    states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
-    for options in lattice(folded(token)[:LONGEST_TOKEN]):
-        reached: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for context, (score, read) in states.items():
+    """The most likely reading of a disguised token of any length."""
+    # A path is its last letters and the path before them.
+    states: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
+    for options in lattice(folded(token)):
+        reached: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+        for context, (score, path) in states.items():
             for letters, cost in options:
                 total, at = score - cost, context
                 for letter in letters:
@@ -145,9 +145,14 @@ def restore(token: str, model: CharacterModel) -> str:
                     total += model[(*at, symbol)]
                     at = (at[1], at[2], symbol)
                 if at not in reached or total > reached[at][0]:
-                    reached[at] = (total, read + letters)
+                    reached[at] = (total, (letters, path) if letters else path)
         states = reached
-    return max((score + model[(*at, 0)], read) for at, (score, read) in states.items())[1]
+    path = max(((score + model[(*at, 0)], path) for at, (score, path) in states.items()), key=lambda x: x[0])[1]
+    read = []
+    while path is not None:
+        letters, path = path
+        read.append(letters)
+    return "".join(reversed(read))
 
 
 def is_disguised(core: str) -> bool:

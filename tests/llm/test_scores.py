@@ -86,6 +86,15 @@ def test_disguised_words_are_restored():
     assert reader.terms("") == set()
 
 
+def test_long_disguised_tokens_are_read_to_their_end():
+    plain = ["the idiot was a stupid loser and pathetic trash", "idiot stupid loser worthless clown"] * 50
+    model = toxicity.CharacterModel(toxicity.count_sequences(plain, toxicity._fold_table()))
+    for separator in "-*":
+        assert toxicity.restore(separator.join("worthless" * 8 + "idiot"), model).replace(" ", "") == "worthless" * 8 + "idiot"
+    assert toxicity.restore("worthless" * 12 + "1d10t", model).endswith("idiot")
+    assert len(toxicity.restore("a-b" * 20_000, model).replace(" ", "")) == 40_000
+
+
 # --- fingerprints ---------------------------------------------------------------------------
 
 
