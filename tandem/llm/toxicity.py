@@ -5,8 +5,8 @@
    most one row per sequence of the folded alphabet.
 2. Tokens with signs of disguise (digits or marks for letters, letters drawn out, letters
    set apart by marks or blanks) become lattices: each position offers the letters it may
-   stand for, at a cost. The Viterbi path through the lattice under the language model is
-   the restored word. All other tokens have one path and stay as they are.
+   stand for, at a cost, and each separator may be a word edge. The Viterbi path through the lattice under the language model is
+   the restored word or words. All other tokens have one path and stay as they are.
 3. Word beginnings and whole words of restored texts are weighed by a logistic regression,
    fitted on a bounded sample of labelled rows over the terms that tell the classes apart
    best (likelihood-ratio test on document counts).
@@ -51,15 +51,18 @@ STAND_INS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "ø": "o",
 }
-SEPARATORS = "._-*~ '`^"
 STAND_IN_COST, DROP_COST, SHORTEN_COST, SHORTEN_PAIR_COST = 1.0, 0.3, 0.3, 2.5
 
 _WORD = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)(?:\w ){3,}\w(?!\S)")
+# Three or more single visible characters over any white space.
+_SPACED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
+_BLANKS = re.compile(r"\s+")
 _EDGES = ".,;:!?\"'()[]{}#%&*|-_~<>/\\=+`^"
 _DRAWN_OUT = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
 _MIXED = re.compile(r"[^\W\d_].*[0-9@$!|+€£(ø]|[0-9@$!|+€£(ø].*[^\W\d_]")
-_APART = re.compile(r"(?:[^\W_][._\-*~'`^]+){2,}[^\W_]")
+_APART = re.compile(r"[^\W_](?:[^\w\s]|_)+[^\W_]")
+# What a word may begin or end with besides letters and digits.
+_OUTER = "".join(c for c in _EDGES if c not in STAND_INS)
 
 
 def folded(text: str) -> str:
@@ -106,7 +109,7 @@ class CharacterModel:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """What each position of a token may stand for: (letters, cost)."""
+    """What each position of a token may stand for: (letters, cost); a blank is a word edge."""
     steps: list[list[tuple[str, float]]] = []
     at = 0
     while at < len(token):
@@ -125,14 +128,15 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             if c in "!|+(":
                 options.append(("", 2 * STAND_IN_COST))
         else:
-            options = [("", DROP_COST)]
+            # Nothing, or the edge of a word.
+            options = [("", DROP_COST), (" ", DROP_COST)]
         steps.append(options)
         at += run
     return steps
 
 
 def restore(token: str, model: CharacterModel) -> str:
-    """The most likely reading of a disguised token of any length."""
+    """The most likely reading of a disguised token of any length: words with blanks between."""
     # A path is its last letters and the path before them.
     states: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
     for options in lattice(folded(token)):
@@ -140,14 +144,16 @@ def restore(token: str, model: CharacterModel) -> str:
         for context, (score, path) in states.items():
             for letters, cost in options:
                 total, at = score - cost, context
+                if letters == " " and at[2] == 0:
+                    continue  # as in the counts, edges in a row are one
                 for letter in letters:
-                    symbol = LETTERS.index(letter) + 1
+                    symbol = LETTERS.find(letter) + 1
                     total += model[(*at, symbol)]
                     at = (at[1], at[2], symbol)
                 if at not in reached or total > reached[at][0]:
                     reached[at] = (total, (letters, path) if letters else path)
         states = reached
-    path = max(((score + model[(*at, 0)], path) for at, (score, path) in states.items()), key=lambda x: x[0])[1]
+    path = max(((score + (model[(*at, 0)] if at[2] else 0.0), path) for at, (score, path) in states.items()), key=lambda x: x[0])[1]
     read = []
     while path is not None:
         letters, path = path
@@ -156,7 +162,7 @@ def restore(token: str, model: CharacterModel) -> str:
 
 
 def is_disguised(core: str) -> bool:
-    return bool(_MIXED.search(core) or _DRAWN_OUT.search(core) or _APART.search(core))
+    return bool(_MIXED.search(core) or _DRAWN_OUT.search(core) or (_APART.search(core) and _WORD.search(core)))
 
 
 def terms_of(word: str) -> list[str]:
@@ -173,9 +179,10 @@ class Reader(dict):
 
     def __missing__(self, token: str) -> tuple:
         words = [w.lower() for w in _WORD.findall(token)]
-        core = token.strip(_EDGES)
-        if len(core) > 2 and is_disguised(core):
-            words.append(restore(core, self.model))
+        # Marks at the ends may be punctuation or letters: read both ways.
+        for core in {token.strip(_EDGES), token.strip(_OUTER)}:
+            if len(core) > 2 and is_disguised(core):
+                words += restore(core, self.model).split()
         found = {t for w in words if w for t in terms_of(w)}
         value = tuple(found) if self.wanted is None else tuple(self.wanted[t] for t in found if t in self.wanted)
         if len(self) >= CACHED_TOKENS:
@@ -187,9 +194,9 @@ class Reader(dict):
         out: set = set()
         for token in set(text.split()):
             out.update(self[token])
-        if " " in text:
-            for spaced in _SPACED.findall(text):
-                out.update(self[spaced.replace(" ", "-")])
+        for spaced in _SPACED.findall(text):
+            if _WORD.search(spaced):
+                out.update(self[_BLANKS.sub("-", spaced)])
         return out
 
 

@@ -95,6 +95,17 @@ def test_long_disguised_tokens_are_read_to_their_end():
     assert len(toxicity.restore("a-b" * 20_000, model).replace(" ", "")) == 40_000
 
 
+@pytest.mark.parametrize("text, word", [
+    ("an i d ! o t here", "idiot"), ("i  d  i  o  t", "idiot"), ("i\td\ti\to\tt", "idiot"), ("$ t u p 1 d", "stupid"), ("! d i o t", "idiot"),
+    ("he is b a d", "bad"), ("stu.pid", "stupid"), ("id-iot", "idiot"), ("mo*ron", "moron"), ("st_up_id", "stupid"), ("stu/pid", "stupid"),
+    ("y o u m o r o n", "moron"), ("y o u   a r e   a   s t u p i d   i d i o t", "stupid"), (" ".join("worthless" * 8 + "moron"), "moron"),
+])
+def test_disguised_forms_reach_the_lattice(text, word):
+    plain = ["you are a bad moron", "the idiot was a stupid loser and he is bad", "idiot stupid moron worthless clown you"] * 50
+    model = toxicity.CharacterModel(toxicity.count_sequences(plain, toxicity._fold_table()))
+    assert "=" + word in toxicity.Reader(model).terms(text)
+
+
 # --- fingerprints ---------------------------------------------------------------------------
 
 
