@@ -156,6 +156,21 @@ def test_edited_fingerprints(spark):
     assert syncmers.edited_fingerprints(twice).count() == 3
 
 
+def test_texts_on_both_sides_of_the_short_length_are_compared_alike(spark):
+    rng = random.Random(4)
+
+    def text(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))[: n * 6 - 2]
+
+    near, other, exposed = text(42), text(44), text(50)
+    assert len(near) < syncmers.SHORT_TEXT <= len(near + " tail more")
+    rows = [(1, near), (2, near + " tail more"), (3, near), (4, other), (5, exposed), (6, None)]
+    got = {r.doc_id: r for r in syncmers.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next > 0.5 and got[2].near_next > 0.5
+    assert got[3].near_next < 0.1 and got[4].near_next < 0.1
+    assert got[5].near_edited > 0.3
+
+
 # --- archives -------------------------------------------------------------------------------
 
 
