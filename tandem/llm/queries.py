@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bpe, exact, packing, quality, setsketch, sharding, suffixes, syncmers, toxicity, warc
+from tandem.llm import bpe, decontamination, exact, packing, quality, setsketch, sharding, suffixes, syncmers, toxicity, warc
 from tandem.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,9 +55,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
 def queries() -> dict[str, Query]:
     made = [op1_suffix_array, op2_sharding, op3_packing, op4_syncmers, op5_warc, op6_setsketch, op7_exact_dedup,
-            op8_rule_ensemble, op9_byte_bpe, op10_toxicity]
+            op8_rule_ensemble, op9_byte_bpe, op10_toxicity, op11_decontamination]
     return {query.__name__: query for query in made}
 
 
@@ -126,4 +131,35 @@ groups as (
         (array_agg(doc_id order by n desc, doc_id))[1] as keep_id from rows group by content)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(content) as text_sha256
 from rows join groups using (content)""",
+    "op11_decontamination": r"""
+with doc_words as (
+    select doc_id, list_filter(
+        regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+        lambda w: w <> '') as ws from documents),
+item_words as (
+    select item_id, list_filter(
+        regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+        lambda w: w <> '') as ws from benchmark),
+windows as (
+    select distinct item_id, size, ws[i : i + size - 1] as win from (
+        select item_id, ws, least(len(ws), 10) as size, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) as i
+        from item_words where len(ws) > 0)),
+sizes as (select distinct size from windows),
+places as (
+    select doc_id, size, i, ws[i : i + size - 1] as win from (
+        select doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) as i from doc_words, sizes where len(ws) >= size)),
+hits as (select doc_id, i, size, item_id from places join windows using (size, win)),
+covered as (
+    select doc_id, count(distinct place) as n_hit from (
+        select doc_id, unnest(range(i, i + size)) as place from (select distinct doc_id, i, size from hits)) group by doc_id),
+named as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (
+        select distinct doc_id, item_id::varchar as item from hits where item_id is not null) group by doc_id)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words left join covered using (doc_id) left join named using (doc_id)""",
 }
