@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bpe, decontamination, exact, packing, quality, setsketch, sharding, suffixes, syncmers, toxicity, warc
+from tandem.llm import bpe, conversations, decontamination, exact, packing, quality, setsketch, sharding, suffixes, syncmers, toxicity, warc
 from tandem.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +60,14 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_repairs(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     made = [op1_suffix_array, op2_sharding, op3_packing, op4_syncmers, op5_warc, op6_setsketch, op7_exact_dedup,
-            op8_rule_ensemble, op9_byte_bpe, op10_toxicity, op11_decontamination]
+            op8_rule_ensemble, op9_byte_bpe, op10_toxicity, op11_decontamination,
+            op12_conversation_repair]
     return {query.__name__: query for query in made}
 
 
@@ -162,4 +167,65 @@ named as (
 select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
     sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc_words left join covered using (doc_id) left join named using (doc_id)""",
+    "op12_conversation_repair": r"""
+with recursive crc_table as (
+    select list_transform(range(256), lambda i:
+        list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) as crc),
+dice as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+                string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda ch: ascii(ch)::bigint)),
+            lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 as die
+    from conversations, crc_table),
+damaged as (
+    select conv_id, turn, case when die = 4 then 'user' else role end as role,
+        case when die = 1 then '' when die = 2 then translate(text, '.!?', '') else text end as text,
+        unnest(range(case when die = 0 then 0 when die = 3 then 2 else 1 end)) as copy from dice),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i from damaged),
+judged as (
+    select *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as body,
+        row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+        lag(left(role, 1)) over (partition by conv_id order by i) as before from placed),
+faulty as (
+    select *, case when body = '' then 'blank' when again then 'duplicate'
+        when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from judged),
+counted as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+        count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+        count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (before is not null and before || left(role, 1) not in ('su', 'ua', 'au')) as illegal,
+        count(*) as n from faulty group by conv_id),
+inserts(p, t, cost, edits, made) as (values
+    ('-', '-', 0, '', []), ('-', 'u', 3, 'I', ['user:']), ('-', 'a', 6, 'II', ['user:', 'assistant:']),
+    ('s', 's', 0, '', []), ('s', 'u', 3, 'I', ['user:']), ('s', 'a', 6, 'II', ['user:', 'assistant:']),
+    ('u', 'u', 0, '', []), ('u', 'a', 3, 'I', ['assistant:']), ('u', 'u', 6, 'II', ['assistant:', 'user:']),
+    ('a', 'a', 0, '', []), ('a', 'u', 3, 'I', ['user:']), ('a', 'a', 6, 'II', ['user:', 'assistant:'])),
+edits(t, q, edit, cost) as (values
+    ('-', '-', 'D', 4), ('s', 's', 'D', 4), ('u', 'u', 'D', 4), ('a', 'a', 'D', 4), ('-', 's', 'K', 0),
+    ('-', 'u', 'K', 0), ('s', 'u', 'K', 0), ('a', 'u', 'K', 0), ('u', 'a', 'K', 0),
+    ('-', 'u', 'R', 3), ('s', 'u', 'R', 3), ('a', 'u', 'R', 3), ('u', 'a', 'R', 3)),
+best as (
+    select conv_id, 0::bigint as i, '-' as state, {'cost': 0::bigint, 'audit': '', 'made': []::varchar[]} as way
+    from (select distinct conv_id from conversations)
+    union all
+    select b.conv_id, f.i, e.q, min({
+        'cost': b.way.cost + n.cost + e.cost + case when e.edit <> 'D' and f.fault = 'truncated' then 3 else 0 end,
+        'audit': b.way.audit || n.edits || e.edit,
+        'made': b.way.made || n.made || case e.edit when 'D' then [] when 'K' then [f.role || ':' || f.text]
+            else [case e.q when 'u' then 'user:' else 'assistant:' end || f.text] end})
+    from best b join faulty f on f.conv_id is not distinct from b.conv_id and f.i = b.i + 1
+    join inserts n on n.p = b.state join edits e on e.t = n.t
+    where (e.edit = 'D' or f.fault not in ('blank', 'duplicate')) and (e.edit <> 'K' or left(f.role, 1) = e.q)
+    group by b.conv_id, f.i, e.q),
+ended as (
+    select b.conv_id, min({'cost': way.cost + case state when 's' then 6 when 'u' then 3 else 0 end,
+        'audit': way.audit || case state when 's' then 'II' when 'u' then 'I' else '' end,
+        'made': way.made || case state when 's' then ['user:', 'assistant:'] when 'u' then ['assistant:'] else [] end}) as way
+    from best b left join counted c on c.conv_id is not distinct from b.conv_id
+    where b.i = coalesce(c.n, 0) group by b.conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, way.cost as cost, way.audit as audit,
+    sha256(array_to_string(way.made, chr(10))) as repaired_sha256
+from ended e left join counted c on c.conv_id is not distinct from e.conv_id""",
 }
