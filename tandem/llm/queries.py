@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import bpe, conversations, decontamination, exact, packing, quality, setsketch, sharding, suffixes, syncmers, toxicity, warc
+from tandem.llm import bpe, conversations, decontamination, exact, packing, quality, runs, setsketch, sharding, suffixes, syncmers, toxicity, warc
 from tandem.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,10 +64,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_repairs(table(spark, sf_dir, "conversations"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse_runs(table(spark, sf_dir, "documents"), edit=runs.repeat_tail)
+
+
 def queries() -> dict[str, Query]:
     made = [op1_suffix_array, op2_sharding, op3_packing, op4_syncmers, op5_warc, op6_setsketch, op7_exact_dedup,
             op8_rule_ensemble, op9_byte_bpe, op10_toxicity, op11_decontamination,
-            op12_conversation_repair]
+            op12_conversation_repair, op13_periodic_runs]
     return {query.__name__: query for query in made}
 
 
@@ -228,4 +232,37 @@ select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coales
     coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, way.cost as cost, way.audit as audit,
     sha256(array_to_string(way.made, chr(10))) as repaired_sha256
 from ended e left join counted c on c.conv_id is not distinct from e.conv_id""",
+    "op13_periodic_runs": r"""
+with crc_table as (
+    select list_transform(range(256), lambda i:
+        list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) as crc),
+texts as (
+    select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws,
+        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+            lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) as h
+    from documents, crc_table),
+edits as (select *, len(ws) as n, h // 10 as g, case when h % 10 = 0 and len(ws) > 0 then (h // 10) % len(ws) end as a from texts),
+edited as (
+    select doc_id, n, case when a is null then ws else list_transform(range(n), lambda i:
+        ws[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end + 1]) end as ws from edits),
+words as (select doc_id, n, unnest(ws) as w, unnest(range(n)) as i from edited),
+equal as (
+    select x.doc_id, y.i - x.i as q, x.i from words x join words y
+    on x.doc_id = y.doc_id and x.w = y.w and y.i > x.i and 2 * (y.i - x.i) <= x.n),
+stretches as (
+    select doc_id, q, min(i) as s, count(*) + q as length from (
+        select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as island from equal)
+    group by doc_id, q, island having count(*) + q >= greatest(12, 2 * q)),
+found as (select doc_id, s, length, min(q) as q from stretches group by doc_id, s, length),
+per_doc as (
+    select doc_id, count(*) as n_runs, min({'l': -length, 's': s, 'q': q}) as best,
+        sha256(string_agg(s || ',' || length || ',' || q || chr(10), '' order by s, q)) as runs_sha256
+    from found group by doc_id),
+dropped as (select distinct doc_id, unnest(range(s + q, s + length)) as i from found),
+kept as (
+    select doc_id, string_agg(w, ' ' order by i) as text from words anti join dropped using (doc_id, i) group by doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, -best.l as length, best.q as period,
+    (-best.l * 1000) // best.q as exponent_milli, coalesce(runs_sha256, sha256('')) as runs_sha256,
+    sha256(coalesce(kept.text, '')) as collapsed_sha256
+from edited left join per_doc using (doc_id) left join kept using (doc_id)""",
 }
