@@ -22,7 +22,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = packing.WordTokens.read(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = packing.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens)
 
 

@@ -92,14 +92,28 @@ def test_steps_hold_equal_budgets():
     assert sorted(budgets.values())[1:] == [4096] * (len(budgets) - 1)
 
 
+def test_word_ids_equal_the_library(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    alphabet = "abcdeèéÜß'sS.,!?0123 \t\n中İΣ\xa0-_<>|`~@x\x1cć"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += ["don't we'll 's 'S x'LL", "é" * 100 + " " + "a" * 500, "<|endoftext|><|endoftext|>x", "the " * 50 + "cat sat on mats"]
+    tokens = packing.WordTokens(packing.read_tokenizer(path))
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for room in (packing.CACHED_WORDS, 40):  # with a cache that has to be emptied, too
+        monkeypatch.setattr(packing, "CACHED_WORDS", room)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in tokens.packed(texts)] == expected
+
+
 def test_packed_pieces(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    texts = TEXTS + ["word " * 5000, "Ünïcode İΣ, 中! x's don't"]
+    texts = TEXTS + ["word " * 5000, "Ünïcode İΣ, 中! x's don't", "say <|endoftext|> now", "a<|startoftext|>b<|endoftext|>"]
     expected = {
         i: np.array(library.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in enumerate(texts)
     }
-    tokens = packing.WordTokens.read(path)
+    tokens = packing.read_tokenizer(path)
     rows = packing.pack_documents(documents(spark, texts), tokens, group_documents=5, with_ids=True).collect()
     covered = {}
     for r in rows:
