@@ -1,25 +1,22 @@
 """Document fingerprints from closed syncmers, in column expressions only.
 
-A text is cut into short words; its k-mers are runs of K words, and the inner substrings of a
-k-mer are its runs of S words. A k-mer is a closed syncmer when the smallest hash among its
-inner substrings is that of the first or the last one. Whether a k-mer is chosen depends on
-the k-mer alone, so the same passage gives the same anchors in every text, whatever stands
-around it, and at least one k-mer in every few is chosen.
+A text is cut into words, its k-mers are runs of K words, and the inner substrings of a k-mer are
+its runs of S words. A k-mer is a closed syncmer when the smallest hash among its inner substrings
+is that of the first or the last one. Whether a k-mer is chosen depends on the k-mer alone, so the
+same passage gives the same anchors in every text, whatever stands around it, and at least one
+k-mer in every few is chosen. Texts of every length are read in this one way.
 
 A fingerprint keeps, of all anchors of the whole text, those with the smallest hashes (a
 bottom-k sample, the same anchors for shared passages), each with the word position of its
 first occurrence. Two fingerprints are compared by position: among the anchors they share,
 the prevailing shift is found, and anchors count as matched when their positions agree
 with it up to a slack. The likeness is the matched part of the smallest hashes of the union, an
-estimate of the Jaccard similarity of the anchor sets.
-
-Texts of fewer than SHORT_TEXT characters are read by characters instead of words. Only like
-is compared with like: an edited text is read as its original is, and a short text beside a
-long one is read by words for that comparison. Texts too
-short for a k-mer are one anchor as a whole; null counts as empty and the empty
-text has an empty fingerprint, alike (1.0) only to another empty one. Runs of visible
-characters longer than LONGEST_WORD are cut, so texts without spaces have words too. A text
-compared with a missing one has likeness 0.0.
+estimate of the Jaccard similarity of the anchor sets; it is made of the two fingerprints that
+are returned and of nothing else.
+
+Texts of fewer than K words are one anchor as a whole; null counts as empty and the empty text
+has an empty fingerprint, alike (1.0) only to another empty one. Runs of visible characters
+longer than LONGEST_WORD are cut, so texts without spaces have words too.
 """
 
 from __future__ import annotations
@@ -29,29 +26,22 @@ from pyspark.sql import functions as F
 
 from tandem.llm.common import prepared
 
-K = 6
-S = 2
+K = 3
+S = 1
 SAMPLE = 96
 SLACK = 16
 LONGEST_WORD = 16
-SHORT_TEXT = 256
 BLOCK_ROWS = 2048
 SUPER_BLOCK = 4096
 
 
-def _is_short(text: Column) -> Column:
-    return F.char_length(text) < SHORT_TEXT
-
-
-def _words(text: Column, short: Column) -> Column:
+def _words(text: Column) -> Column:
     words = F.split(F.lower(text), r"\s+")
     pieces = F.split(F.regexp_replace(F.lower(text), rf"(\S{{{LONGEST_WORD}}})(?=\S)", "$1 "), r"\s+")
-    letters = F.split(F.lower(text), "")
     cut = _bound(
         words, lambda w: F.when(F.exists(w, lambda x: F.length(x) > LONGEST_WORD), pieces).otherwise(w)
     )
-    units = F.when(short, letters).otherwise(cut)
-    return F.filter(units, lambda w: w != "")
+    return F.filter(cut, lambda w: w != "")
 
 
 def _bound(value: Column, body) -> Column:
@@ -59,9 +49,8 @@ def _bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def anchors(text: Column, k: int = K, s: int = S, sample: int = SAMPLE, short: Column | None = None) -> Column:
-    """The fingerprint as an array of (hash, position), smallest hashes first. ``short`` says
-    whether the text is read by characters; without it the text's own length does."""
+def anchors(text: Column, k: int = K, s: int = S, sample: int = SAMPLE) -> Column:
+    """The fingerprint as an array of (hash, position), smallest hashes first."""
     inner = k - s + 1
 
     def inner_hashes(hashes: Column) -> Column:
@@ -79,8 +68,8 @@ def anchors(text: Column, k: int = K, s: int = S, sample: int = SAMPLE, short: C
 
         def is_closed(i: Column) -> Column:
             edge = F.least(F.get(runs, i), F.get(runs, i + (inner - 1)))
-            middle = F.least(*[F.get(runs, i + j) for j in range(1, inner - 1)])
-            return edge <= middle
+            middle = [F.get(runs, i + j) for j in range(1, inner - 1)]
+            return edge <= (F.least(*middle) if len(middle) > 1 else middle[0])
 
         starts = F.filter(F.sequence(F.lit(0), count - 1), is_closed)
         covering = [*range(0, inner - 1, s), inner - 1]
@@ -92,7 +81,7 @@ def anchors(text: Column, k: int = K, s: int = S, sample: int = SAMPLE, short: C
 
     whole = F.array(F.struct(F.xxhash64(text).alias("h"), F.lit(0).alias("p")))
     found = _bound(
-        F.transform(_words(text, _is_short(text) if short is None else short), lambda w: F.xxhash64(w)),
+        F.transform(_words(text), lambda w: F.xxhash64(w)),
         lambda words: F.coalesce(
             _bound(inner_hashes(words), chosen), F.when(F.size(words) > 0, whole)
         ),
@@ -108,7 +97,7 @@ def anchors(text: Column, k: int = K, s: int = S, sample: int = SAMPLE, short: C
 
 
 def likeness(a: Column, b: Column, sample: int = SAMPLE, slack: int = SLACK) -> Column:
-    """Likeness of two anchor arrays from 0 to 1; null (a missing text) compares as 0."""
+    """Likeness of two anchor arrays from 0 to 1."""
 
     def hashes(of: Column) -> Column:
         return F.transform(of, lambda x: x["h"])
@@ -141,8 +130,7 @@ def likeness(a: Column, b: Column, sample: int = SAMPLE, slack: int = SLACK) ->
         found = _bound(_bound(F.array_max(step["union"]), shifts), agreeing)
         return found / F.size(step["union"])
 
-    compared = _bound(F.struct(a.alias("a"), b.alias("b")), compare)
-    return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(compared)
+    return _bound(F.struct(a.alias("a"), b.alias("b")), compare)
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -158,25 +146,81 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
     return df.withColumn(out, anchors(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _block_links(blocks: DataFrame) -> DataFrame:
-    """``block, next_block`` for a table of distinct block numbers; after the last the first.
-
-    Blocks are ordered within super-blocks, and only the super-blocks' first blocks, one in
-    SUPER_BLOCK, meet in one window."""
-    tagged = blocks.withColumn("super", F.floor(F.col("block") / SUPER_BLOCK))
-    inside = Window.partitionBy("super").orderBy("block")
-    firsts = tagged.groupBy("super").agg(F.min("block").alias("first"))
-    across = Window.orderBy("super")
+def _cut(value: Column, shift: int | Column) -> Column:
+    """The start of the value's block of 2^shift numbers."""
+    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+
+
+def _shift(width: int, blocks: int) -> int:
+    """Block size for about ``blocks`` blocks, or up to twice as many, in a range."""
+    return max(0, (width // max(1, blocks)).bit_length() - 1)
+
+
+def _in_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """Adds ``block, part``: rows with equal values are neighbours in the order of ``key, digest``
+    and blocks follow one another in it. Also the power of two of the usual block's width.
+
+    Blocks are id ranges of one width; those that turn out to hold many more rows than they should
+    (outlying or clustered ids) are cut again by the range of their own ids, and rows of one id by
+    the hash of their text. A block is cut again while it holds more than eight times
+    ``block_rows`` and more than one in 4096 of all rows, so fewer than 4096 such blocks are known
+    to the driver at a time."""
+    facts = rows.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).head()
+    usual = _shift((facts["high"] or 0) - (facts["low"] or 0), facts["n"] // block_rows)
+    placed = rows.withColumns({"block": _cut(F.col("key"), F.lit(usual)), "part": F.lit(0).cast("long")})
+    limit = max(8 * block_rows, facts["n"] // 4096)
+    spark = rows.sparkSession
+    full = placed
+    while True:
+        large = (
+            full.groupBy("block", "part")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"),
+                 F.min("digest").alias("first"), F.max("digest").alias("last"))
+            .where((F.col("n") > limit) & ((F.col("low") < F.col("high")) | (F.col("first") < F.col("last"))))
+            .collect()
+        )
+        if not large:
+            return placed, usual
+        cuts = []
+        for r in large:
+            of_key = r["low"] is not None and r["low"] < r["high"]
+            low, high = (r["low"], r["high"]) if of_key else (r["first"], r["last"])
+            # One step narrower at least than the range that was too full.
+            shift = min(_shift(high - low, r["n"] // block_rows), (high - low).bit_length() - 1)
+            cuts.append((r["block"], r["part"], shift if of_key else None, None if of_key else shift))
+        known = spark.createDataFrame(cuts, "b long, p long, of_key int, of_digest int")
+
+        def again(df: DataFrame, how: str) -> DataFrame:
+            same = df["block"].eqNullSafe(known["b"]) & (df["part"] == known["p"])
+            met = df.join(F.broadcast(known), same, how)
+            block = F.when(F.col("of_key").isNotNull(), _cut(F.col("key"), F.col("of_key"))).otherwise(F.col("block"))
+            part = F.when(F.col("of_digest").isNotNull(), _cut(F.col("digest"), F.col("of_digest"))).otherwise(F.col("part"))
+            return met.withColumns({"block": block, "part": part}).drop("b", "p", "of_key", "of_digest")
+
+        placed, full = again(placed, "left"), again(full, "inner")
+
+
+def _block_links(blocks: DataFrame, width: int) -> DataFrame:
+    """``block, part, next_block, next_part`` for distinct blocks; after the last the first.
+
+    Blocks are ordered within super-blocks of SUPER_BLOCK usual widths, and only the super-blocks'
+    first blocks, one in SUPER_BLOCK, meet in one window."""
+    here = F.struct("block", "part")
+    tagged = blocks.withColumns({"super": _cut(F.col("block"), F.lit(min(63, width + SUPER_BLOCK.bit_length()))), "here": here})
+    inside = Window.partitionBy("super").orderBy(F.col("block").asc_nulls_first(), "part")
+    firsts = tagged.groupBy("super").agg(F.min("here").alias("first"))
+    across = Window.orderBy(F.col("super").asc_nulls_first())
     entries = firsts.select(
-        "super",
+        F.col("super").alias("entered"),
         F.coalesce(
             F.lead("first").over(across),
-            F.min("first").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+            F.first("first").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
         ).alias("entry"),
     )
-    return tagged.withColumn("inner", F.lead("block").over(inside)).join(entries, "super").select(
-        "block", F.coalesce("inner", "entry").alias("next_block")
-    )
+    linked = tagged.withColumn("inner", F.lead("here").over(inside))
+    linked = linked.join(entries, linked["super"].eqNullSafe(entries["entered"]))
+    following = F.coalesce("inner", "entry")
+    return linked.select("block", "part", following["block"].alias("next_block"), following["part"].alias("next_part"))
 
 
 def edited_fingerprints(
@@ -187,19 +231,18 @@ def edited_fingerprints(
     The edited text of a row has its last quarter of code points replaced by the first as many
     (or all) of the next row's text by ascending key; after the last row comes the first.
     ``key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
-    Rows that repeat a key follow one another by text.
+    Rows that repeat a key follow one another by the hash of their text, then by text; rows
+    without a key come first.
 
     The order is made within blocks of ids, and only a block's last row looks into the next
     block. Each text moves once, and its fingerprint is made behind that shuffle.
     """
     prepared(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = rows.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).head()
-    low = bounds["low"] or 0
-    shift = ((bounds["high"] or 0) - low) // max(1, bounds["n"] // block_rows)
-    block = F.shiftright(F.coalesce("key", F.lit(low)), max(0, shift.bit_length() - 1))
-    dealt = rows.withColumn("block", block).repartition("block")
-    order = Window.partitionBy("block").orderBy(F.col("key").asc_nulls_first(), "text")
+    rows = rows.withColumn("digest", F.xxhash64("text"))
+    placed, width = _in_blocks(rows, block_rows)
+    dealt = placed.repartition("block", "part")
+    order = Window.partitionBy("block", "part").orderBy(F.col("key").asc_nulls_first(), "digest", "text")
 
     def marked(part: DataFrame) -> DataFrame:
         return part.withColumn("fp", anchors(F.col("text")))
@@ -213,13 +256,16 @@ def edited_fingerprints(
     )
     # The rows at the blocks' ends, one or two of each block.
     edges = dealt.withColumns(
-        {"first": F.lag("block").over(order).isNull(), "last": F.lead("block").over(order).isNull()}
+        {"first": F.lag("part").over(order).isNull(), "last": F.lead("part").over(order).isNull()}
     )
     starts = marked(edges.where("first")).select(
-        F.col("block").alias("next_block"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp")
+        F.col("block").alias("to_block"), F.col("part").alias("to_part"),
+        F.col("text").alias("next_text"), F.col("fp").alias("next_fp")
     )
-    links = _block_links(rows.select(block.alias("block")).distinct())
-    ends = marked(edges.where("last")).join(links, "block").join(starts, "next_block")
+    links = _block_links(placed.select("block", "part").distinct(), width)
+    ends = marked(edges.where("last")).alias("e").join(
+        links.alias("l"), F.col("e.block").eqNullSafe(F.col("l.block")) & (F.col("e.part") == F.col("l.part")))
+    ends = ends.join(starts, F.col("next_block").eqNullSafe(F.col("to_block")) & (F.col("next_part") == F.col("to_part")))
     paired = body.unionByName(ends.select(*own, "next_text", "next_fp"))
 
     n_chars = F.char_length("text")
@@ -228,15 +274,7 @@ def edited_fingerprints(
         F.substring(F.col("text"), F.lit(1), n_chars - moved),
         F.substring(F.col("next_text"), F.lit(1), moved),
     )
-    short, next_short = _is_short(F.col("text")), _is_short(F.col("next_text"))
-    by_words = {c: anchors(F.col(c), short=F.lit(False)) for c in ("text", "next_text")}
-    made = paired.withColumn("edited", edited).withColumns(
-        {
-            "edited_fp": anchors(F.col("edited"), short=short),
-            "left_fp": F.when(short & ~next_short, by_words["text"]).otherwise(F.col("fp")),
-            "right_fp": F.when(~short & next_short, by_words["next_text"]).otherwise(F.col("next_fp")),
-        }
-    )
+    made = paired.withColumn("edited", edited).withColumn("edited_fp", anchors(F.col("edited")))
     return made.select(
         F.col("key").alias(key),
         n_chars.cast("long").alias("n_chars"),
@@ -244,5 +282,5 @@ def edited_fingerprints(
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("left_fp"), F.col("right_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

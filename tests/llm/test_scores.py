@@ -119,14 +119,32 @@ def test_anchors_are_closed_syncmers(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(150)]
     df = spark.createDataFrame([(" ".join(words),)], "text string")
-    found = df.select(syncmers.anchors(F.col("text"), sample=10_000)).head()[0]
-    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    runs = [(hashes[a], hashes[b]) for a, b in zip(words, words[1:])]
-    pairs = spark.createDataFrame(list(set(runs)), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()
-    of_pair = {(r.a, r.b): r.h for r in pairs}
-    expected = brute_closed(words, syncmers.K, syncmers.S, lambda pair: of_pair[hashes[pair[0]], hashes[pair[1]]])
-    assert sorted(x.p for x in found) == expected
-    assert len(expected) > 150 / syncmers.K
+    for k, s in ((syncmers.K, syncmers.S), (6, 2)):
+        found = df.select(syncmers.anchors(F.col("text"), k, s, sample=10_000)).head()[0]
+        hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+        runs = [tuple(hashes[w] for w in words[i : i + s]) for i in range(len(words) - s + 1)]
+        columns = [f"c{j}" for j in range(s)]
+        of_run = {tuple(r)[:s]: r.h for r in spark.createDataFrame(list(set(runs)), ", ".join(f"{c} long" for c in columns)).withColumn("h", F.xxhash64(*columns)).collect()}
+        expected = brute_closed(words, k, s, lambda run: of_run[tuple(hashes[w] for w in run)])
+        assert sorted(x.p for x in found) == expected
+        assert len(expected) > 150 / k
+
+
+def brute_likeness(one, other):
+    """The likeness from two returned fingerprints, in plain Python."""
+    def signed(h):
+        value = int(h, 16)
+        return value - (1 << 64) if value >> 63 else value
+
+    a, b = ({signed(h): int(p, 16) for h, p in (x.split("@") for x in f.split(" ") if x)} for f in (one, other))
+    if not a and not b:
+        return 1.0
+    if not a.keys() & b.keys():
+        return 0.0
+    union = sorted(a.keys() | b.keys())[: syncmers.SAMPLE]
+    shifts = sorted(a[h] - b[h] for h in a.keys() & b.keys() if h <= union[-1])
+    middle = shifts[len(shifts) // 2] if shifts else 0
+    return sum(abs(d - middle) <= syncmers.SLACK for d in shifts) / len(union)
 
 
 def test_edited_fingerprints(spark):
@@ -156,19 +174,41 @@ def test_edited_fingerprints(spark):
     assert syncmers.edited_fingerprints(twice).count() == 3
 
 
-def test_texts_on_both_sides_of_the_short_length_are_compared_alike(spark):
+def test_likeness_is_that_of_the_returned_fingerprints(spark):
     rng = random.Random(4)
 
     def text(n):
-        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))[: n * 6 - 2]
-
-    near, other, exposed = text(42), text(44), text(50)
-    assert len(near) < syncmers.SHORT_TEXT <= len(near + " tail more")
-    rows = [(1, near), (2, near + " tail more"), (3, near), (4, other), (5, exposed), (6, None)]
-    got = {r.doc_id: r for r in syncmers.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].near_next > 0.5 and got[2].near_next > 0.5
-    assert got[3].near_next < 0.1 and got[4].near_next < 0.1
-    assert got[5].near_edited > 0.3
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    texts = [text(rng.choice([1, 2, 3, 5, 9, 42, 44, 50, 300])) for _ in range(80)]
+    texts = [" ".join((texts[i - 1].split() + t.split())) if i % 3 == 0 else t for i, t in enumerate(texts)]
+    # The edited form of the first is the text of another row, on either side of former limits.
+    moved = len(texts[5]) // 4
+    texts.append(texts[5][: len(texts[5]) - moved] + texts[6][:moved])
+    texts += ["", "x" * 5000, "x" * 3000 + "y" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(syncmers.edited_fingerprints(df, block_rows=8).collect())
+    for r, after in zip(got, got[1:] + got[:1]):
+        assert r.near_edited == pytest.approx(brute_likeness(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(brute_likeness(r.fingerprint, after.fingerprint))
+    assert got[5].edited_fingerprint == got[80].fingerprint
+
+
+def test_blocks_follow_the_rows_not_the_ids(spark):
+    rng = random.Random(9)
+    ids = [*range(3000), 10**15, -(2**63), 2**63 - 1, *(10**12 + rng.randrange(500) for _ in range(700))]
+    rows = [(i, str(i)) for i in set(ids)] + [(None, f"null {i}") for i in range(900)] + [(5, f"five {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "key long, text string").withColumn("digest", F.xxhash64("text"))
+    placed, width = syncmers._in_blocks(df, 16)
+    blocks = placed.groupBy("block", "part").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(r.n for r in blocks) <= 128 and sum(r.n for r in blocks) == len(rows)
+    ordered = placed.orderBy(F.col("key").asc_nulls_first(), "digest").select("block", "part").collect()
+    seen = [k for k, _ in __import__("itertools").groupby(tuple(r) for r in ordered)]
+    assert len(seen) == len(set(seen)) == len(blocks)
+    links = {(r.block, r.part): (r.next_block, r.next_part) for r in syncmers._block_links(placed.select("block", "part").distinct(), width).collect()}
+    assert links == dict(zip(seen, seen[1:] + seen[:1]))
+    out = syncmers.edited_fingerprints(df.select(F.col("key").alias("doc_id"), "text"), block_rows=16)
+    assert out.count() == len(rows)
 
 
 # --- archives -------------------------------------------------------------------------------
