@@ -12,7 +12,8 @@
    best (likelihood-ratio test on document counts).
 
 The labelled sample holds at most ``max_labelled`` rows, those with the smallest hash of their
-id. The language model, restoration and scores cover every row and whole texts.
+id, and the regression weighs at most ``terms`` terms, chosen by that test among the twenty times
+as many with the largest surplus in toxic rows. The language model, restoration and scores cover every row and whole texts.
 
 Results: null counts as empty; a text without words has the score of the intercept. Where
 labels are missing or of one kind, every score is their smoothed mean. Repeated ids are
@@ -40,7 +41,8 @@ from tandem.session import materialise
 MAX_LABELLED = 20_000
 TERMS = 400
 RIDGE = 0.0002
-CACHED_TOKENS = 800_000
+CACHED_LETTERS = 8_000_000
+CACHED_LENGTH = 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _SYMBOLS = len(LETTERS) + 1  # and the edge of a word
 _GRAMS = _SYMBOLS**4
@@ -59,7 +61,8 @@ _SPACED = re.compile(r"(?<!\S)(?:\S\s++){2,}\S(?!\S)")
 _BLANKS = re.compile(r"\s+")
 _EDGES = ".,;:!?\"'()[]{}#%&*|-_~<>/\\=+`^"
 _DRAWN_OUT = re.compile(r"([^\W\d_])\1\1", re.IGNORECASE)
-_MIXED = re.compile(r"[^\W\d_].*[0-9@$!|+€£(ø]|[0-9@$!|+€£(ø].*[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")
+_STAND_IN = re.compile(r"[0-9@$!|+€£(ø]")
 _APART = re.compile(r"[^\W_](?:[^\w\s]|_)+[^\W_]")
 # What a word may begin or end with besides letters and digits.
 _OUTER = "".join(c for c in _EDGES if c not in STAND_INS)
@@ -162,7 +165,10 @@ def restore(token: str, model: CharacterModel) -> str:
 
 
 def is_disguised(core: str) -> bool:
-    return bool(_MIXED.search(core) or _DRAWN_OUT.search(core) or (_APART.search(core) and _WORD.search(core)))
+    """Whether a token shows signs of disguise; each sign is looked for in one pass."""
+    if not _LETTER.search(core):
+        return False
+    return bool(_STAND_IN.search(core) or _DRAWN_OUT.search(core) or _APART.search(core))
 
 
 def terms_of(word: str) -> list[str]:
@@ -171,11 +177,12 @@ def terms_of(word: str) -> list[str]:
 
 
 class Reader(dict):
-    """Terms of a token, plain and restored; made on first use."""
+    """Terms of a token, plain and restored; made on first use. Tokens of up to CACHED_LENGTH
+    letters are kept, until they hold CACHED_LETTERS letters together."""
 
     def __init__(self, model: CharacterModel, wanted: dict[str, int] | None = None):
         super().__init__()
-        self.model, self.wanted = model, wanted
+        self.model, self.wanted, self.letters = model, wanted, 0
 
     def __missing__(self, token: str) -> tuple:
         words = [w.lower() for w in _WORD.findall(token)]
@@ -185,9 +192,12 @@ class Reader(dict):
                 words += restore(core, self.model).split()
         found = {t for w in words if w for t in terms_of(w)}
         value = tuple(found) if self.wanted is None else tuple(self.wanted[t] for t in found if t in self.wanted)
-        if len(self) >= CACHED_TOKENS:
-            self.clear()
-        self[token] = value
+        if len(token) <= CACHED_LENGTH:
+            if self.letters >= CACHED_LETTERS:
+                self.clear()
+                self.letters = 0
+            self[token] = value
+            self.letters += len(token)
         return value
 
     def terms(self, text: str) -> set:

@@ -59,6 +59,24 @@ def test_quality_rules_compile_to_columns(spark):
     assert [r[0] for r in df.select(rule.column()).collect()] == [True, False, False]
 
 
+def test_all_rules_row_by_row(spark):
+    """Scores of the compiled columns equal a plain evaluation of every rule of the ensemble."""
+    docs, labels = corpus(spark, 200)
+    known = quality.with_statistics(docs).join(labels.select("doc_id", "quality").withColumnRenamed("doc_id", "key"), "key")
+    ensemble = quality.fit(known.withColumnRenamed("quality", "label"))
+    assert ensemble.weights
+    for row in quality.with_statistics(docs).withColumn("score", ensemble.score()).collect():
+        total = ensemble.intercept
+        for rule, weight in ensemble.weights:
+            if all(low < row[name] <= high for name, low, high in rule.bounds):
+                total += weight
+        assert row.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+    text = "Some WORDS, and 12 of them!\nA line | more | WORDS WORDS."
+    got = dict(zip(quality.STATISTICS, quality.statistics(text)))
+    assert (got["characters"], got["words"], got["distinct_lines"], got["longest_word"]) == (len(text), 13.0, 1.0, 6.0)
+    assert got["repeated_neighbours"] == 0.0 and got["bars"] == 2 / len(text) and got["digits"] == 2 / len(text)
+
+
 @pytest.mark.parametrize("classify, column", [(quality.classify, "quality"), (toxicity.classify, "toxic")])
 def test_scores_without_labels_or_with_one_kind(spark, classify, column):
     docs, labels = corpus(spark, 20)
@@ -95,6 +113,56 @@ def test_long_disguised_tokens_are_read_to_their_end():
     assert len(toxicity.restore("a-b" * 20_000, model).replace(" ", "")) == 40_000
 
 
+def test_viterbi_equals_the_best_of_all_paths():
+    import itertools
+
+    plain = ["you are a bad moron", "the idiot was a stupid loser", "clown bill silly toll"] * 20
+    model = toxicity.CharacterModel(toxicity.count_sequences(plain, toxicity._fold_table()))
+
+    def score(letters, cost):
+        total, at = -cost, (0, 0, 0)
+        for letter in letters:
+            symbol = toxicity.LETTERS.find(letter) + 1
+            if letter == " " and at[2] == 0:
+                return None
+            total += model[(*at, symbol)]
+            at = (at[1], at[2], symbol)
+        return total + (model[(*at, 0)] if at[2] else 0.0)
+
+    rng = random.Random(12)
+    tokens = ["1d10t", "b!ll", "m0r-0n", "s!!!ly", "70ll", "-a-", "88", "xx@xx"]
+    tokens += ["".join(rng.choice("abdlo0178!-@") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    for token in tokens:
+        paths = itertools.product(*toxicity.lattice(toxicity.folded(token)))
+        scores = [(score("".join(x for x, _ in p), sum(c for _, c in p)), "".join(x for x, _ in p)) for p in paths]
+        best = max(x for x, _ in scores if x is not None)
+        read = toxicity.restore(token, model)
+        assert any(text == read and x is not None and abs(x - best) < 1e-5 for x, text in scores)
+
+
+def test_long_words_take_linear_time(spark):
+    import time
+
+    for token in ("x" * 2_000_000, "é" * 1_000_000 + "!", "9" * 1_000_000, "ab-" * 300_000, "中" * 1_000_000, "(-" * 500_000):
+        started = time.perf_counter()
+        toxicity.is_disguised(token)
+        assert time.perf_counter() - started < 5
+    docs, labels = corpus(spark, 60)
+    long = spark.createDataFrame([(900, "中" * 1_000_000), (901, "ab" * 500_000), (902, "a b " * 200_000)], "doc_id long, text string")
+    rows = toxicity.classify(docs.select("doc_id", "text").unionByName(long), labels).collect()
+    assert len(rows) == docs.count() + 3 and all(0.0 <= r.score <= 1.0 for r in rows)
+
+
+def test_a_cache_of_few_letters_changes_nothing(monkeypatch):
+    plain = ["the idiot was a stupid loser"] * 50
+    model = toxicity.CharacterModel(toxicity.count_sequences(plain, toxicity._fold_table()))
+    texts = ["an 1d10t and a l0ser", "st*upid " * 30, "plain words only"]
+    expected = [toxicity.Reader(model).terms(t) for t in texts]
+    monkeypatch.setattr(toxicity, "CACHED_LETTERS", 10)
+    reader = toxicity.Reader(model)
+    assert [reader.terms(t) for t in texts] == expected and reader.letters <= 10 + toxicity.CACHED_LENGTH
+
+
 @pytest.mark.parametrize("text, word", [
     ("an i d ! o t here", "idiot"), ("i  d  i  o  t", "idiot"), ("i\td\ti\to\tt", "idiot"), ("$ t u p 1 d", "stupid"), ("! d i o t", "idiot"),
     ("he is b a d", "bad"), ("stu.pid", "stupid"), ("id-iot", "idiot"), ("mo*ron", "moron"), ("st_up_id", "stupid"), ("stu/pid", "stupid"),
