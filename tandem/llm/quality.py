@@ -36,7 +36,6 @@ MAX_LABELLED = 20_000
 TREES = 24
 DEPTH = 4
 LASSO = 0.0005
-MAX_RULES = 400
 
 STATISTICS = (
     "characters", "words", "word_length", "distinct_words", "repeated_neighbours", "distinct_lines",
@@ -154,7 +153,8 @@ def fit(labelled: DataFrame, label: str = "label", max_labelled: int = MAX_LABEL
     rules: dict[Rule, None] = {}
     for tree in forest.trees:
         rules.update(dict.fromkeys(_paths(tree._java_obj.rootNode(), {})))
-    chosen = list(rules)[:MAX_RULES]
+    # All of them: the lasso selects.
+    chosen = list(rules)
     if not chosen:
         return RuleEnsemble(_logit((positive + 0.5) / (n + 1.0)))
     indicators = F.array(*[r.column().cast("double") for r in chosen])
