@@ -156,9 +156,10 @@ def _shift(width: int, blocks: int) -> int:
     return max(0, (width // max(1, blocks)).bit_length() - 1)
 
 
-def _in_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
-    """Adds ``block, part``: rows with equal values are neighbours in the order of ``key, digest``
-    and blocks follow one another in it. Also the power of two of the usual block's width.
+def _in_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, list[str], int]:
+    """Adds ``block`` and, where it is needed, ``part``: rows with equal values are neighbours in
+    the order of ``key, digest`` and blocks follow one another in it. Also the names added and the
+    power of two of the usual block's width.
 
     Blocks are id ranges of one width; those that turn out to hold many more rows than they should
     (outlying or clustered ids) are cut again by the range of their own ids, and rows of one id by
@@ -167,47 +168,53 @@ def _in_blocks(rows: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
     to the driver at a time."""
     facts = rows.agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).head()
     usual = _shift((facts["high"] or 0) - (facts["low"] or 0), facts["n"] // block_rows)
-    placed = rows.withColumns({"block": _cut(F.col("key"), F.lit(usual)), "part": F.lit(0).cast("long")})
+    placed, names = rows.withColumn("block", _cut(F.col("key"), F.lit(usual))), ["block"]
     limit = max(8 * block_rows, facts["n"] // 4096)
-    spark = rows.sparkSession
     full = placed
     while True:
         large = (
-            full.groupBy("block", "part")
+            full.groupBy(*names)
             .agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"),
                  F.min("digest").alias("first"), F.max("digest").alias("last"))
             .where((F.col("n") > limit) & ((F.col("low") < F.col("high")) | (F.col("first") < F.col("last"))))
             .collect()
         )
         if not large:
-            return placed, usual
+            return placed, names, usual
         cuts = []
         for r in large:
             of_key = r["low"] is not None and r["low"] < r["high"]
             low, high = (r["low"], r["high"]) if of_key else (r["first"], r["last"])
             # One step narrower at least than the range that was too full.
             shift = min(_shift(high - low, r["n"] // block_rows), (high - low).bit_length() - 1)
-            cuts.append((r["block"], r["part"], shift if of_key else None, None if of_key else shift))
-        known = spark.createDataFrame(cuts, "b long, p long, of_key int, of_digest int")
+            cuts.append((r["block"], r["part"] if "part" in names else 0, shift if of_key else None, None if of_key else shift))
+        if "part" not in names and any(c[3] is not None for c in cuts):
+            names = [*names, "part"]
+            placed, full = (df.withColumn("part", F.lit(0).cast("long")) for df in (placed, full))
+        known = rows.sparkSession.createDataFrame(cuts, "b long, p long, of_key int, of_digest int")
 
         def again(df: DataFrame, how: str) -> DataFrame:
-            same = df["block"].eqNullSafe(known["b"]) & (df["part"] == known["p"])
+            same = df["block"].eqNullSafe(known["b"])
+            if "part" in names:
+                same &= df["part"] == known["p"]
             met = df.join(F.broadcast(known), same, how)
-            block = F.when(F.col("of_key").isNotNull(), _cut(F.col("key"), F.col("of_key"))).otherwise(F.col("block"))
-            part = F.when(F.col("of_digest").isNotNull(), _cut(F.col("digest"), F.col("of_digest"))).otherwise(F.col("part"))
-            return met.withColumns({"block": block, "part": part}).drop("b", "p", "of_key", "of_digest")
+            met = met.withColumn("block", F.when(F.col("of_key").isNotNull(), _cut(F.col("key"), F.col("of_key"))).otherwise(F.col("block")))
+            if "part" in names:
+                met = met.withColumn(
+                    "part", F.when(F.col("of_digest").isNotNull(), _cut(F.col("digest"), F.col("of_digest"))).otherwise(F.col("part")))
+            return met.drop("b", "p", "of_key", "of_digest")
 
         placed, full = again(placed, "left"), again(full, "inner")
 
 
-def _block_links(blocks: DataFrame, width: int) -> DataFrame:
-    """``block, part, next_block, next_part`` for distinct blocks; after the last the first.
+def _block_links(blocks: DataFrame, names: list[str], width: int) -> DataFrame:
+    """``here, following``, structs of the names, for distinct blocks; after the last the first.
 
     Blocks are ordered within super-blocks of SUPER_BLOCK usual widths, and only the super-blocks'
     first blocks, one in SUPER_BLOCK, meet in one window."""
-    here = F.struct("block", "part")
-    tagged = blocks.withColumns({"super": _cut(F.col("block"), F.lit(min(63, width + SUPER_BLOCK.bit_length()))), "here": here})
-    inside = Window.partitionBy("super").orderBy(F.col("block").asc_nulls_first(), "part")
+    tagged = blocks.select(
+        _cut(F.col("block"), F.lit(min(63, width + SUPER_BLOCK.bit_length()))).alias("super"), F.struct(*names).alias("here"))
+    inside = Window.partitionBy("super").orderBy("here")
     firsts = tagged.groupBy("super").agg(F.min("here").alias("first"))
     across = Window.orderBy(F.col("super").asc_nulls_first())
     entries = firsts.select(
@@ -219,8 +226,7 @@ def _block_links(blocks: DataFrame, width: int) -> DataFrame:
     )
     linked = tagged.withColumn("inner", F.lead("here").over(inside))
     linked = linked.join(entries, linked["super"].eqNullSafe(entries["entered"]))
-    following = F.coalesce("inner", "entry")
-    return linked.select("block", "part", following["block"].alias("next_block"), following["part"].alias("next_part"))
+    return linked.select("here", F.coalesce("inner", "entry").alias("following"))
 
 
 def edited_fingerprints(
@@ -240,9 +246,9 @@ def edited_fingerprints(
     prepared(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.xxhash64("text"))
-    placed, width = _in_blocks(rows, block_rows)
-    dealt = placed.repartition("block", "part")
-    order = Window.partitionBy("block", "part").orderBy(F.col("key").asc_nulls_first(), "digest", "text")
+    placed, names, width = _in_blocks(rows, block_rows)
+    dealt = placed.repartition(*names)
+    order = Window.partitionBy(*names).orderBy(F.col("key").asc_nulls_first(), "digest", "text")
 
     def marked(part: DataFrame) -> DataFrame:
         return part.withColumn("fp", anchors(F.col("text")))
@@ -256,16 +262,13 @@ def edited_fingerprints(
     )
     # The rows at the blocks' ends, one or two of each block.
     edges = dealt.withColumns(
-        {"first": F.lag("part").over(order).isNull(), "last": F.lead("part").over(order).isNull()}
+        {"here": F.struct(*names), "first": F.lag("text").over(order).isNull(), "last": F.lead("text").over(order).isNull()}
     )
     starts = marked(edges.where("first")).select(
-        F.col("block").alias("to_block"), F.col("part").alias("to_part"),
-        F.col("text").alias("next_text"), F.col("fp").alias("next_fp")
+        F.col("here").alias("following"), F.col("text").alias("next_text"), F.col("fp").alias("next_fp")
     )
-    links = _block_links(placed.select("block", "part").distinct(), width)
-    ends = marked(edges.where("last")).alias("e").join(
-        links.alias("l"), F.col("e.block").eqNullSafe(F.col("l.block")) & (F.col("e.part") == F.col("l.part")))
-    ends = ends.join(starts, F.col("next_block").eqNullSafe(F.col("to_block")) & (F.col("next_part") == F.col("to_part")))
+    links = _block_links(placed.select(*names).distinct(), names, width)
+    ends = marked(edges.where("last")).join(links, "here").join(starts, "following")
     paired = body.unionByName(ends.select(*own, "next_text", "next_fp"))
 
     n_chars = F.char_length("text")

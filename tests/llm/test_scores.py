@@ -267,13 +267,14 @@ def test_blocks_follow_the_rows_not_the_ids(spark):
     ids = [*range(3000), 10**15, -(2**63), 2**63 - 1, *(10**12 + rng.randrange(500) for _ in range(700))]
     rows = [(i, str(i)) for i in set(ids)] + [(None, f"null {i}") for i in range(900)] + [(5, f"five {i}") for i in range(900)]
     df = spark.createDataFrame(rows, "key long, text string").withColumn("digest", F.xxhash64("text"))
-    placed, width = syncmers._in_blocks(df, 16)
+    placed, names, width = syncmers._in_blocks(df, 16)
+    assert names == ["block", "part"] and syncmers._in_blocks(df, 10_000)[1] == ["block"]
     blocks = placed.groupBy("block", "part").agg(F.count(F.lit(1)).alias("n")).collect()
     assert max(r.n for r in blocks) <= 128 and sum(r.n for r in blocks) == len(rows)
     ordered = placed.orderBy(F.col("key").asc_nulls_first(), "digest").select("block", "part").collect()
     seen = [k for k, _ in __import__("itertools").groupby(tuple(r) for r in ordered)]
     assert len(seen) == len(set(seen)) == len(blocks)
-    links = {(r.block, r.part): (r.next_block, r.next_part) for r in syncmers._block_links(placed.select("block", "part").distinct(), width).collect()}
+    links = {tuple(r.here): tuple(r.following) for r in syncmers._block_links(placed.select(*names).distinct(), names, width).collect()}
     assert links == dict(zip(seen, seen[1:] + seen[:1]))
     out = syncmers.edited_fingerprints(df.select(F.col("key").alias("doc_id"), "text"), block_rows=16)
     assert out.count() == len(rows)
