@@ -163,57 +163,60 @@ def compare_judged_run(spark, sf_dir):
         F.col("judge_meta")["reason"].alias("reason"), "final_score", "rank")
 
 
-_UNEMBEDDED = plan.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=100)
-_BY_WORDS = f"""with {DOCS}, {QUERIES}, {index_sql()}, sums as (
+def _by_words(pool: int) -> str:
+    """The best ``pool`` documents of each item by BM25 over shared words, as ``found``."""
+    return f"""with {DOCS}, {QUERIES}, {index_sql()}, sums as (
         select t.query_id, p.id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2
             / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 9) as score
         from terms t join postings p using (term) join freq f using (term) join lengths l on l.id = p.id cross join totals
         group by t.query_id, p.id),
     found as (select query_id, id, row_number() over (partition by query_id order by score desc, id) as pos
-        from sums qualify pos <= 100)"""
+        from sums qualify pos <= {pool})"""
 
 
-@register(f"""{_BY_WORDS} select 2 * query_id as left_id, 2 * id + 1 as right_id, 0.0::double as cosine_score, {_JUDGED}::double as final_score,
-    (row_number() over (partition by query_id order by {_JUDGED} desc, pos))::int as rank
-    from found join docs using (id) qualify rank <= 10""")
-def compare_keyword_run(spark, sf_dir):
-    """Judge alone: every left row with its hundred best right rows of all, by shared words."""
-    run = plan.run_compare(passage_records(spark, sf_dir, embedded=False), _UNEMBEDDED, judge=LengthJudge())
-    return run.matches.select("left_id", "right_id", "cosine_score", "final_score", "rank")
+def _unembedded_run(spark, sf_dir, pool: int) -> plan.RunResult:
+    config = plan.RunConfig(vector_enabled=False, judge_enabled=True, max_rights=pool)
+    return plan.run_compare(passage_records(spark, sf_dir, embedded=False), config, judge=LengthJudge())
+
 
+def _judged_words_sql(pool: int) -> str:
+    return f"""{_by_words(pool)} select 2 * query_id as left_id, 2 * id + 1 as right_id, 0.0::double as cosine_score,
+    {_JUDGED}::double as final_score, (row_number() over (partition by query_id order by {_JUDGED} desc, pos))::int as rank
+    from found join docs using (id) qualify rank <= 10"""
 
-@register(f"""{_BY_WORDS}, sizes as (select query_id, count(*) as n from found group by query_id)
+
+def _words_metrics_sql(pool: int) -> str:
+    return f"""{_by_words(pool)}, sizes as (select query_id, count(*) as n from found group by query_id)
     select sum(n)::bigint as candidate_pairs, count(*) as left_rows, sum(n)::bigint as judge_pairs, count(*) as judge_requests,
     0 as judge_unparsed, least(8192, greatest(2048, 258 + 128 * max(n)))::int as judge_max_tokens,
-    sum(least(n, 10))::bigint as matches_written from sizes""")
-def run_metrics_keyword(spark, sf_dir):
-    return plan.run_compare(passage_records(spark, sf_dir, embedded=False), _UNEMBEDDED, judge=LengthJudge()).metrics()
+    sum(least(n, 10))::bigint as matches_written from sizes"""
 
 
-def _first_rights_run(spark, sf_dir):
-    recs = passage_records(spark, sf_dir, embedded=False)
-    first = matching.capped_candidates(matching.side_of(recs, "left"), matching.side_of(recs, "right"), 100)
-    return plan.run_candidates(recs, first, _UNEMBEDDED, judge=LengthJudge())
+@register(_judged_words_sql(100))
+def compare_keyword_run(spark, sf_dir):
+    """Judge alone: every left row with its hundred best right rows of all, by shared words."""
+    run = _unembedded_run(spark, sf_dir, 100)
+    return run.matches.select("left_id", "right_id", "cosine_score", "final_score", "rank")
 
 
-_FIRST_RIGHTS = "(select doc_id, '[sheet] ' || source || ' | [lang] ' || lang || ' | [text] ' || text as content from documents order by doc_id limit 100)"
+@register(_words_metrics_sql(100))
+def run_metrics_keyword(spark, sf_dir):
+    return _unembedded_run(spark, sf_dir, 100).metrics()
 
 
-@register(f"""select 2 * item_id as left_id, 2 * doc_id + 1 as right_id, 0.0::double as cosine_score, {_JUDGED}::double as final_score,
-    (row_number() over (partition by item_id order by {_JUDGED} desc, doc_id))::int as rank
-    from benchmark, {_FIRST_RIGHTS} qualify rank <= 10""")
+@register(_judged_words_sql(10))
 def compare_without_vectors(spark, sf_dir):
-    """Judge alone: every left row with the first hundred right rows."""
-    run = _first_rights_run(spark, sf_dir)
+    """Judge alone, few candidates: every left row with its ten best right rows of all."""
+    run = _unembedded_run(spark, sf_dir, 10)
     return run.matches.select("left_id", "right_id", "cosine_score", "final_score", "rank")
 
 
-@register(f"""select count(*) as candidate_pairs, count(distinct item_id) as left_rows, count(*) as judge_pairs,
-    count(distinct item_id) as judge_requests, 0 as judge_unparsed, 8192 as judge_max_tokens, 10 * count(distinct item_id) as matches_written
-    from benchmark, {_FIRST_RIGHTS}""")
+@register(_words_metrics_sql(10))
 def run_metrics_judged(spark, sf_dir):
-    run = _first_rights_run(spark, sf_dir)
-    return run.metrics()
+    return _unembedded_run(spark, sf_dir, 10).metrics()
+
+
+_FIRST_RIGHTS = "(select doc_id from documents order by doc_id limit 100)"
 
 
 @register(f"""select 2 * item_id as left_id, 2 * doc_id + 1 as right_id, 0.0::double as cosine_score,

@@ -236,6 +236,16 @@ def bm25_topk(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@register(f"""with {PARTS}, {PART_QUERIES}, {index_sql(NO_STOP)}
+    select query_id, id, round(score, 6) as score, rank::int as rank, true as fewer_blocks from kw where rank <= 5""")
+def bm25_topk_pruned(spark, sf_dir):
+    """The five best by blocks with score bounds; ``fewer_blocks`` tells whether some were passed over."""
+    index = keyword.block_index(_parts_index(spark, sf_dir, "english_unstemmed"))
+    found = keyword.keyword_topk_pruned(index, part_queries(spark, sf_dir), "english_unstemmed", 5)
+    saved = found.reads.agg((F.sum("blocks_read") < F.sum("blocks_total")).alias("fewer_blocks"))
+    return found.matches.withColumn("score", F.round("score", 6)).join(F.broadcast(saved))
+
+
 @register(f"""with {DOCS}, {QUERIES}, {index_sql(NO_STOP)}
     select query_id, id, round(score, 6) as score, rank::int as rank from kw""")
 def bm25_topk_documents(spark, sf_dir):

@@ -12,25 +12,19 @@ looked up for the other terms, instead of intersecting whole posting lists of co
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions.cells import as_column
 from tandem.functions.text import ANALYZERS, english_stem, is_stop_word, tokens
-from tandem.operators.topk import BLOCK_ROWS, SLICE_ROWS, _slice_topk
+from tandem.operators.blockmax import K1, SCORE_DIGITS, B, BlockIndex, PrunedTopk, topk_pruned
 from tandem.session import materialise
 
-# Candidates per retriever by default, and the published BM25 parameters (fixed values).
+# Candidates per retriever by default (fixed value).
 POOL = 50
-K1 = 1.2
-B = 0.75
-SCORE_DIGITS = 9
 # Folders of a saved index.
 BUCKET = "term_bucket"
 BUCKETS = 256
@@ -187,79 +181,26 @@ def keyword_baseline(index: KeywordIndex, queries: DataFrame, k: int) -> DataFra
     return keyword_topk(index, queries, k).withColumn("score", F.round("score", 4))
 
 
+def block_index(index: KeywordIndex) -> BlockIndex:
+    """The index with its postings cut into blocks with score bounds."""
+    return BlockIndex.build(index.postings)
+
+
+def keyword_topk_pruned(blocks: BlockIndex, queries: DataFrame, analyzer: str, pool: int = POOL) -> PrunedTopk:
+    """The result of ``keyword_topk``, from the blocks that can hold it."""
+    return topk_pruned(blocks, query_terms(queries, analyzer).drop("n_terms"), pool, every_term=True)
+
+
 def any_term_topk(lefts: DataFrame, rights: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """``*by, left_id, right_id, score, rank``: the k best right rows of each left row by BM25, of
     all right rows that share at least one term with it, ties by id. ``lefts`` and ``rights`` hold
     ``*by``, their id and ``text``; each ``by`` value is an index of its own.
 
-    Blocks of left and right rows meet, as in the vector join: a task adds up the terms that both
-    blocks hold and emits at most k rows per left row, so neither pairs nor postings are rows. The
-    inverse frequencies travel with the left terms, the right rows as their tokens.
+    The right rows become an index of posting blocks with score bounds; a left row reads the
+    blocks that can still hold one of its k best.
     """
-    words = rights.select(*by, "right_id", tokens("text").alias("words")).where(F.size("words") > 0)
-    totals = words.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avg_length"))
+    words = rights.select(*by, F.col("right_id").alias("id"), F.explode(tokens("text")).alias("term"))
+    postings = words.groupBy(*by, "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     asked = lefts.select(*by, "left_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    n_asked = lefts.groupBy(*by).agg(F.count(F.lit(1)).alias("n_asked"))
-
-    def beside(rows: DataFrame, facts: DataFrame) -> DataFrame:
-        return rows.join(facts, list(by)) if by else rows.join(F.broadcast(facts))
-
-    def blocks(n: str) -> Column:
-        return F.ceil(F.col(n) / BLOCK_ROWS)
-
-    def each(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(n) - 1))
-
-    # At most one row per ``by`` value.
-    sizes = materialise(beside(totals, n_asked), "sizes")
-    frequency = (
-        words.select(*by, F.explode(F.array_distinct("words")).alias("term"))
-        .groupBy(*by, "term").agg(F.count(F.lit(1)).alias("df"))
-    )
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    left = (
-        beside(asked.join(frequency, [*by, "term"]), sizes)
-        .groupBy(*by, "left_id", "n_docs", "n_asked")
-        .agg(F.collect_list("term").alias("terms"), F.collect_list(idf).alias("idf"))
-        .select(*by, "left_id", "terms", "idf", F.pmod(F.xxhash64("left_id"), blocks("n_asked")).alias("lb"), each("n_docs").alias("rb"))
-    )
-    # Columns of their own: both sides may come from one table.
-    right = beside(words, sizes).select(
-        *[F.col(b).alias(b) for b in by], "right_id", F.array_join("words", " ").alias("words"), "avg_length",
-        F.pmod(F.xxhash64("right_id"), blocks("n_docs")).alias("rb"), each("n_asked").alias("lb"))
-    keys = [*by, "lb", "rb"]
-    schema = left.select(*by, "left_id", F.lit(None).cast(rights.schema["right_id"].dataType).alias("right_id"), F.lit(0.0).alias("score")).schema
-
-    def score(l_rows: pd.DataFrame, r_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(l_rows) or not len(r_rows):
-            return pd.DataFrame(columns=schema.names)
-        r_rows = r_rows.sort_values("right_id")
-        right_ids, average = r_rows["right_id"].to_numpy(), float(r_rows["avg_length"].iloc[0])
-        idfs = {t: x for terms, values in zip(l_rows["terms"], l_rows["idf"]) for t, x in zip(terms, values)}
-        columns: dict[str, tuple[list, list]] = {term: ([], []) for term in idfs}
-        for col, text in enumerate(r_rows["words"]):
-            held = text.split(" ")
-            base = K1 * (1 - B + B * len(held) / average)
-            for term, tf in Counter(filter(idfs.__contains__, held)).items():
-                columns[term][0].append(col)
-                columns[term][1].append(idfs[term] * tf * (K1 + 1) / (tf + base))
-        found = []
-        for start in range(0, len(l_rows), SLICE_ROWS):
-            part = l_rows.iloc[start : start + SLICE_ROWS]
-            holders: dict[str, list] = {}
-            for row, terms in enumerate(part["terms"]):
-                for term in terms:
-                    holders.setdefault(term, []).append(row)
-            sums = np.zeros((len(part), len(right_ids)))
-            for term, rows in holders.items():
-                cols, values = columns[term]
-                sums[np.ix_(rows, cols)] += np.asarray(values)
-            row, col, best = _slice_topk(np.round(sums, SCORE_DIGITS), k)
-            shared = best > 0
-            row, col, best = row[shared], col[shared], best[shared]
-            found.append(pd.DataFrame({"left_id": part["left_id"].to_numpy()[row], "right_id": right_ids[col], "score": best}))
-        return pd.concat(found).assign(**{b: l_rows[b].iloc[0] for b in by})[schema.names]
-
-    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
-    order = Window.partitionBy(*by, "left_id").orderBy(F.desc("score"), "right_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = topk_pruned(BlockIndex.build(postings, by), asked, k, every_term=False, query_id="left_id").matches
+    return found.withColumnRenamed("id", "right_id")
