@@ -10,8 +10,9 @@ from queryset.inputs import spread, table
 from tandem.functions.text import STOP_WORDS, english_stem
 from tandem.models import HashedTermEmbedder, embed_column
 from tandem.operators import fusion, keyword, substring, topk
+from tandem.operators.vectorindex import VectorIndex
 from tandem.plans import search as plan
-from tandem.session import scratch_path
+from tandem.session import materialise, scratch_path
 
 TOKENS = "'[\\p{L}\\p{N}]+'"
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -338,6 +339,35 @@ def hybrid_search(spark, sf_dir):
     return _search(spark, sf_dir, plan.SearchConfig(k=10), display=["source", "lang"])
 
 
+def _found_of(approximate: DataFrame, exact: DataFrame, query: str, found: str) -> DataFrame:
+    """Per query, whether nine tenths of the exact result were found."""
+    hits = approximate.select(query, found, F.lit(1).alias("hit"))
+    return exact.select(query, found).join(hits, [query, found], "left").groupBy(query).agg(
+        (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("found"))
+
+
+@register("select vec_id as left_id, true as found from embeddings where vec_id % 20 = 0")
+def vector_index_search(spark, sf_dir):
+    """A stored index at its own settings: every twentieth vector against all."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    stored = VectorIndex.build(vectors, scratch_path(spark, "vector-index"), k=10, cell_rows=32)
+    asked = vectors.where("id % 20 = 0").select(F.col("id").alias("left_id"), F.col("embedding").alias("left_vec"))
+    exact = topk.topk_cosine(asked, vectors.select(F.col("id").alias("right_id"), F.col("embedding").alias("right_vec")), 10)
+    return _found_of(VectorIndex.load(spark, stored.path).search(asked, 10), exact, "left_id", "right_id")
+
+
+@register("select item_id as query_id, true as found from benchmark")
+def hybrid_search_approximate(spark, sf_dir):
+    """The hybrid search over an index of the document vectors: ten results as without it."""
+    records = materialise(embedded_documents(spark, sf_dir), "embedded-documents")
+    queries, index = benchmark_queries(spark, sf_dir), _documents_index(spark, sf_dir).written()
+    stored = VectorIndex.build(records, scratch_path(spark, "vector-index"), k=50)
+    one, two = (
+        plan.hybrid_search(records, queries, index, plan.SearchConfig(k=10), embedder=HashedTermEmbedder(WIDTH), vector_options=options)
+        for options in ({"index": stored}, {}))
+    return _found_of(one, two, "query_id", "id")
+
+
 @register(f"""with {DOCS}, {QUERIES}, {VECTORS} select query_id, rank::int as rank, id, null::double as score,
     round(cosine, 4) as cosine_score, null::int as bm25_rank, null::double as rerank_score from vec where rank <= 5""")
 def vector_only_search(spark, sf_dir):

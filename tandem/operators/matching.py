@@ -16,6 +16,7 @@ from tandem.models import PairScorer, model_tasks, overlap_score, score_column
 from tandem.operators.judge import completion_budget
 from tandem.operators.keyword import any_term_topk
 from tandem.operators.topk import topk_cosine
+from tandem.operators.vectorindex import VectorIndex
 
 
 def side_of(records: DataFrame, side: str) -> DataFrame:
@@ -33,9 +34,16 @@ def first_left_rows(left: DataFrame, limit: int | None, by: Sequence[str] = ())
     return left.orderBy("id").limit(n)
 
 
-def vector_candidates(left: DataFrame, right: DataFrame, k: int, by: Sequence[str] = (), **options) -> DataFrame:
-    """The k most similar right rows of every left row (within each ``by`` value)."""
+def vector_candidates(
+    left: DataFrame, right: DataFrame, k: int, by: Sequence[str] = (), index: VectorIndex | None = None, **options
+) -> DataFrame:
+    """The k most similar right rows of every left row (within each ``by`` value), from a stored
+    index of the right rows where one is given."""
+    if index is not None and by:
+        raise ValueError("a stored index holds the right rows of one run")
     lefts = left.select(*by, F.col("id").alias("left_id"), F.col("embedding").alias("left_vec"))
+    if index is not None:
+        return index.search(lefts, k, **options)
     rights = right.select(*by, F.col("id").alias("right_id"), F.col("embedding").alias("right_vec"))
     return topk_cosine(lefts, rights, k, by=by, **options)
 

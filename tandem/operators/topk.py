@@ -18,7 +18,7 @@ depend on blocking.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -58,17 +58,19 @@ def _slice_topk(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _score_blocks(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = (), comparisons: int | None = None
+    left: DataFrame, right: DataFrame, keys: Sequence[str], k: int, by: Sequence[str] = (), comparisons: int | None = None,
+    decode: Callable[[pd.DataFrame], np.ndarray] | None = None,
 ) -> DataFrame:
     """Local top-k of every (left block, right block) that share a key; ``comparisons`` is
-    about the number of vector pairs that meet, where known."""
+    about the number of vector pairs that meet, where known. ``decode`` makes the vectors of
+    right rows that travel in another form."""
     schema = left.select(*by, "left_id", F.lit(0).cast("bigint").alias("right_id"), F.lit(0.0).alias("score")).schema
 
     def score(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
         if not len(lefts) or not len(rights):
             return pd.DataFrame(columns=schema.names)
         rights = rights.sort_values("right_id")
-        ids, columns = rights["right_id"].to_numpy(), matrix(rights["right_vec"]).T
+        ids, columns = rights["right_id"].to_numpy(), (decode(rights) if decode else matrix(rights["right_vec"])).T
         # A slice of left rows at a time, so that the scores in memory stay few.
         found = []
         for start in range(0, len(lefts), SLICE_ROWS):
@@ -133,7 +135,9 @@ def _hash_blocks_by(left: DataFrame, right: DataFrame, by: Sequence[str], k: int
     )
 
 
-def _visit(left: DataFrame, right: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _visit(
+    left: DataFrame, right: DataFrame, k: int, block_rows: int, decode: Callable[[pd.DataFrame], np.ndarray] | None = None
+) -> DataFrame:
     """Score ``left`` (array column ``cells``) against the cells it visits. Every cell is
     cut into as many left and right sub-blocks as its own size needs."""
 
@@ -154,7 +158,7 @@ def _visit(left: DataFrame, right: DataFrame, k: int, block_rows: int) -> DataFr
         )
 
     lefts, rights = cut(visits, "left_id", "ls", "rs"), cut(right, "right_id", "rs", "ls")
-    return _score_blocks(lefts, rights, ["cell", "ls", "rs"], k, comparisons=pairs * block_rows**2)
+    return _score_blocks(lefts, rights, ["cell", "ls", "rs"], k, comparisons=pairs * block_rows**2, decode=decode)
 
 
 def _pruned_cells(left: DataFrame, right: DataFrame, n_right: int, k: int, block_rows: int) -> DataFrame:
@@ -214,8 +218,9 @@ def topk_cosine(
     """Top-k: ``left_id, right_id, cosine_score, cand_pos``.
 
     ``method`` is ``blocks``, ``cells`` or ``auto`` (cells once the right side has more
-    than sixteen blocks), all exact, or ``approximate`` with the settings of
-    ``approximate_topk``. Rows without a vector take no part. With ``by`` columns the join
+    than sixteen blocks), all exact, or ``approximate``: through an index of cells and codes made
+    for this call, tuned to find nearly all (``vectorindex``), or with settings of
+    ``approximate_topk`` through hyperplane hashes. Rows without a vector take no part. With ``by`` columns the join
     runs within each of their values, all in one job.
     """
     if k < 1:
@@ -223,6 +228,10 @@ def topk_cosine(
     if method == "approximate":
         if by:
             raise ValueError("approximate search does not run within groups")
+        if not approximate:
+            from tandem.operators.vectorindex import temporary_index
+
+            return temporary_index(right, k, right_id, right_vec).search(left, k, left_id, left_vec, block_rows=block_rows)
         ids = {"left_id": left_id, "left_vec": left_vec, "right_id": right_id, "right_vec": right_vec}
         return approximate_topk(left, right, k, **ids, block_rows=block_rows, **approximate)
     if approximate:

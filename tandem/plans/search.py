@@ -13,6 +13,7 @@ from tandem.operators import fusion
 from tandem.operators.keyword import POOL, KeywordIndex, keyword_baseline, keyword_topk
 from tandem.operators.substring import substring_topk
 from tandem.operators.topk import topk_cosine
+from tandem.operators.vectorindex import VectorIndex
 from tandem.session import materialise
 
 # Results returned by default.
@@ -58,14 +59,17 @@ class SearchStages:
     config: SearchConfig
 
 
-def vector_list(records: DataFrame, queries: DataFrame, pool: int = POOL, **options) -> DataFrame:
-    """``query_id, id, cosine, rank``: the most similar records of each query vector."""
-    found = topk_cosine(
-        queries.select(F.col("query_id").alias("left_id"), F.col("query_vec").alias("left_vec")),
-        records.select(F.col("id").alias("right_id"), F.col("embedding").alias("right_vec")),
-        pool,
-        **options,
-    )
+def vector_list(
+    records: DataFrame, queries: DataFrame, pool: int = POOL, index: VectorIndex | None = None, **options
+) -> DataFrame:
+    """``query_id, id, cosine, rank``: the most similar records of each query vector, from a
+    stored index of the records where one is given."""
+    asked = queries.select(F.col("query_id").alias("left_id"), F.col("query_vec").alias("left_vec"))
+    if index is not None:
+        found = index.search(asked, pool, **options)
+    else:
+        rights = records.select(F.col("id").alias("right_id"), F.col("embedding").alias("right_vec"))
+        found = topk_cosine(asked, rights, pool, **options)
     return found.select(
         F.col("left_id").alias("query_id"),
         F.col("right_id").alias("id"),
@@ -88,7 +92,8 @@ def search_stages(
     scorer: PairScorer | None = None,
     vector_options: Mapping[str, object] | None = None,
 ) -> SearchStages:
-    """``vector_options`` go to the vector join, e.g. ``{"method": "approximate", "bits": 12}``."""
+    """``vector_options`` go to the vector join: ``{"index": ...}`` for a stored index of the
+    records, ``{"method": "approximate"}`` for one made on the way."""
     if config.use_vector and "query_vec" not in queries.columns:
         if embedder is None:
             raise ValueError("vector search needs query vectors or an embedder")
