@@ -29,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as it takes to be a new one."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name = "_" + name
+    return name
+
+
 def byte_length(text: Column) -> Column:
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -53,7 +53,6 @@ PART_BYTES = 32 << 20
 _WINDOWS = 1 << 20
 _POSITION_BITS = 24
 _NO_ID = -(1 << 63)
-NO_TEXT = "__no_text"
 
 _RUN = np.dtype(
     [("key", "<u8"), ("context", "<u8"), ("doc", "<u4"), ("low", "<u4"), ("span", "u1"), ("offset", "u1")]
@@ -543,14 +542,17 @@ def repeated_spans(
     """``key, row, text, copy_of, marks`` for each row: where its text repeats earlier text, as
     packed marks for ``removed_spans``; ``copy_of`` is the first document with the same text, or
     null where it is this one or the text is shorter than ``length`` bytes; ``row`` holds the
-    row's columns but for the text."""
+    row's other columns as ``columns`` and whether it has no text."""
     if not K <= length < 256:
         raise ValueError(f"length must be from {K} to 255 bytes")
     prepared(df.sparkSession)
     whole = df.select(
         F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("key"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text], F.col(text).isNull().alias(NO_TEXT)).alias("row"),
+        F.struct(
+            F.struct(F.col(text).isNull().alias(text), *[F.col(f"`{c}`") for c in df.columns if c != text]).alias("columns"),
+            F.col(text).isNull().alias("no_text"),
+        ).alias("row"),
     ).withColumn("text_hash", F.xxhash64("text"))
     rows = whole.select("key", "text", "text_hash")
     long_rows = rows.where(F.octet_length("text") >= length)
@@ -592,13 +594,18 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leng
     return _cut(repeated_spans(df, key, text, length).drop("row"), length, "key").withColumnRenamed("key", key)
 
 
-def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def kept_texts(
+    df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, facts: str = "cut"
+) -> DataFrame:
     """The columns of ``df`` with the text less its repeats (and less the parts of characters
-    that a cut goes through), and ``n_bytes, n_removed``. A null text stays null."""
+    that a cut goes through), and the struct ``facts`` with ``n_bytes, n_removed``; it needs a name
+    that is not in use. A null text stays null."""
+    if facts.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {facts} already")
     cut = _cut(repeated_spans(df, key, text, length), length, "row", with_text=True)
-    kept = F.when(~F.col(f"row.{NO_TEXT}"), F.col("kept_text")).alias(text)
-    columns = [kept if c == text else F.col(f"row.`{c}`").alias(c) for c in df.columns]
-    return cut.select(*columns, "n_bytes", "n_removed")
+    kept = F.when(~F.col("row.no_text"), F.col("kept_text")).alias(text)
+    columns = [kept if c == text else F.col(f"row.columns.`{c}`").alias(c) for c in df.columns]
+    return cut.select(*columns, F.struct("n_bytes", "n_removed").alias(facts))
 
 
 def _cut(spans: DataFrame, length: int, carried: str, with_text: bool = False) -> DataFrame:

@@ -50,6 +50,22 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == cut.keys()
 
 
+def test_stages_carry_columns_of_any_name(spark, folder):
+    names = ["n_removed", "n_bytes", "__no_text", "no_text", "cut", "_cut", "kept", "rank", "row", "columns", "__chosen", "score", "a.b", "key"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("key")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    plain = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "n_chars")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out, expected = stage(spark, docs, folder), stage(spark, plain, folder)
+        assert out.columns == docs.columns
+        assert sorted(map(tuple, out.select(*plain.columns).collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+        assert out.where(" or ".join(f"`{n}` <> concat('{n} ', doc_id)" for n in names)).count() == 0
+        out.write.parquet(path := f"{folder}/clash{i}")
+        expected.write.parquet(also := f"{folder}/plain{i}")
+        docs, plain = spark.read.parquet(path), spark.read.parquet(also)
+    assert corpus_pipeline.pack(spark, docs, folder).count() > 0
+
+
 def test_stages_take_an_empty_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -58,7 +74,7 @@ def test_stages_take_an_empty_table(spark, folder):
 
 def test_every_query_is_registered():
     names = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
