@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import exact, packing, quality, setsketch, suffixes
-from tandem.llm.common import prepared
+from tandem.llm.common import free_name, prepared
 from tandem.session import materialise
 
 
@@ -40,13 +40,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages of 100 bytes or more that start earlier in the corpus, with
     their new length; documents that consist of nothing else go."""
-    cut = suffixes.kept_texts(docs)
-    cut = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_bytes")))
+    facts = free_name("cut", docs.columns)
+    cut = suffixes.kept_texts(docs, facts=facts)
+    removed = F.col(f"{facts}.n_removed")
+    cut = cut.where((removed == 0) | (removed < F.col(f"{facts}.n_bytes")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         new_length = F.char_length("text").cast(kind)
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, new_length).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.when(removed > 0, new_length).otherwise(F.col("n_chars")))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
