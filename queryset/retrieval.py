@@ -10,6 +10,7 @@ from queryset.inputs import spread, table
 from tandem.functions.text import STOP_WORDS, english_stem
 from tandem.models import HashedTermEmbedder, embed_column
 from tandem.operators import fusion, keyword, substring, topk
+from tandem.operators.gramindex import GramIndex
 from tandem.operators.vectorindex import VectorIndex
 from tandem.plans import search as plan
 from tandem.session import materialise, scratch_path
@@ -171,6 +172,35 @@ def ilike_search(spark, sf_dir):
     )
 
 
+_SHORT_PATTERNS = """(select query_id, query_text from (values (900, 'r'), (901, '9'), (902, '%'), (903, '___'), (904, '_'),
+    (905, '#0'), (906, 'q'), (907, 'C%r_0%7'), (908, '')) v(query_id, query_text))"""
+
+
+@register(f"""select query_id::bigint as query_id, c_custkey as id, row_number() over (partition by query_id order by c_custkey)::int as rank
+    from ({_ID_QUERIES} union all {_SHORT_PATTERNS}) q join customer on c_name ilike '%' || query_text || '%' qualify rank <= 50""")
+def id_search_indexed(spark, sf_dir):
+    """The ID search from a stored index, patterns of one letter and of wildcards alone among the queries."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    path = scratch_path(spark, "gram-index")
+    GramIndex.build(customers, path, ["c_name"])
+    short = spark.sql(f"select cast(query_id as bigint) as query_id, query_text from {_SHORT_PATTERNS}")
+    return GramIndex.load(spark, path).search(id_queries(spark, sf_dir).unionByName(short), 50)
+
+
+@register(f"""with {DOCS} select query_id, id, row_number() over (partition by query_id order by id)::int as rank
+    from (select item_id as query_id, text as query_text from benchmark union all
+        select 100000 + n_nationkey, lower(substr(n_name, 1, 1 + n_nationkey % 4)) from nation) q
+    join docs on content ilike '%' || query_text || '%' or source ilike '%' || query_text || '%' qualify rank <= 5""")
+def ilike_indexed(spark, sf_dir):
+    """Content or source of the documents from a stored index: items and one to four letters."""
+    docs = document_records(spark, sf_dir).select("id", "contextual_content", "source")
+    index = GramIndex.build(docs, scratch_path(spark, "gram-index"), ["contextual_content", "source"])
+    letters = table(spark, sf_dir, "nation").select(
+        (F.col("n_nationkey") + 100000).cast("bigint").alias("query_id"),
+        F.lower(F.substring("n_name", F.lit(1), (1 + F.col("n_nationkey") % 4).cast("int"))).alias("query_text"))
+    return index.search(benchmark_queries(spark, sf_dir).unionByName(letters), 5)
+
+
 # --- keyword search --------------------------------------------------------------------------
 
 
