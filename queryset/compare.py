@@ -17,7 +17,10 @@ from tandem.models import HashedTermEmbedder
 from tandem.operators import judge as judging
 from tandem.operators import matching
 from tandem.plans import compare as plan
-from tandem.session import scratch_path
+from tandem.session import materialise, scratch_path
+from tandem.sources.contentstore import ContentStore, call_judge_once
+from tandem.sources.contentstore import embed_incremental as vectors_by_content
+from tandem.sources.matchstore import MatchStore
 from tandem.sources.records import write_matches
 
 # --- vectors on both sides (the same table, as when a workbook is matched with itself) ----
@@ -42,6 +45,7 @@ def pairs_sql(k: int, by: str = "") -> str:
         from embeddings l join embeddings r on {on} qualify pos <= {k})"""
 
 
+_JUDGED_LENGTH = "(length(content) % 101) / 100.0"
 _BAND = "case when cosine >= 0.85 then 'match' when cosine >= 0.60 then 'review' else 'weak' end"
 
 
@@ -92,6 +96,50 @@ def many_jobs(spark, sf_dir):
     return matches.select("job_id", "left_id", "right_id", F.round("cosine_score", 6).alias("cosine_score"), "rank")
 
 
+_FAR_ID = 1 << 41  # ids of any size
+
+
+def _job_rows(spark, sf_dir) -> DataFrame:
+    """The vectors as source rows of a job per label; those of label 0 belong to no job."""
+    recs = vector_records(spark, sf_dir)
+    return recs.select(
+        F.when(F.col("job_id") != "job0", F.col("job_id")).alias("job_id"), (F.col("id") + _FAR_ID).alias("id"), "side", "original_row",
+        F.lit("vectors").alias("sheet_name"), "embedding",
+        F.create_map(F.lit("label"), F.substring("job_id", 4, 9), F.lit("row"), F.col("original_row").cast("string")).alias("cells"))
+
+
+@register(f"""with {pairs_sql(3, "label")} select case when label <> 0 then 'job' || label end as job_id, left_id + {_FAR_ID} as left_id,
+    right_id + {_FAR_ID} as right_id, round(cosine, 6) as final_score, pos::int as rank,
+    case when label % 2 = 0 then label::varchar end as left_display, ((right_id - 1) // 2)::varchar as right_display
+    from pairs where pos <= 1 + label % 3""")
+def many_jobs_settings(spark, sf_dir):
+    """A job per label, each with its own number of results and display columns, one without an id."""
+    rows = _job_rows(spark, sf_dir)
+    label = F.coalesce(F.substring("job_id", 4, 9), F.lit("0")).cast("int")
+    jobs = rows.select("job_id").distinct().select(
+        "job_id", (1 + label % 3).alias("top_k"), F.when(label % 2 == 0, F.lit("label")).alias("left_display"), F.lit("row").alias("right_display"))
+    found = plan.run_jobs(rows, jobs)
+    return found.select(
+        "job_id", "left_id", "right_id", F.round("final_score", 6).alias("final_score"), "rank", "left_display", "right_display")
+
+
+@register(f"""with {pairs_sql(4, "label")}, texts as (select *, '[sheet] vectors | [row] ' || ((right_id - 1) // 2)
+        || case when label % 3 = 0 then ' | [label] ' || label else '' end as content from pairs where pos <= 2 + label % 3),
+    judged as (select *, case when label % 2 = 1 then {_JUDGED_LENGTH} else cosine end as score from texts)
+    select case when label <> 0 then 'job' || label end as job_id, left_id + {_FAR_ID} as left_id, right_id + {_FAR_ID} as right_id,
+    round(score, 6) as final_score, label % 2 = 1 as judged, (row_number() over (partition by left_id order by score desc, pos))::int as rank from judged""")
+def many_jobs_judged(spark, sf_dir):
+    """Every other job has its pairs judged, by texts of columns that differ from job to job."""
+    rows = _job_rows(spark, sf_dir)
+    label = F.coalesce(F.substring("job_id", 4, 9), F.lit("0")).cast("int")
+    jobs = rows.select("job_id").distinct().select(
+        "job_id", (2 + label % 3).alias("top_k"), (label % 2 == 1).alias("judge_enabled"), F.array(F.lit("row")).alias("right_columns"),
+        F.when(label % 3 == 0, F.lit("label")).alias("right_content"))
+    found = plan.run_jobs(rows, jobs, judge=LengthJudge())
+    return found.select(
+        "job_id", "left_id", "right_id", F.round("final_score", 6).alias("final_score"), F.col("judge_score").isNotNull().alias("judged"), "rank")
+
+
 @register(f"with {pairs_sql(3)} select 7 as run_id, left_id, right_id, round(cosine, 6) as final_score, pos::int as rank from pairs "
           f"union all select 8, left_id, right_id, round(cosine, 6), pos::int from pairs where pos <= 2")
 def match_sink(spark, sf_dir):
@@ -266,6 +314,78 @@ def rejudge_lefts(spark, sf_dir):
     return fresh.select("left_id", "right_id", F.round("final_score", 4).alias("final_score"), "rank")
 
 
+@register(f"""with {_passages_sql(4)}, old as (select *, (row_number() over (partition by left_id order by cosine desc, pos))::int as rank from pairs),
+    chosen as (select left_id from old where rank = 1 and cosine < 0.8)
+    select 0 as version, left_id, right_id, round(cosine, 4) as final_score, rank from old
+    union all select 1, left_id, right_id, round(cosine, 4), rank from old where left_id not in (select left_id from chosen)
+    union all select 1, left_id, right_id, round(js, 4), (row_number() over (partition by left_id order by js desc, rank))::int from
+        (select *, {_JUDGED}::double as js from old where left_id in (select left_id from chosen))""")
+def rejudge_stored(spark, sf_dir):
+    """A run is stored, some left rows are judged again and replaced in the store; both versions are read back."""
+    recs = materialise(passage_records(spark, sf_dir), "records")
+    store = MatchStore(spark, scratch_path(spark, "match-store"), buckets=16)
+    store.write(plan.run_compare(recs, plan.RunConfig(top_k=4)).matches)
+    chosen = store.read().where((F.col("rank") == 1) & (F.col("final_score") < 0.8)).select("left_id")
+    plan.rejudge_stored(store, chosen, recs, plan.RunConfig(top_k=4, judge_enabled=True), LengthJudge())
+    both = [store.read(v).select(
+        F.lit(v).alias("version"), "left_id", "right_id", F.round("final_score", 4).alias("final_score"), "rank") for v in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
+class CountingJudge(LengthJudge):
+    """Tells how often it was asked; fails for every third prompt in its first run."""
+
+    def __init__(self, calls, failing: bool):
+        self.calls, self.failing = calls, failing
+
+    def reply(self, system_prompt: str, prompt: str, max_tokens: int) -> str:
+        self.calls.add(1)
+        if self.failing and len(prompt) % 3 == 0:
+            raise ConnectionError("no answer")
+        return super().reply(system_prompt, prompt, max_tokens)
+
+
+@register(f"""with {_passages_sql(3)}, prompts as (select left_id, 'Reference:' || chr(10) || any_value(query_text) || chr(10) || chr(10)
+        || string_agg('--- Candidate ' || pos || ' ---' || chr(10) || content, chr(10) || chr(10) order by pos) as prompt from pairs group by left_id)
+    select count(*) as prompts, count(*) filter (length(prompt) % 3 <> 0) as answered_at_first,
+        count(distinct prompt) + count(distinct prompt) filter (length(prompt) % 3 = 0) as calls, 0 as unanswered from prompts""")
+def judge_resume(spark, sf_dir):
+    """A run whose judge fails for a third of the prompts, then a second one that pays for those alone."""
+    recs = passage_records(spark, sf_dir)
+    pairs = matching.vector_candidates(matching.side_of(recs, "left"), matching.side_of(recs, "right"), 3)
+    prompts = materialise(judging.judge_prompts(pairs, judging.judge_texts(recs, recs)), "prompts")
+    store, calls = ContentStore(spark, scratch_path(spark, "replies"), "string"), spark.sparkContext.accumulator(0)
+    first = call_judge_once(prompts, CountingJudge(calls, True), store, "length judge", tasks=4)
+    answered = first.where("reply is not null").count()
+    second = call_judge_once(prompts, CountingJudge(calls, False), store, "length judge", tasks=4)
+    return second.agg(
+        F.count(F.lit(1)).alias("prompts"), F.lit(answered).alias("answered_at_first"), F.lit(calls.value).alias("calls"),
+        F.count_if(F.col("reply").isNull()).alias("unanswered"))
+
+
+class CountingEmbedder(HashedTermEmbedder):
+    def __init__(self, width: int, texts):
+        super().__init__(width)
+        self.texts = texts
+
+    def embed(self, texts):
+        self.texts.add(len(texts))
+        return super().embed(texts)
+
+
+@register(f"""with {DOCS}, all_texts as (select id, content from docs where id % 3 <> 0 union all select 1000000 + id, content from docs)
+    select id, {WIDTH} as width, (select count(distinct content) from docs) as embedded from all_texts""")
+def embed_incremental(spark, sf_dir):
+    """Two runs over records that share texts: every distinct text is embedded once."""
+    recs = passage_records(spark, sf_dir, embedded=False).where("side = 'right'").select(F.col("original_row").alias("id"), "contextual_content")
+    store, texts = ContentStore(spark, scratch_path(spark, "vectors"), "array<double>"), spark.sparkContext.accumulator(0)
+    model = CountingEmbedder(WIDTH, texts)
+    first = vectors_by_content(recs.where("id % 3 <> 0"), model, store, f"hashed terms {WIDTH}")
+    second = vectors_by_content(recs.withColumn("id", F.col("id") + 1000000), model, store, f"hashed terms {WIDTH}")
+    every = first.unionByName(second)
+    return every.select("id", F.size("embedding").alias("width"), F.lit(texts.value).alias("embedded"))
+
+
 @register("""select 2 * item_id as id, '[sheet] benchmark | [item_id] ' || item_id || ' | [n_chars] ' || length(text) as text from benchmark
     union all select 2 * doc_id + 1, '[sheet] ' || source || ' | [lang] ' || lang || ' | [text] ' || text from documents""")
 def judge_text_override(spark, sf_dir):

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from queryset import register
 from queryset.inputs import spread, table
-from queryset.retrieval import DOCS, QUERIES, index_sql
+from queryset.retrieval import DOCS, QUERIES, benchmark_queries, document_records, index_sql
 from tandem.models import HashedTermEmbedder
+from tandem.operators import keyword, substring
 from tandem.session import scratch_path
 from tandem.streaming import decisions as stream_dec
 from tandem.streaming import ingest
+from tandem.streaming.segments import SegmentStore
 
 OUTCOME = "case event_type when 'signup' then 'no_match' when 'click' then 'partial' when 'error' then 'fail' end"
 
@@ -50,3 +52,33 @@ def stream_ingest(spark, sf_dir):
 @register(f"with {DOCS}, {QUERIES}, {index_sql()} select id, term, tf from postings")
 def stream_postings(spark, sf_dir):
     return ingest.read_ingested(spark, _ingested(spark, sf_dir), "postings").select("id", "term", "tf")
+
+
+_CHANGED = """docs as (select doc_id as id, source, '[sheet] ' || source || ' | [lang] ' || lang || ' | [text] '
+    || case when doc_id % 10 = 3 then 'amended ' else '' end || text as content from documents where doc_id % 97 <> 5)"""
+
+
+@register(f"""with {_CHANGED}, {QUERIES}, {index_sql()} select 'keyword' as kind, query_id, id, rank::int as rank from kw where rank <= 5
+    union all select 'id', r_regionkey, id, row_number() over (partition by r_regionkey order by id)::int
+        from region join docs on source ilike '%' || r_regionkey || '%' qualify row_number() over (partition by r_regionkey order by id) <= 5""")
+def stream_search(spark, sf_dir):
+    """Documents in four batches, a tenth again and changed, another batch again as it was, a few
+    deleted; then keyword and ID search in the index of segments."""
+    docs = document_records(spark, sf_dir).select("id", "contextual_content", "source").withColumn("deleted", F.lit(False))
+    path = scratch_path(spark, "segments")
+    quarter = [docs.where(F.col("id") % 4 == i) for i in range(4)]
+    content = F.regexp_replace("contextual_content", r"\| \[text\] ", "| [text] amended ")
+    changed = docs.where("id % 10 = 3").withColumn("contextual_content", content)
+    gone = docs.where("id % 97 = 5").withColumn("deleted", F.lit(True))
+    # One folder per arrival, so that each is a micro-batch of its own.
+    for i, rows in enumerate([*quarter, quarter[1].where("id % 10 <> 3"), changed, gone]):
+        rows.coalesce(1).write.parquet(f"{path}/arrived/part={i}")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrived/*")
+    store = SegmentStore(spark, f"{path}/index", "source string", analyzer="simple")
+    store.start(stream, f"{path}/checkpoint").awaitTermination()
+    words = keyword.keyword_topk(store.index().written(), benchmark_queries(spark, sf_dir), 5).select(
+        F.lit("keyword").alias("kind"), "query_id", "id", "rank")
+    regions = table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").cast("bigint").alias("query_id"), F.col("r_regionkey").cast("string").alias("query_text"))
+    ids = substring.substring_topk(store.records(), regions, 5, ["source"])
+    return words.unionByName(ids.select(F.lit("id").alias("kind"), "query_id", "id", "rank"))

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.functions.cells import embedding_text
+from tandem.functions.cells import embedding_text, quoted
 from tandem.models import Embedder, Judge, PairScorer, embed_column
 from tandem.operators import judge as judging
 from tandem.operators import matching
 from tandem.session import materialise
+from tandem.sources.matchstore import MatchStore
 
 
 @dataclass(frozen=True)
@@ -155,31 +157,153 @@ def rejudge(
     return matching.replace_lefts(matches, left_ids, matching.rank_matches(scored, config.top_k))
 
 
-# Ids of one job stay below this, so job number and id fit one 64-bit id.
-_JOB_STRIDE = 1 << 40
+def rejudge_stored(
+    store: MatchStore, left_ids: DataFrame, records: DataFrame, config: RunConfig, judge: Judge, source_rows: DataFrame | None = None
+) -> int:
+    """Judges the chosen left rows again with their stored candidates and replaces their matches in
+    the store; returns its new version."""
+    if not config.judge_enabled:
+        raise ValueError("the judge stage is not enabled for this run")
+    stored = store.read()
+    pairs = materialise(matching.stored_candidates(stored, left_ids), "stored-candidates")
+    scored = matching.with_scores(pairs, _judged(pairs, records, config, judge, source_rows))
+    fresh = materialise(matching.rank_matches(scored, config.top_k), "judged-again")
+    return store.replace(fresh.select("left_id").distinct(), fresh.select(*stored.columns))
+
+
+def _job_key(job: str = "job_id") -> Column:
+    """Tells jobs apart in joins, records without a job being a job of their own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(job).cast("string")), F.lit("-"))
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    """Records of all jobs with ``job_key`` and an ``id`` that is unique in the table and in the
+    order of the job's own ids, kept as ``source_id``. Ids of any size; no row is numbered by
+    another's place, so no window spans a job."""
+    keyed = records.withColumns({"job_key": _job_key(), "source_id": F.col("id")})
+    ordered = keyed.repartitionByRange("job_key", "source_id").sortWithinPartitions("job_key", "source_id")
+    return materialise(ordered.withColumn("id", F.monotonically_increasing_id()), "numbered")
+
+
+def _own_ids(matches: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Matches with the job and the ids that the caller gave."""
+    for side in ("left", "right"):
+        known = numbered.select(
+            F.col("id").alias(f"{side}_id"), F.col("source_id").alias("__own"), *["job_id"] * (side == "left"))
+        matches = matches.join(known, f"{side}_id").drop(f"{side}_id").withColumnRenamed("__own", f"{side}_id")
+    return matches
 
 
 def run_many(records: DataFrame, config: RunConfig, source_rows: DataFrame | None = None, **models) -> DataFrame:
-    """Matches of many independent jobs: ``job_id`` and the match columns.
+    """Matches of many independent jobs of one configuration: ``job_id`` and the match columns.
 
     ``records`` of all jobs stand in one table with ``job_id``, and so do the ``source_rows``
     that the judge's texts are rebuilt from. Every join and window is keyed by job, so all jobs
     run as one Spark job, large and small ones side by side; records without a job are a job of
-    their own. Call once per distinct configuration.
+    their own.
     """
-    jobs = records.select("job_id").distinct()
-    numbers = jobs.select(
-        F.col("job_id").alias("__job"), F.row_number().over(Window.orderBy("job_id")).cast("bigint").alias("job_no")
+    numbered = _numbered(records)
+    if source_rows is not None:
+        models["source_rows"] = source_rows.withColumn("job_key", _job_key())
+    matches = run_compare(numbered, config, by=["job_key"], **models).matches
+    return _own_ids(matches, numbered)
+
+
+# What a job table holds besides ``job_id``, and what holds where a job leaves it null.
+JOB_SETTINGS = (
+    "left_columns array<string>, right_columns array<string>, left_content string, right_content string, left_display string, "
+    "right_display string, top_k int, vector_enabled boolean, reranker_enabled boolean, judge_enabled boolean, max_rights int"
+)
+
+
+def _job_table(jobs: DataFrame) -> DataFrame:
+    none, on, off = F.array().cast("array<string>"), F.lit(True), F.lit(False)
+    otherwise = {
+        "left_columns": none, "right_columns": none, "top_k": F.lit(RunConfig.top_k), "vector_enabled": on, "reranker_enabled": off,
+        "judge_enabled": off, "max_rights": F.lit(100)}
+    given = {f.rsplit(" ", 1)[0]: f.rsplit(" ", 1)[1] for f in JOB_SETTINGS.split(", ")}
+    columns = {
+        name: F.coalesce(F.col(name) if name in jobs.columns else F.lit(None).cast(kind), otherwise.get(name, F.lit(None).cast(kind)))
+        for name, kind in given.items()}
+    table = materialise(jobs.select(_job_key().alias("job_key"), *[c.alias(n) for n, c in columns.items()]), "job-table")
+    facts = table.agg(
+        F.count(F.lit(1)) - F.count_distinct("job_key"), F.count_if((F.col("top_k") < 1) | (F.col("max_rights") < 1)),
+        F.count_if(~F.col("vector_enabled") & ~F.col("judge_enabled")),
+    ).head()
+    for wrong, message in zip(facts, ("a job stands in the job table more than once", "top_k and max_rights must be at least 1",
+                                      "without vectors the judge must be enabled to score the pairs")):
+        if wrong:
+            raise ValueError(message)
+    return table
+
+
+def job_records(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Records of all jobs from source rows ``job_id, id, side, original_row, sheet_name`` and
+    ``cells`` (a map of the row's columns): every job names its own columns."""
+    left = F.col("side") == "left"
+    content, display = (F.when(left, F.col(f"left_{n}")).otherwise(F.col(f"right_{n}")) for n in ("content", "display"))
+    listed = F.when(left, F.col("left_columns")).otherwise(F.col("right_columns"))
+    met = rows.withColumn("job_key", _job_key()).join(table, "job_key")
+
+    def cell(name: Column) -> Column:
+        return F.element_at("cells", name)
+
+    named = F.concat(listed, F.when(content.isNotNull(), F.array(content)).otherwise(F.array().cast("array<string>")))
+    shown = F.filter(named, lambda c: (cell(c) != "") & (F.lower(cell(c)) != "nan"))
+    parts = F.transform(shown, lambda c: F.concat(F.lit("["), c, F.lit("] "), cell(c)))
+    sheet = F.concat(F.lit("[sheet] "), F.coalesce("sheet_name", F.lit("")))
+    return met.select(
+        *[quoted(c) for c in rows.columns if c != "cells"],
+        F.concat_ws(" | ", sheet, parts).alias("contextual_content"),
+        F.when(F.lower(cell(display)) != "nan", cell(display)).alias("display_value"),
     )
 
-    def with_number(rows: DataFrame) -> DataFrame:
-        return rows.join(numbers, rows["job_id"].eqNullSafe(numbers["__job"])).drop("__job")
 
-    fits = F.assert_true((F.col("id") >= 0) & (F.col("id") < _JOB_STRIDE), "record ids must be below 2^40")
-    numbered = with_number(records).where(fits.isNull()).withColumn("id", F.col("job_no") * _JOB_STRIDE + F.col("id"))
-    if source_rows is not None:
-        models["source_rows"] = with_number(source_rows)
-    matches = run_compare(numbered, config, by=["job_no"], **models).matches
-    back = {c: F.pmod(F.col(c), F.lit(_JOB_STRIDE)) for c in ("left_id", "right_id")}
-    with_no = matches.withColumn("job_no", F.floor(F.col("left_id") / F.lit(_JOB_STRIDE)))
-    return with_no.withColumns(back).join(numbers, "job_no").withColumnRenamed("__job", "job_id").drop("job_no")
+def run_jobs(
+    rows: DataFrame,
+    jobs: DataFrame,
+    *,
+    embedder: Embedder | None = None,
+    scorer: PairScorer | None = None,
+    judge: Judge | None = None,
+    judge_rpm: int | None = None,
+) -> DataFrame:
+    """Matches of many jobs whose settings are rows of ``jobs`` (``job_id`` and JOB_SETTINGS).
+
+    ``rows`` are those of ``job_records``, with ``embedding`` where vectors are at hand. Columns,
+    display columns, numbers of candidates and results and the stages differ from job to job; the
+    plan depends on which of the (at most eight) combinations of stages occur, not on how many
+    jobs there are. Jobs without a row in ``jobs`` are not run. The match columns with ``job_id,
+    left_display, right_display``.
+    """
+    table = _job_table(jobs)
+    records = job_records(rows, table)
+    if "embedding" not in records.columns and embedder is not None:
+        records = embed_records(records, embedder)
+    numbered = _numbered(records)
+    stages = ["vector_enabled", "reranker_enabled", "judge_enabled"]
+    # At most eight rows.
+    combinations = table.groupBy(*stages).agg(F.max("top_k").alias("k"), F.max("max_rights").alias("rights")).collect()
+    found = []
+    for c in combinations:
+        own = table.where((F.col(stages[0]) == c[0]) & (F.col(stages[1]) == c[1]) & (F.col(stages[2]) == c[2]))
+        config = RunConfig(c["k"], c[0], c[1], c[2], judge_rpm=judge_rpm, max_rights=c["rights"])
+        part = numbered.join(own.select("job_key"), "job_key", "left_semi")
+        left, right = (matching.side_of(part, s) for s in ("left", "right"))
+        if c["vector_enabled"]:
+            candidates, most = matching.vector_candidates(left, right, c["k"], ["job_key"]), "top_k"
+        else:
+            candidates, most = matching.keyword_candidates(left, right, c["rights"], ["job_key"]), "max_rights"
+        limits = own.select("job_key", F.col(most).alias("__most"), F.col("top_k").alias("__k"))
+        within = candidates.join(limits, "job_key").where(F.col("cand_pos") <= F.col("__most"))
+        candidates = materialise(within.drop("__most", "__k"), "job-candidates")
+        matches = run_candidates(part, candidates, config, scorer=scorer, judge=judge, by=["job_key"]).matches
+        of_left = numbered.select(F.col("id").alias("left_id"), "job_key").join(limits.select("job_key", "__k"), "job_key").drop("job_key")
+        found.append(matches.join(of_left, "left_id").where(F.col("rank") <= F.col("__k")).drop("__k"))
+    if not found:
+        raise ValueError("the job table is empty")
+    matches = reduce(DataFrame.unionByName, found)
+    for side in ("left", "right"):
+        shown = numbered.select(F.col("id").alias(f"{side}_id"), F.col("display_value").alias(f"{side}_display"))
+        matches = matches.join(shown, f"{side}_id")
+    return _own_ids(matches, numbered)
