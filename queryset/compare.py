@@ -79,6 +79,15 @@ def topk_cosine_cells(spark, sf_dir):
     return found.withColumn("cosine_score", F.round("cosine_score", 6))
 
 
+@register(f"with {pairs_sql(10)} select left_id, right_id, round(cosine, 6) as cosine_score, pos::int as cand_pos from pairs")
+def topk_cosine_coded(spark, sf_dir):
+    """The exact join over one-byte codes with error bounds."""
+    recs = vector_records(spark, sf_dir)
+    found = matching.vector_candidates(
+        matching.side_of(recs, "left"), matching.side_of(recs, "right"), 10, method="coded", block_rows=200)
+    return found.withColumn("cosine_score", F.round("cosine_score", 6))
+
+
 @register(f"with {pairs_sql(10)} select left_id, right_id, round(cosine, 6) as cosine_score, pos::int as cand_pos from pairs")
 def topk_cosine_blocks(spark, sf_dir):
     """The exact join through hash blocks."""

@@ -35,6 +35,25 @@ def stream_decisions(spark, sf_dir):
     return stream_dec.read_current(spark, f"{path}/log").select("left_id", "seq", F.col("review_outcome").alias("outcome"))
 
 
+@register(f"""select left_id, seq, outcome from (select 2 * user_id as left_id, event_id as seq, {OUTCOME} as outcome, event_id % 11 = 0 as deleted
+    from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where not deleted""")
+def stream_decisions_state(spark, sf_dir):
+    """The same view from state: events arrive in three parts out of order, the stream starts again from its
+    checkpoint before the last."""
+    outcome = F.when(F.col("event_type") == "signup", "no_match").when(F.col("event_type") == "click", "partial").when(
+        F.col("event_type") == "error", "fail")
+    log = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), (F.col("user_id") * 2).alias("left_id"), F.col("ts").cast("timestamp").alias("decided_at"),
+        outcome.alias("review_outcome"), (F.col("event_id") % 11 == 0).alias("deleted"))
+    path = scratch_path(spark, "decision-state")
+    for part in range(3):
+        log.where(F.col("seq") % 3 == part).coalesce(1).write.parquet(f"{path}/arrived/part={part}")
+        if part:
+            stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrived/*")
+            stream_dec.start_decisions_state(stream, f"{path}/log", f"{path}/checkpoint", lateness="20000 days").awaitTermination()
+    return stream_dec.read_current(spark, f"{path}/log").select("left_id", "seq", F.col("review_outcome").alias("outcome"))
+
+
 def _ingested(spark, sf_dir):
     rows = spread(stream_of(spark, sf_dir, "documents").withColumnRenamed("source", "sheet_name"), "doc_id")
     stream = ingest.record_stream(rows, "doc_id", ["lang"], ["lang"], "text", HashedTermEmbedder(64))

@@ -33,6 +33,7 @@ from tandem.operators.cells import (
     to_cells,
     to_nearest_pivot,
 )
+from tandem.operators.codedtopk import coded, exact_scores, surviving_pairs
 from tandem.session import materialise
 
 BLOCK_ROWS = 4096
@@ -217,8 +218,8 @@ def topk_cosine(
 ) -> DataFrame:
     """Top-k: ``left_id, right_id, cosine_score, cand_pos``.
 
-    ``method`` is ``blocks``, ``cells`` or ``auto`` (cells once the right side has more
-    than sixteen blocks), all exact, or ``approximate``: through an index of cells and codes made
+    ``method`` is ``blocks``, ``coded`` (blocks of one-byte codes with error bounds), ``cells`` or
+    ``auto`` (cells once the right side has more than sixteen blocks), all exact, or ``approximate``: through an index of cells and codes made
     for this call, tuned to find nearly all (``vectorindex``), or with settings of
     ``approximate_topk`` through hyperplane hashes. Rows without a vector take no part. With ``by`` columns the join
     runs within each of their values, all in one job.
@@ -245,6 +246,10 @@ def topk_cosine(
     slots = left.sparkSession.sparkContext.defaultParallelism
     n_left = left.count()
     lb, rb = _block_counts(n_left, n_right, block_rows, slots)
+    if method == "coded":
+        codes = coded(lefts, "left_id", "left_vec"), coded(rights, "right_id", "right_vec")
+        pairs = surviving_pairs(*codes, lb, rb, k, n_left * n_right)
+        return _best(exact_scores(pairs, lefts, rights, SCORE_DIGITS), k)
     return _best(_hash_blocks(lefts, rights, lb, rb, k, n_left * n_right), k)
 
 

@@ -121,8 +121,10 @@ def search_stages(
         else:
             pairs = pool.join(texts, "id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
             score = score_column("query_text", "text", scorer)
-            scored = model_tasks(pairs, "query_id", "id").withColumn("rerank", F.coalesce(score, F.lit(0.0)))
-            scored = scored.drop("text", "query_text")
+            scored = model_tasks(pairs, "query_id", "id").withColumn("rerank", score).drop("text", "query_text")
+            # A query the model fails on keeps its merged order, and has no rerank scores to show it.
+            failed = F.max(F.col("rerank").isNull()).over(Window.partitionBy("query_id"))
+            scored = scored.withColumn("__failed", failed).withColumn("rerank", F.when(~F.col("__failed"), F.col("rerank"))).drop("__failed")
         order = Window.partitionBy("query_id").orderBy(F.desc("rerank"), "merged_rank")
         ranked = scored.withColumn("rank", F.row_number().over(order))
     else:

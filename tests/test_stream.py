@@ -65,3 +65,28 @@ def test_a_stream_goes_on_in_the_compacted_log(spark, tmp_path):
     decisions.start_decisions(batch("two", later), str(tmp_path / "folded"), str(tmp_path / "b")).awaitTermination()
     want = {(r.left_id, r.seq) for r in current_decisions(spark.createDataFrame(first + later, schema)).collect()}
     assert {(r.left_id, r.seq) for r in decisions.read_current(spark, str(tmp_path / "folded")).collect()} == want
+
+
+def test_decisions_as_state_turn_late_rows_away_and_forget_cleared_ones(spark, tmp_path):
+    schema = "seq long, left_id long, decided_at timestamp, review_outcome string, deleted boolean"
+
+    def batch(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        decisions.start_decisions_state(stream, str(tmp_path / "log"), str(tmp_path / "marks"), lateness="1 hour").awaitTermination()
+        return {(r.left_id, r.seq) for r in decisions.read_current(spark, str(tmp_path / "log")).collect()}
+
+    def at(minutes):
+        return T + dt.timedelta(minutes=minutes)
+
+    assert batch([(1, 1, at(10), "fail", False), (2, 1, at(20), None, False), (3, 2, at(15), None, True), (4, 3, at(5), None, None)]) == {(1, 2), (3, 4)}
+    # A late row of each: older than what is held, so nothing changes and nothing is written.
+    assert batch([(5, 1, at(11), "fail", False), (6, 2, at(12), "fail", False)]) == {(1, 2), (3, 4)}
+    changes = spark.read.parquet(str(tmp_path / "log")).select("batch", "seq").collect()
+    assert {r.seq for r in changes} == {2, 3, 4}
+    # Equal times go by seq; a cleared id gets a new decision.
+    assert batch([(7, 1, at(20), "partial", False), (8, 2, at(30), "fail", False)]) == {(1, 7), (2, 8), (3, 4)}
+    # Clearing again, then time passes: the state of the cleared id expires, later rows count.
+    assert batch([(9, 2, at(40), None, True)]) == {(1, 7), (3, 4)}
+    assert batch([(10, 5, at(600), None, False)]) == {(1, 7), (3, 4), (5, 10)}
+    assert batch([(11, 2, at(590), "fail", False), (12, 3, at(1), "fail", False)]) == {(1, 7), (2, 11), (3, 4), (5, 10)}
