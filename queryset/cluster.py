@@ -67,6 +67,19 @@ def dbscan_documents(spark, sf_dir):
     return dbscan(embedded_documents(spark, sf_dir))
 
 
+_ZERO_NEAR = """v as (select vec_id as id, vec_id % 10 = 3 as zero, embedding::double[] as x from embeddings),
+    near as (select a.id as a, b.id as b from v a, v b where case when a.zero and b.zero then 0.0 when a.zero or b.zero then 1.0
+        else sqrt(greatest(0, 2 - 2 * list_cosine_similarity(a.x, b.x))) end <= 0.95)"""
+
+
+@register(f"{dbscan_sql(_ZERO_NEAR, 'select id from v')} select id, cluster_id from labels")
+def dbscan_zero_vectors(spark, sf_dir):
+    """A tenth of the vectors are zero: one point, at distance 1 from every other."""
+    empty = F.transform("embedding", lambda x: x * 0)
+    given = vectors(spark, sf_dir).withColumn("embedding", F.when(F.col("id") % 10 == 3, empty).otherwise(F.col("embedding")))
+    return dbscan(given, eps=0.95)
+
+
 @register("select vec_id as id, -1 as cluster_id from embeddings")
 def dbscan_all_noise(spark, sf_dir):
     return dbscan(vectors(spark, sf_dir))

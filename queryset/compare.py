@@ -174,6 +174,11 @@ def trial_run(spark, sf_dir):
     return run.matches.select("left_id", "right_id", "rank")
 
 
+@register("select least(count(*), 25) as lefts_used, count(*) as lefts_total, count(*) > 25 as limited from embeddings")
+def left_rows_report(spark, sf_dir):
+    return matching.left_rows_report(matching.side_of(vector_records(spark, sf_dir), "left"), 25)
+
+
 # --- passages against documents ----------------------------------------------------------------
 
 
@@ -205,6 +210,26 @@ def compare_reranked_run(spark, sf_dir):
         "left_id", "right_id", F.round("cosine_score", 4).alias("cosine_score"), F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
+class UnsteadyScorer:
+    """Scores by the length of the candidate; fails wherever a query of a certain length is asked."""
+
+    def score(self, queries, texts):
+        if any(len(q) % 5 == 0 for q in queries):
+            raise ConnectionError("no answer")
+        return [len(t) % 100 / 100 for t in texts]
+
+
+_UNSTEADY = "case when length(query_text) % 5 = 0 then cosine else (length(content) % 100) / 100.0 end"
+
+
+@register(f"""with {_passages_sql(10)}, scored as (select *, {_UNSTEADY} as rr from pairs)
+    select left_id, right_id, round(rr, 6) as rerank_score, (row_number() over (partition by left_id order by rr desc, pos))::int as rank from scored""")
+def rerank_partial_failure(spark, sf_dir):
+    """Left rows that the scorer fails on keep their cosine, all others are reranked."""
+    run = plan.run_compare(passage_records(spark, sf_dir), plan.RunConfig(top_k=10, reranker_enabled=True), scorer=UnsteadyScorer())
+    return run.matches.select("left_id", "right_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
+
+
 class LengthJudge:
     """Stands in for a model: scores a candidate by its length, in several reply forms."""
 

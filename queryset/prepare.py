@@ -222,6 +222,13 @@ for _op, (_c, _v, _sql) in _FILTERS.items():
     )(partial(_row_filter, _op))
 
 
+@register(f"select doc_id, lang from {DOC_ROWS_SQL} where false")
+def row_filter_regex_broken(spark, sf_dir):
+    """A pattern that is none lets no row through."""
+    rows = documents_as_rows(spark, sf_dir)
+    return rows.where(patterns.row_filter([patterns.RowFilter("lang", "regex", "(e")], rows.columns)).select("doc_id", "lang")
+
+
 @register(f"""select doc_id, lang from {DOC_ROWS_SQL} where lower(lang) = 'en' and contains(lower(text), 'the')
     and regexp_matches(sheet_name, '1$')""")
 def row_filter_combined(spark, sf_dir):

@@ -35,6 +35,23 @@ def stream_decisions(spark, sf_dir):
     return stream_dec.read_current(spark, f"{path}/log").select("left_id", "seq", F.col("review_outcome").alias("outcome"))
 
 
+@register(f"""select left_id, seq, outcome from (select 2 * user_id as left_id, event_id as seq, {OUTCOME} as outcome, event_id % 11 = 0 as deleted
+    from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where not deleted""")
+def stream_decisions_compacted(spark, sf_dir):
+    """A first part of the events is folded into one, a second stream goes on in the folded log."""
+    outcome = F.when(F.col("event_type") == "signup", "no_match").when(F.col("event_type") == "click", "partial").when(
+        F.col("event_type") == "error", "fail")
+    path = scratch_path(spark, "decision-fold")
+    log = stream_of(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), (F.col("user_id") * 2).alias("left_id"), F.col("ts").alias("decided_at"),
+        outcome.alias("review_outcome"), (F.col("event_id") % 11 == 0).alias("deleted"))
+    first, rest = log.where(F.col("seq") % 2 == 0), log.where(F.col("seq") % 2 == 1)
+    stream_dec.start_decisions(first, f"{path}/log", f"{path}/first").awaitTermination()
+    stream_dec.compact(spark, f"{path}/log", f"{path}/folded")
+    stream_dec.start_decisions(rest, f"{path}/folded", f"{path}/rest").awaitTermination()
+    return stream_dec.read_current(spark, f"{path}/folded").select("left_id", "seq", F.col("review_outcome").alias("outcome"))
+
+
 @register(f"""select left_id, seq, outcome from (select 2 * user_id as left_id, event_id as seq, {OUTCOME} as outcome, event_id % 11 = 0 as deleted
     from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) where not deleted""")
 def stream_decisions_state(spark, sf_dir):

@@ -229,3 +229,21 @@ def test_embedder_is_called_once_per_row(spark, corpus):
     df = corpus.withColumn("v", embed_column("contextual_content", HashedTermEmbedder(8))).where(F.size("v") > 0)
     plan = df.select(unit("v"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_a_query_the_reranker_fails_on_keeps_its_merged_order(spark):
+    class Failing:
+        def score(self, queries, texts):
+            if "bad query" in queries:
+                raise ConnectionError
+            return [float(len(t)) for t in texts]
+
+    records = spark.createDataFrame([(1, "query bad"), (2, "query bad bad long"), (3, "query good text")], "id long, contextual_content string")
+    queries = spark.createDataFrame([(1, "bad query"), (2, "query")], "query_id long, query_text string")
+    index = keyword.KeywordIndex.build(records, analyzer="simple")
+    config = search.SearchConfig(k=3, use_vector=False, use_rerank=True)
+    found = search.hybrid_search(records, queries, index, config, scorer=Failing()).collect()
+    by_query = {q: [(r.id, r.rerank_score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2)}
+    assert by_query[2] == [(2, 18.0), (3, 15.0), (1, 9.0)]
+    merged = keyword.keyword_topk(index, queries, 3).where("query_id = 1").orderBy("rank").collect()
+    assert by_query[1] == [(r.id, None) for r in merged]
