@@ -35,6 +35,7 @@ REVISIT_BYTES = 100
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
 STRETCH_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 FILE_BYTES = 256 << 20
 LEVEL = 5
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -192,8 +193,13 @@ def read_records(
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds)})
 
     stretch = F.floor(F.col("offset") / stretch_bytes)
+    # Tasks by the bytes to read: the index rows themselves are few bytes, by which they would all
+    # be merged into one task.
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
     return (
         selected.select("file", "offset", "length", stretch.alias("stretch"))
+        .repartition(tasks, "file", "stretch")
         .groupBy("file", "stretch")
         .applyInArrow(
             read,
