@@ -47,7 +47,7 @@ FOLDERS = 256
 
 @dataclass(frozen=True)
 class BlockIndex:
-    """``terms``: ``*by, term, term_no, df, idf, bound, n_blocks``; ``blocks``: ``term_no, block,
+    """``terms``: ``*by, term, term_no, df, idf, bound``; ``blocks``: ``term_no, block,
     place, bound, n, entries`` with ``id, impact``; ``records``: ``*by, id, term_nos, impacts``."""
 
     terms: DataFrame
@@ -60,13 +60,16 @@ class BlockIndex:
         """From ``*by, id, term, tf``; every ``by`` value is an index of its own. The tables are
         written to the shared folder."""
         record = [*by, "id"]
-        lengths = postings.groupBy(*record).agg(F.sum("tf").alias("length"))
-        totals = lengths.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
-        sized = postings.join(lengths, record)
+        # Windows over the terms of one record.
+        of_record = Window.partitionBy(*record)
+        sized = materialise(postings.withColumns({
+            "length": F.sum("tf").over(of_record), "opens": F.row_number().over(of_record.orderBy("term")) == 1}), "sized")
+        totals = sized.groupBy(*by).agg(F.count_if("opens").alias("n_docs"), F.sum("tf").alias("n_tokens"))
         # One row without ``by``: safe to attach to every posting.
         sized = sized.join(totals, list(by)) if by else sized.join(F.broadcast(totals))
-        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-        weighed = materialise(sized.select(*record, "term", "n_docs", impact.alias("impact")), "impacts")
+        average = F.col("n_tokens") / F.col("n_docs")
+        impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
+        weighed = sized.select(*record, "term", "n_docs", impact.alias("impact"))
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         facts = weighed.groupBy(*by, "term", "n_docs").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("bound"))
         # The numbers hold once written.
@@ -77,13 +80,12 @@ class BlockIndex:
             .withColumn("level", F.when(F.col("df") <= BLOCK, 0).otherwise(F.floor(F.col("impact") / (K1 + 1) * LEVELS)))
             .select(*record, "term_no", "df", "impact", "level"), "numbered")
         blocks = materialise(_blocks(numbered), "blocks")
-        n_blocks = blocks.groupBy("term_no").agg(F.count(F.lit(1)).alias("n_blocks"))
         entry = F.struct("term_no", "impact")
         records = (
             numbered.groupBy(*record).agg(F.sort_array(F.collect_list(entry)).alias("e"))
             .select(*record, F.col("e.term_no").alias("term_nos"), F.col("e.impact").alias("impacts"))
         )
-        return cls(materialise(terms.join(n_blocks, "term_no"), "terms"), blocks, materialise(records, "records"), tuple(by))
+        return cls(terms, blocks, materialise(records, "records"), tuple(by))
 
     def save(self, path: str) -> None:
         """Terms and blocks in folders by a hash of the term, sorted so that a search reads the
@@ -225,6 +227,6 @@ def topk_pruned(index: BlockIndex, asked: DataFrame, k: int, every_term: bool, q
         return rows.groupBy(*query).agg(F.count(F.lit(1)).alias("n"))
 
     both = counted_blocks(read.select(*query, "term_no", "block").unionByName(first.select(*query, "term_no", "block")).distinct())
-    totals = known.groupBy(*query).agg(F.sum("n_blocks").alias("blocks_total"))
+    totals = known.join(blocks.select("term_no"), "term_no").groupBy(*query).agg(F.count(F.lit(1)).alias("blocks_total"))
     reads = totals.join(both, query, "left").select(*query, F.coalesce("n", F.lit(0)).alias("blocks_read"), "blocks_total")
     return PrunedTopk(matches.select(*query, "id", "score", "rank"), reads)
