@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tandem.functions.text import english_stem
 from tandem.functions.vectors import cosine, unit
 from tandem.models import HashedTermEmbedder, embed_column
-from tandem.operators import fusion, keyword, substring, topk
+from tandem.operators import codedtopk, fusion, keyword, substring, topk
 from tandem.plans import search
 
 # The stand-in models below travel to the workers with the job.
@@ -247,3 +247,20 @@ def test_a_query_the_reranker_fails_on_keeps_its_merged_order(spark):
     assert by_query[2] == [(2, 18.0), (3, 15.0), (1, 9.0)]
     merged = keyword.keyword_topk(index, queries, 3).where("query_id = 1").orderBy("rank").collect()
     assert by_query[1] == [(r.id, None) for r in merged]
+
+
+@pytest.mark.parametrize("method", ["blocks", "cells", "coded"])
+def test_rows_travel_a_bounded_number_of_times(spark, monkeypatch, method):
+    rng = np.random.default_rng(8)
+    rows = rng.standard_normal((600, 8))
+    copies = []
+    where = codedtopk if method == "coded" else topk
+    plain = where.block_tasks
+    monkeypatch.setattr(where, "block_tasks", lambda side, *rest: copies.append(side.count() / 600) or plain(side, *rest))
+    left, right = as_frame(spark, rows, "left"), as_frame(spark, rows, "right")
+    found = topk.topk_cosine(left, right, 3, method=method, block_rows=10)
+    assert len(copies) == 2 and max(copies) <= 8
+    unit_rows = rows / np.linalg.norm(rows, axis=1)[:, None]
+    best = np.argsort(-np.round(unit_rows @ unit_rows.T, 9), axis=1, kind="stable")[:, :3]
+    assert {(r.left_id, r.cand_pos, r.right_id) for r in found.collect()} == {
+        (i, j + 1, int(b)) for i, row in enumerate(best) for j, b in enumerate(row)}

@@ -101,3 +101,21 @@ def test_codes_keep_vectors_apart():
     error = np.linalg.norm(points - quantiser.decode(cell, codes), axis=1)
     assert error.mean() < 0.5 * np.linalg.norm(points - quantiser.centroids[cell], axis=1).mean()
     assert len(lloyd(np.ones((50, 3)), 8, 3)) == 1
+
+
+def test_full_vectors_where_codes_tell_too_little(spark, tmp_path, monkeypatch):
+    """Rows without any structure: the best by code miss neighbours, however many queries there are."""
+    from tandem.operators import vectorindex
+
+    monkeypatch.setattr(vectorindex, "MOST_REFINED", 2)
+    monkeypatch.setattr(vectorindex, "WORDS", 2)
+    rows = np.random.default_rng(11).standard_normal((900, 32))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, embedding array<double>")
+    index = VectorIndex.build(data, str(tmp_path / "index"), k=10, cell_rows=64)
+    asked = data.where("id % 100 = 0").selectExpr("id as left_id", "embedding as left_vec")
+    found = index.search(asked, 10).groupBy("left_id").agg({"right_id": "collect_set"}).collect()
+    unit_rows = rows / np.linalg.norm(rows, axis=1)[:, None]
+    for r in found:
+        best = np.argsort(-(unit_rows[r[0]] @ unit_rows.T))[:10]
+        assert len(set(r[1]) & set(best.tolist())) >= 9
+    assert len(found) == 9
