@@ -128,8 +128,9 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
 def _matched_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings of every (query, record) pair that holds all terms of the query:
     ``query_id, id, term, tf, df``. A query without terms matches nothing."""
-    # The posting lists asked for, read from the index once and used three times.
-    asked = materialise(asked_postings(postings, terms), "asked")
+    # The posting lists asked for, read from the index once and used three times. Their files are
+    # far smaller than their rows, so their size must not decide for a broadcast.
+    asked = materialise(asked_postings(postings, terms), "asked").hint("merge")
     frequency = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = terms.join(frequency, "term")
     rarest_first = Window.partitionBy("query_id").orderBy("df", "term")
@@ -139,7 +140,7 @@ def _matched_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
         .where(F.col("__found") == F.col("n_terms"))
     )
     candidates = complete.where(F.col("__place") == 1).join(asked.select("term", "id"), "term").select("query_id", "id")
-    wanted = candidates.join(complete.select("query_id", "term", "n_terms", "df"), "query_id")
+    wanted = candidates.hint("merge").join(complete.select("query_id", "term", "n_terms", "df"), "query_id")
     hits = wanted.join(asked, ["id", "term"])
     return (
         hits.withColumn("__hits", F.count(F.lit(1)).over(Window.partitionBy("query_id", "id")))
@@ -163,7 +164,7 @@ def bm25_scores(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
     return (
-        hits.join(index.lengths, "id")
+        hits.join(index.lengths.hint("merge"), "id")
         .join(F.broadcast(totals))
         .groupBy("query_id", "id")
         .agg(F.round(F.sum(idf * F.col("tf") * (K1 + 1) / saturation), SCORE_DIGITS).alias("score"))

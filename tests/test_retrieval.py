@@ -264,3 +264,14 @@ def test_rows_travel_a_bounded_number_of_times(spark, monkeypatch, method):
     best = np.argsort(-np.round(unit_rows @ unit_rows.T, 9), axis=1, kind="stable")[:, :3]
     assert {(r.left_id, r.cand_pos, r.right_id) for r in found.collect()} == {
         (i, j + 1, int(b)) for i, row in enumerate(best) for j, b in enumerate(row)}
+
+
+def test_posting_lists_are_never_broadcast(spark):
+    docs = spark.createDataFrame([(1, "red blue"), (2, "red")], "id long, contextual_content string")
+    asked = spark.createDataFrame([(7, "red blue")], "query_id long, query_text string")
+    index = keyword.KeywordIndex.build(docs, analyzer="simple").written()
+    hits = keyword._matched_postings(index.postings, keyword.query_terms(asked, "simple"))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    # Candidates, the terms of their query, and the postings of both.
+    assert plan.count("SortMergeJoin") >= 3
+    assert [(r.query_id, r.id) for r in keyword.and_match(index, asked).collect()] == [(7, 1)]
