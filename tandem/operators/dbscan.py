@@ -1,11 +1,12 @@
 """DBSCAN on unit vectors without listing neighbour pairs.
 
 * Equal vectors are one weighted point, so copies cost nothing however many there are.
-* Points are compared inside metric cells: a point meets the cells of all pivots within
-  its nearest-pivot distance plus twice eps (and within the cell radius plus eps), which
-  by the triangle inequality covers every neighbour. Das Sarma, He, Chaudhuri:
+* Points meet in a grid of id blocks, at most ``GRID`` a side while a block fits a task, so a
+  point travels a bounded number of times. Inside a task it is compared only with points of the
+  metric cells within its nearest-pivot distance plus twice eps (and within the cell radius
+  plus eps), which by the triangle inequality hold every neighbour. Das Sarma, He, Chaudhuri:
   ClusterJoin (VLDB 2014).
-* A task compares two blocks with one matrix product and emits one number per point
+* A task compares tiles with matrix products and emits one number per point
   (neighbour weight), then one edge per core point (to the smallest core point of its local
   group). The edges grow with the points, not with the pairs.
 * A cell whose radius is at most eps / 2 and whose weight reaches ``min_samples`` is dense:
@@ -17,7 +18,7 @@ cluster among its core neighbours; the rest is noise (-1).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,13 +27,12 @@ from pyspark.sql import functions as F
 
 from tandem.functions.vectors import unit
 from tandem.operators.cells import (
+    angles,
     block_tasks,
-    every_sub_block,
+    grid_counts,
+    grid_sides,
     matrix,
-    parts_for,
     sample_pivots,
-    sub_block,
-    to_cells,
     to_nearest_pivot,
 )
 from tandem.operators.components import connected_components
@@ -43,6 +43,7 @@ from tandem.session import materialise
 EPS = 0.3
 MIN_SAMPLES = 5
 BLOCK_ROWS = 2048
+SLICE_ROWS, TILE_ROWS = 512, 4096
 NOISE = -1
 _SLACK = 1e-9
 
@@ -52,62 +53,70 @@ def _angle_of(distance: float) -> float:
     return float(2 * np.arcsin(min(1.0, distance / 2)))
 
 
-def _near(lefts: pd.DataFrame, rights: pd.DataFrame, eps: float) -> np.ndarray:
-    dots = matrix(lefts["vec"]) @ matrix(rights["vec"]).T
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots)) <= eps
+def _hits(lefts: np.ndarray, rights: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the pairs within ``eps``."""
+    dots = lefts @ rights.T
+    row, col = np.nonzero(dots >= 1 - eps * eps / 2 - 1e-6)
+    near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots[row, col])) <= eps
+    return row[near], col[near]
 
 
-def _local_groups(near: np.ndarray) -> np.ndarray:
-    """Per row the smallest row index reachable through shared columns, or the row itself."""
-    n_rows, n_cols = near.shape
-    label = np.arange(n_rows)
+def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels (the smallest member of each group) after the groups of ``u`` and ``v`` become one."""
     while True:
-        by_col = np.where(near, label[:, None], n_rows).min(axis=0)
-        found = np.where(near, by_col[None, :], n_rows).min(axis=1)
-        updated = np.minimum(label, found)
-        if (updated == label).all():
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
             return label
-        label = updated
-
-
-def _blocks(cells: DataFrame, inner_parts: list[int], outer_parts: list[int]):
-    """Inner and outer sides of every cell, cut into sub-blocks; ``cells`` has the home
-    ``cell`` and the array ``cells`` of cells to meet."""
-    at = F.col("at")
-    point = ["id", "vec", "weight", "core"]
-    inner = (
-        cells.select(*point, F.col("cell").alias("at"))
-        .withColumn("ib", sub_block("id", at, inner_parts))
-        .withColumn("ob", every_sub_block(at, outer_parts))
-    )
-    outer = (
-        cells.select(*point, F.explode("cells").alias("at"))
-        .withColumn("ob", sub_block("id", at, outer_parts))
-        .withColumn("ib", every_sub_block(at, inner_parts))
-    )
-    return inner, outer
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not (label == (further := label[label])).all():
+            label = further
+
 
+def _slices(lefts: pd.DataFrame, rights: pd.DataFrame, pivots: np.ndarray, reach: float, dense: np.ndarray):
+    """``rows, columns`` to compare: left rows of alike cells with a tile of the right rows that the
+    triangle inequality leaves them; a pair in the same dense cell need not be compared."""
+    home, own = lefts["cell"].to_numpy(), lefts["angle"].to_numpy()
+    order = np.lexsort((own, home))
+    vectors, cells = matrix(lefts["vec"]), rights["cell"].to_numpy()
+    radius = np.full(len(pivots), -np.inf)
+    np.maximum.at(radius, cells, rights["angle"].to_numpy())
+    for start in range(0, len(order), SLICE_ROWS):
+        rows = order[start : start + SLICE_ROWS]
+        a = angles(vectors[rows], pivots)
+        visit = (a <= own[rows, None] + 2 * reach) & (a <= radius + reach)
+        inside = np.flatnonzero(dense[home[rows]])
+        visit[inside, home[rows][inside]] = False
+        columns = np.flatnonzero(visit.any(axis=0)[cells])
+        for at in range(0, len(columns), TILE_ROWS):
+            yield rows, columns[at : at + TILE_ROWS]
 
-_KEYS = ["at", "ib", "ob"]
 
+_POINT = ["id", "vec", "weight", "core", "cell", "angle"]
 
-def _meeting(inner: DataFrame, outer: DataFrame, comparisons: int):
-    inner, outer = (block_tasks(side, _KEYS, comparisons) for side in (inner, outer))
-    return inner.groupBy(*_KEYS).cogroup(outer.groupBy(*_KEYS))
 
+def _meeting(left: DataFrame, right: DataFrame, lb: int, rb: int, comparisons: int):
+    sides = grid_sides(left.select(*_POINT), "id", lb, right.select(*_POINT), "id", rb)
+    left, right = (block_tasks(side, ["lb", "rb"], comparisons).groupBy("lb", "rb") for side in sides)
+    return left.cogroup(right)
 
-def _degrees(inner: DataFrame, outer: DataFrame, eps: float, comparisons: int) -> DataFrame:
+
+def _degrees(meeting, eps: float, slices: Callable) -> DataFrame:
     def count(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
         if not len(lefts) or not len(rights):
             return pd.DataFrame(columns=["id", "n"])
-        n = _near(lefts, rights, eps) @ rights["weight"].to_numpy(dtype=np.float64)
+        l_vecs, r_vecs = matrix(lefts["vec"]), matrix(rights["vec"])
+        n, weight = np.zeros(len(lefts)), rights["weight"].to_numpy(np.float64)
+        for rows, columns in slices(lefts, rights):
+            row, col = _hits(l_vecs[rows], r_vecs[columns], eps)
+            n[rows] += np.bincount(row, weight[columns[col]], len(rows))
         return pd.DataFrame({"id": lefts["id"], "n": n.astype(np.int64)})
 
-    partial = _meeting(inner, outer, comparisons).applyInPandas(count, "id bigint, n bigint")
-    return partial.groupBy("id").agg(F.sum("n").alias("degree"))
+    return meeting.applyInPandas(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("degree"))
 
 
-def _links(inner: DataFrame, outer: DataFrame, eps: float, comparisons: int) -> DataFrame:
+def _links(meeting, eps: float, slices: Callable) -> DataFrame:
     """``u, v, border``: core points linked to one core point of their local group, and
     border points (fewer neighbours than ``min_samples`` by definition) to their cores."""
 
@@ -115,24 +124,22 @@ def _links(inner: DataFrame, outer: DataFrame, eps: float, comparisons: int) ->
         rights = rights[rights["core"]] if len(rights) else rights
         if not len(lefts) or not len(rights):
             return pd.DataFrame(columns=["u", "v", "border"])
-        near = _near(lefts, rights, eps)
-        core = lefts["core"].to_numpy()
-        left_ids, right_ids = lefts["id"].to_numpy(), rights["id"].to_numpy()
-        out = []
-        if core.any():
-            rows, ids = near[core], left_ids[core]
-            group = _local_groups(rows)
-            out.append((ids, ids[group]))
-            touched = rows.any(axis=0)
-            first = rows[:, touched].argmax(axis=0)
-            out.append((right_ids[touched], ids[group[first]]))
-        edges = pd.concat([pd.DataFrame({"u": u, "v": v}) for u, v in out]) if out else pd.DataFrame(columns=["u", "v"])
-        edges = edges[edges["u"] != edges["v"]]
-        row, col = np.nonzero(near[~core])
-        borders = pd.DataFrame({"u": left_ids[~core][row], "v": right_ids[col]})
-        return pd.concat([edges.assign(border=False), borders.assign(border=True)])
-
-    return _meeting(inner, outer, comparisons).applyInPandas(link, "u bigint, v bigint, border boolean")
+        l_vecs, r_vecs = matrix(lefts["vec"]), matrix(rights["vec"])
+        core, n_left = lefts["core"].to_numpy(), len(lefts)
+        ids = np.r_[lefts["id"].to_numpy(), rights["id"].to_numpy()]
+        label, out = np.arange(len(ids)), []
+        for rows, columns in slices(lefts, rights):
+            if core[rows].all() and (label[rows] == label[rows[0]]).all() and (label[n_left + columns] == label[rows[0]]).all():
+                continue  # one group already, and nothing else to learn
+            row, col = _hits(l_vecs[rows], r_vecs[columns], eps)
+            row, col = rows[row], n_left + columns[col]
+            joins = core[row]
+            label = _merge(label, row[joins], col[joins])
+            out.append(pd.DataFrame({"u": ids[row[~joins]], "v": ids[col[~joins]], "border": True}))
+        edges = pd.DataFrame({"u": ids, "v": ids[label], "border": False})
+        return pd.concat([edges[edges["u"] != edges["v"]], *out])
+
+    return meeting.applyInPandas(link, "u bigint, v bigint, border boolean")
 
 
 def vectors_weight(points: DataFrame) -> int:
@@ -171,48 +178,31 @@ def dbscan(
     homes = materialise(to_nearest_pivot(points, "vec", pivots), "dbscan-homes")
     stats = (
         homes.groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.max("angle").alias("r"))
+        .agg(F.sum("weight").alias("w"), F.max("angle").alias("r"))
         .collect()
     )
-    counts = {s["cell"]: s["n"] for s in stats}
-    radius = np.full(n_cells, -np.inf)
-    for s in stats:
-        radius[s["cell"]] = s["r"]
     # Two points of a cell are at most two radii (as angles) apart.
     dense = {s["cell"] for s in stats if 2 * s["r"] <= _angle_of(eps) - _SLACK and s["w"] >= min_samples}
     reach = _angle_of(eps) + _SLACK
     is_dense = np.isin(np.arange(n_cells), list(dense))
 
-    def meets(batch: pd.DataFrame, a: np.ndarray) -> Iterator[np.ndarray]:
-        home = batch["cell"].to_numpy()
-        own = a[np.arange(len(a)), home][:, None]
-        visit = (a <= own + 2 * reach) & (a <= radius + reach)
-        # Inside a dense cell nothing needs comparing.
-        inside = home[is_dense[home]]
-        visit[np.flatnonzero(is_dense[home]), inside] = False
-        for row in visit:
-            yield np.flatnonzero(row)
-
-    cells = materialise(to_cells(homes, "vec", meets, pivots), "dbscan-cells")
     in_dense = F.col("cell").isin([int(c) for c in dense]) if dense else F.lit(False)
-    flagged = cells.withColumn("core", in_dense)
-    visits = cells.select(F.explode("cells").alias("c")).groupBy("c").count().collect()
-    # At most block_rows rows per block, and work for every core when the input is small.
-    inner_rows = min(block_rows, max(256, n_points // max(1, slots)))
-    inner_parts = parts_for(counts, n_cells, inner_rows)
-    visitors = {r[0]: r[1] for r in visits}
-    outer_parts = parts_for(visitors, n_cells, block_rows)
-    comparisons = sum(counts.get(c, 0) * n for c, n in visitors.items())
-    inner, outer = _blocks(flagged, inner_parts, outer_parts)
-    degrees = _degrees(inner.where(~F.col("core")), outer, eps, comparisons)
+    flagged = homes.withColumn("core", in_dense)
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def slices(lefts: pd.DataFrame, rights: pd.DataFrame):
+        return _slices(lefts, rights, shared.value, reach, is_dense)
+
+    lb, rb = grid_counts(n_points, n_points, block_rows, slots, pivots.shape[1])
+    comparisons = n_points * n_points
+    degrees = _degrees(_meeting(flagged.where(~F.col("core")), flagged, lb, rb, comparisons), eps, slices)
     with_core = materialise(
         flagged.join(degrees, "id", "left").withColumn(
             "core", F.col("core") | (F.coalesce("degree", F.lit(0)) + reached_weight >= min_samples)
         ),
         "dbscan-cores",
     )
-    inner, outer = _blocks(with_core, inner_parts, outer_parts)
-    links = materialise(_links(inner, outer, eps, comparisons), "dbscan-links")
+    links = materialise(_links(_meeting(with_core, with_core.where("core"), lb, rb, comparisons), eps, slices), "dbscan-links")
     first_of_cell = with_core.where(in_dense).groupBy("cell").agg(F.min("id").alias("v"))
     spokes = with_core.where(in_dense).join(F.broadcast(first_of_cell), "cell").select(F.col("id").alias("u"), "v")
     edges = links.where(~F.col("border")).select("u", "v").unionByName(spokes)

@@ -124,3 +124,15 @@ def test_summaries(spark):
     assert tuple(clustering.cluster_statistics(noise, "kmeans").head()) == (4, 0, False, False)
     records = spark.createDataFrame([(i, f"n{i}") for i in range(1, 5)], "id long, name string")
     assert [r.name for r in clustering.cluster_export(labels, records, ["name"]).collect()] == ["n1", "n4", "n3", "n2"]
+
+
+def test_points_travel_a_bounded_number_of_times(spark, monkeypatch):
+    import importlib
+
+    module = importlib.import_module("tandem.operators.dbscan")
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((500, 6))
+    copies, plain = [], module.block_tasks
+    monkeypatch.setattr(module, "block_tasks", lambda side, *rest: copies.append(side.count() / 500) or plain(side, *rest))
+    labels_of(dbscan(frame(spark, vectors), eps=0.9, min_samples=4, block_rows=8))
+    assert len(copies) == 4 and max(copies) <= 8
