@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,11 @@ LONGEST = 3
 SPAN_BITS = 15  # a bitmap covers 2^15 ids
 PARTS = 1024
 FOLDERS = 256
+# Letters that make a task of building worth starting, and most such tasks per bitmap's ids.
+TASK_LETTERS = 1 << 18
+SPAN_TASKS = 4
+# Ids that a batch of candidates opens at once.
+BATCH_IDS = 1 << 18
 # Sequences intersected per pattern; candidates checked at first, per wanted result.
 RAREST = 4
 AHEAD = 4
@@ -41,6 +46,12 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
+def _build_tasks(letters: int, spans: int, slots: int) -> int:
+    """Tasks that gather entries, each from ids of its own: by the letters, but so few that a bitmap
+    comes from few tasks."""
+    return max(1, min(-(-letters // TASK_LETTERS), max(slots, SPAN_TASKS * spans)))
+
+
 def _folder() -> Column:
     return F.pmod(F.xxhash64("gram"), F.lit(FOLDERS)).cast("int")
 
@@ -73,7 +84,8 @@ class GramIndex:
         spark = records.sparkSession
         rows = records.select(F.col(id_col).cast("long").alias("id"), *[quoted(t) for t in texts]).where(F.col("id").isNotNull())
         span = F.shiftright("id", SPAN_BITS)
-        ends = rows.agg(F.min(span).alias("low"), F.max(span).alias("high")).head()
+        letters = reduce(add, [F.coalesce(F.length(quoted(t)), F.lit(0)) for t in texts])
+        ends = rows.agg(F.min(span).alias("low"), F.max(span).alias("high"), F.sum(letters).alias("letters")).head()
         low = ends["low"] or 0
         width = ((ends["high"] or 0) - low) // PARTS + 1
         part = F.floor((span - low) / width).cast("int")
@@ -82,7 +94,9 @@ class GramIndex:
         spark.createDataFrame([(low, width, list(texts))], "low long, width long, texts array<string>").write.mode("overwrite").parquet(f"{path}/settings")
         held = [_grams(F.lower(quoted(t)), n) for t in texts for n in range(1, LONGEST + 1)]
         every = F.array_distinct(F.concat(*[F.coalesce(g, F.array().cast("array<string>")) for g in held]))
-        entries = rows.select("id", F.explode(every).alias("gram"))
+        # A file of one row group arrives as one task, whose entries would all be sorted there.
+        tasks = _build_tasks(ends["letters"] or 0, (ends["high"] or 0) - low + 1, spark.sparkContext.defaultParallelism)
+        entries = rows.repartitionByRange(tasks, "id").select("id", F.explode(every).alias("gram"))
         bitmaps = entries.groupBy("gram", span.alias("span")).agg(
             F.bitmap_construct_agg(F.col("id").bitwiseAND((1 << SPAN_BITS) - 1)).alias("bits"))
         bitmaps.withColumns({"n": F.bitmap_count("bits"), "folder": _folder()}).repartitionByRange("folder", "gram", "span").sortWithinPartitions(
@@ -152,17 +166,24 @@ class GramIndex:
         """``query_id, id`` of candidates that match the whole pattern."""
         kind = met.schema["query_id"].dataType.simpleString()
 
+        def opened(batch: pa.RecordBatch, taken: list[np.ndarray], made: list[np.ndarray]) -> pa.RecordBatch:
+            rows = pa.array(np.concatenate(taken))
+            return pa.RecordBatch.from_arrays(
+                [batch.column("query_id").take(rows), batch.column("query_text").take(rows), pa.array(np.concatenate(made))],
+                names=["query_id", "query_text", "id"])
+
         def ids(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                taken, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                taken, made, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
                 for i, (span, bits) in enumerate(zip(batch.column("span").to_pylist(), batch.column("bits").to_pylist())):
                     held = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
                     made.append(held + (span << SPAN_BITS))
                     taken.append(np.full(len(held), i))
-                rows = pa.array(np.concatenate(taken))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id").take(rows), batch.column("query_text").take(rows), pa.array(np.concatenate(made))],
-                    names=["query_id", "query_text", "id"])
+                    n += len(held)
+                    if n >= BATCH_IDS:
+                        yield opened(batch, taken, made)
+                        taken, made, n = taken[:1], made[:1], 0
+                yield opened(batch, taken, made)
 
         # At most PARTS numbers; only these folders of records are read.
         parts = [r[0] for r in met.select(self._part(F.col("span"))).distinct().collect()]

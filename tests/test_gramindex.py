@@ -89,3 +89,24 @@ def test_empty_tables(spark):
     full = GramIndex.build(spark.createDataFrame([(1, "x")], df.schema), scratch_path(spark, "grams-test"), ["a"])
     assert full.search(queries.limit(0), 3).count() == 0
     assert gramindex.LONGEST == 3
+
+
+def test_one_file_is_built_by_many_tasks(spark, monkeypatch):
+    dealt = []
+    by_range = type(spark.range(1)).repartitionByRange
+
+    def recording(self, *args):
+        dealt.extend(a for a in args if isinstance(a, int))
+        return by_range(self, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", recording)
+    monkeypatch.setattr(gramindex, "TASK_LETTERS", 1000, raising=False)
+    monkeypatch.setattr(gramindex, "FOLDERS", 4)
+    df = spark.range(200).coalesce(1).select("id", F.format_string("Customer#%09d", "id").alias("a"))
+    index = GramIndex.build(df, scratch_path(spark, "grams-test"), ["a"])
+    assert dealt == [4]  # 3,600 letters
+    assert {r.gram: r.n for r in index.counts.where("gram in ('er#', '#00', '199')").collect()} == {"er#": 200, "#00": 200, "199": 1}
+
+
+def test_tasks_of_a_build_grow_with_letters_and_stay_few_per_bitmap():
+    assert [gramindex._build_tasks(*x) for x in ((0, 1, 12), (1 << 20, 1, 12), (1 << 30, 1, 12), (97_200_000, 165, 12))] == [1, 4, 12, 371]
