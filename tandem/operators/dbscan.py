@@ -9,6 +9,8 @@
 * A task compares tiles with matrix products and emits one number per point
   (neighbour weight), then one edge per core point (to the smallest core point of its local
   group). The edges grow with the points, not with the pairs.
+* A row that has reached ``min_samples`` is not counted further, and rows and columns that are in
+  one group already are not compared again: where clusters are wide, both passes end early.
 * A cell whose radius is at most eps / 2 and whose weight reaches ``min_samples`` is dense:
   all its points are core and connected, so they are never compared with each other.
 
@@ -102,20 +104,42 @@ def _meeting(left: DataFrame, right: DataFrame, lb: int, rb: int, comparisons: i
     return left.cogroup(right)
 
 
-def _degrees(meeting, eps: float, slices: Callable) -> DataFrame:
+def _degrees(meeting, eps: float, slices: Callable, enough: float = np.inf) -> DataFrame:
+    """Neighbour weight of each point, exact below ``enough``: a row that a task has found so much
+    for is core, whatever else it meets, and is not compared further there."""
+
     def count(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
         if not len(lefts) or not len(rights):
             return pd.DataFrame(columns=["id", "n"])
         l_vecs, r_vecs = matrix(lefts["vec"]), matrix(rights["vec"])
         n, weight = np.zeros(len(lefts)), rights["weight"].to_numpy(np.float64)
         for rows, columns in slices(lefts, rights):
-            row, col = _hits(l_vecs[rows], r_vecs[columns], eps)
-            n[rows] += np.bincount(row, weight[columns[col]], len(rows))
+            rows = rows[n[rows] < enough]
+            if len(rows):
+                row, col = _hits(l_vecs[rows], r_vecs[columns], eps)
+                n[rows] += np.bincount(row, weight[columns[col]], len(rows))
         return pd.DataFrame({"id": lefts["id"], "n": n.astype(np.int64)})
 
     return meeting.applyInPandas(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("degree"))
 
 
+def _unsettled(label: np.ndarray, core: np.ndarray, rows: np.ndarray, columns: np.ndarray, n_left: int):
+    """``rows, columns`` that can still teach something: core rows and columns of the largest group
+    among the rows are connected already, so only pairs with one outside it are compared. A row
+    that is not core needs every column."""
+    groups, size = np.unique(label[rows[core[rows]]], return_counts=True)
+    if not len(groups):
+        yield rows, columns
+        return
+    largest = groups[size.argmax()]
+    inside = core[rows] & (label[rows] == largest)
+    others = columns[label[n_left + columns] != largest]
+    if not inside.all():
+        yield rows[~inside], columns
+    if len(others):
+        yield rows[inside], others
+
+
 def _links(meeting, eps: float, slices: Callable) -> DataFrame:
     """``u, v, border``: core points linked to one core point of their local group, and
     border points (fewer neighbours than ``min_samples`` by definition) to their cores."""
@@ -128,14 +152,13 @@ def _links(meeting, eps: float, slices: Callable) -> DataFrame:
         core, n_left = lefts["core"].to_numpy(), len(lefts)
         ids = np.r_[lefts["id"].to_numpy(), rights["id"].to_numpy()]
         label, out = np.arange(len(ids)), []
-        for rows, columns in slices(lefts, rights):
-            if core[rows].all() and (label[rows] == label[rows[0]]).all() and (label[n_left + columns] == label[rows[0]]).all():
-                continue  # one group already, and nothing else to learn
-            row, col = _hits(l_vecs[rows], r_vecs[columns], eps)
-            row, col = rows[row], n_left + columns[col]
-            joins = core[row]
-            label = _merge(label, row[joins], col[joins])
-            out.append(pd.DataFrame({"u": ids[row[~joins]], "v": ids[col[~joins]], "border": True}))
+        for every_row, every_column in slices(lefts, rights):
+            for rows, columns in _unsettled(label, core, every_row, every_column, n_left):
+                row, col = _hits(l_vecs[rows], r_vecs[columns], eps)
+                row, col = rows[row], n_left + columns[col]
+                joins = core[row]
+                label = _merge(label, row[joins], col[joins])
+                out.append(pd.DataFrame({"u": ids[row[~joins]], "v": ids[col[~joins]], "border": True}))
         edges = pd.DataFrame({"u": ids, "v": ids[label], "border": False})
         return pd.concat([edges[edges["u"] != edges["v"]], *out])
 
@@ -195,7 +218,8 @@ def dbscan(
 
     lb, rb = grid_counts(n_points, n_points, block_rows, slots, pivots.shape[1])
     comparisons = n_points * n_points
-    degrees = _degrees(_meeting(flagged.where(~F.col("core")), flagged, lb, rb, comparisons), eps, slices)
+    degrees = _degrees(
+        _meeting(flagged.where(~F.col("core")), flagged, lb, rb, comparisons), eps, slices, max(1, min_samples - reached_weight))
     with_core = materialise(
         flagged.join(degrees, "id", "left").withColumn(
             "core", F.col("core") | (F.coalesce("degree", F.lit(0)) + reached_weight >= min_samples)

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tandem.operators import clustering
+from tandem.operators import dbscan as dbscan_module
 from tandem.operators.components import connected_components
 from tandem.operators.dbscan import dbscan
 from tandem.plans.cluster import cluster_records
@@ -136,3 +138,58 @@ def test_points_travel_a_bounded_number_of_times(spark, monkeypatch):
     monkeypatch.setattr(module, "block_tasks", lambda side, *rest: copies.append(side.count() / 500) or plain(side, *rest))
     labels_of(dbscan(frame(spark, vectors), eps=0.9, min_samples=4, block_rows=8))
     assert len(copies) == 4 and max(copies) <= 8
+
+
+def wide_meeting(seed=3, n=3000):
+    """One wide group of core points, and a border point beside it, as a task meets them."""
+    rng = np.random.default_rng(seed)
+    u = rng.standard_normal((n, 8)) + 1.0
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    points = pd.DataFrame({"id": np.arange(n), "vec": list(u), "weight": 1, "core": np.arange(n) % 100 != 0, "cell": 0, "angle": 0.5})
+
+    class Meeting:
+        def applyInPandas(self, found, _):  # noqa: N802
+            self.found = found(points, points)
+            return self
+
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        def agg(self, *_):
+            return self
+
+    return u, points, Meeting()
+
+
+def tiles(lefts, rights):
+    for start in range(0, len(lefts), 500):
+        for at in range(0, len(rights), 300):
+            yield np.arange(start, start + 500), np.arange(at, min(at + 300, len(rights)))
+
+
+def test_settled_rows_are_not_compared_again(spark, monkeypatch):
+    u, points, meeting = wide_meeting()
+    near = np.sqrt(np.maximum(0, 2 - 2 * u @ u.T)) <= 1.0
+    compared = []
+    hits = dbscan_module._hits
+
+    def counting(lefts, rights, eps):
+        compared.append(len(lefts) * len(rights))
+        return hits(lefts, rights, eps)
+
+    monkeypatch.setattr(dbscan_module, "_hits", counting)
+    links = dbscan_module._links(meeting, 1.0, tiles).found
+    assert sum(compared) < len(points) ** 2 / 3
+    core = points["core"].to_numpy()
+    border = links[links["border"]]
+    assert set(zip(border["u"], border["v"])) == {(a, b) for a, b in zip(*np.nonzero(near)) if not core[a] and core[b]}
+    joined = links[~links["border"]]
+    label = dbscan_module._merge(np.arange(len(u)), joined["u"].to_numpy(), joined["v"].to_numpy())
+    every = dbscan_module._merge(np.arange(len(u)), *np.nonzero(near & core[:, None] & core[None, :]))
+    assert (label[core] == every[core]).all()
+
+    compared.clear()
+    degree = dbscan_module._degrees(meeting, 1.0, tiles, 5).found["n"].to_numpy()
+    assert sum(compared) < len(points) ** 2 / 4
+    true = near.sum(axis=1)
+    assert ((degree >= 5) == (true >= 5)).all() and (degree[true < 5] == true[true < 5]).all()
