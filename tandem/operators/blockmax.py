@@ -56,20 +56,27 @@ class BlockIndex:
     by: tuple[str, ...] = ()
 
     @classmethod
-    def build(cls, postings: DataFrame, by: Sequence[str] = ()) -> BlockIndex:
+    def build(cls, postings: DataFrame, by: Sequence[str] = (), only: DataFrame | None = None) -> BlockIndex:
         """From ``*by, id, term, tf``; every ``by`` value is an index of its own. The tables are
-        written to the shared folder."""
+        written to the shared folder. An index for one set of queries holds the terms ``only``
+        (``*by, term``) these ask for; lengths and counts are those of all postings."""
         record = [*by, "id"]
         # Windows over the terms of one record.
         of_record = Window.partitionBy(*record)
-        sized = materialise(postings.withColumns({
-            "length": F.sum("tf").over(of_record), "opens": F.row_number().over(of_record.orderBy("term")) == 1}), "sized")
-        totals = sized.groupBy(*by).agg(F.count_if("opens").alias("n_docs"), F.sum("tf").alias("n_tokens"))
+        sized = postings.withColumns({
+            "length": F.sum("tf").over(of_record), "opens": F.row_number().over(of_record.orderBy("term")) == 1, "kept": F.lit(True)})
+        if only is not None:
+            # One row of each record stays for the counts, whether asked for or not.
+            listed = materialise(only.select(*by, "term").distinct(), "asked-words").withColumn("listed", F.lit(True))
+            sized = sized.join(listed, [*by, "term"], "left").withColumn("kept", F.col("listed").isNotNull()).drop("listed")
+            sized = sized.where("kept or opens")
+        sized = materialise(sized, "sized")
+        totals = sized.groupBy(*by).agg(F.count_if("opens").alias("n_docs"), F.sum(F.when(F.col("opens"), F.col("length"))).alias("n_tokens"))
         # One row without ``by``: safe to attach to every posting.
         sized = sized.join(totals, list(by)) if by else sized.join(F.broadcast(totals))
         average = F.col("n_tokens") / F.col("n_docs")
         impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
-        weighed = sized.select(*record, "term", "n_docs", impact.alias("impact"))
+        weighed = sized.where("kept").select(*record, "term", "n_docs", impact.alias("impact"))
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         facts = weighed.groupBy(*by, "term", "n_docs").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("bound"))
         # The numbers hold once written.

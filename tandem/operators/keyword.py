@@ -197,11 +197,13 @@ def any_term_topk(lefts: DataFrame, rights: DataFrame, k: int, by: Sequence[str]
     all right rows that share at least one term with it, ties by id. ``lefts`` and ``rights`` hold
     ``*by``, their id and ``text``; each ``by`` value is an index of its own.
 
-    The right rows become an index of posting blocks with score bounds; a left row reads the
-    blocks that can still hold one of its k best.
+    The right rows become an index of posting blocks with score bounds, of the terms that occur on
+    the left; a left row reads the blocks that can still hold one of its k best. Texts travel once,
+    to where their words are counted.
     """
-    words = rights.select(*by, F.col("right_id").alias("id"), F.explode(tokens("text")).alias("term"))
+    texts = rights.select(*by, F.col("right_id").alias("id"), "text").repartition(*by, "id")
+    words = texts.select(*by, "id", F.explode(tokens("text")).alias("term"))
     postings = words.groupBy(*by, "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     asked = lefts.select(*by, "left_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    found = topk_pruned(BlockIndex.build(postings, by), asked, k, every_term=False, query_id="left_id").matches
+    found = topk_pruned(BlockIndex.build(postings, by, asked), asked, k, every_term=False, query_id="left_id").matches
     return found.withColumnRenamed("id", "right_id")

@@ -109,3 +109,21 @@ def test_keyword_search_both_ways(spark):
     plain = keyword.keyword_topk(index, queries, 5).select("query_id", "id", "score", "rank")
     pruned = keyword.keyword_topk_pruned(keyword.block_index(index), queries, "simple", 5).matches
     assert sorted(map(tuple, pruned.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_index_for_asked_terms_only(spark):
+    rows, asked = random_index(4)
+    postings = spark.createDataFrame(rows, "by string, id long, term string, tf long")
+    queries = spark.createDataFrame(asked, "by string, query_id long, term string")
+    index = blockmax.BlockIndex.build(postings, ["by"], queries)
+    found = blockmax.topk_pruned(index, queries, 3, False).matches
+    assert sorted((r["by"], r.query_id, r.id, r["rank"]) for r in found.collect()) == brute(rows, asked, 3, False)
+    wanted = {(r[0], r[2]) for r in asked}
+    held = index.records.agg(F.sum(F.size("term_nos"))).head()[0]
+    assert held == sum((r[0], r[2]) in wanted for r in rows) < len(rows)
+
+
+def test_texts_travel_once(spark):
+    lefts = spark.createDataFrame([(1, "red")], "left_id long, text string")
+    rights = spark.createDataFrame([(i, f"red wagon {i}") for i in range(20)], "right_id long, text string")
+    assert [r.right_id for r in keyword.any_term_topk(lefts, rights, 2).orderBy("rank").collect()] == [0, 1]
