@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import itertools
+import sys
 import time
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -35,17 +38,21 @@ class Judge(Protocol):
         """The model's answer to one prompt."""
 
 
-class _Buckets(dict):
-    """Bucket per term, worked out once per term and task."""
+# Characters whose terms are counted at a time.
+CHUNK_CHARS = 1 << 22
 
-    def __init__(self, width: int):
-        super().__init__()
-        self.width = width
+
+# Terms whose hash a task remembers.
+KNOWN_TERMS = 1 << 18
+
+
+class _Hashes(dict):
+    """The first four bytes of a term's MD5 as a number, worked out once per term."""
 
     def __missing__(self, term: str) -> int:
-        digest = hashlib.md5(term.encode(), usedforsecurity=False).hexdigest()
-        bucket = self[term] = int(digest[:8], 16) % self.width
-        return bucket
+        digest = hashlib.md5(term.encode(), usedforsecurity=False).digest()
+        number = self[term] = int.from_bytes(digest[:4], "big")
+        return number
 
 
 class HashedTermEmbedder:
@@ -57,16 +64,42 @@ class HashedTermEmbedder:
 
     def __init__(self, width: int = 256):
         self.width = width
+        self.hashes, self.letters = _Hashes(), None
+
+    def __getstate__(self) -> dict:
+        return {"width": self.width}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        token, buckets = re.compile(r"[^\W_]+"), _Buckets(self.width)
+        texts = [text or "" for text in texts]
         counts = np.zeros((len(texts), self.width))
-        for i, text in enumerate(texts):
-            found = [buckets[term] for term in token.findall(text or "")]
-            counts[i] = np.bincount(found, minlength=self.width) if found else 0.0
+        chunk = np.cumsum([len(text) for text in texts]) // CHUNK_CHARS
+        for start, stop in itertools.pairwise(np.r_[0, np.flatnonzero(np.diff(chunk)) + 1, len(texts)]):
+            counts[start:stop] = self._counts(texts[start:stop])
         lengths = np.linalg.norm(counts, axis=1, keepdims=True)
         return np.divide(counts, lengths, out=counts, where=lengths > 0)
 
+    def _counts(self, texts: list[str]) -> np.ndarray:
+        """Terms of each text by bucket; a term's bucket is worked out once for all texts."""
+        if self.letters is None:  # for every code point whether it is a letter or a digit
+            self.letters = np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+        if len(self.hashes) > KNOWN_TERMS:
+            self.hashes.clear()
+        letters = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = self.letters[letters]
+        starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+        if not len(starts):
+            return np.zeros((len(texts), self.width))
+        plain = np.where(inside, letters, ord(" ")).astype(np.uint32).tobytes().decode("utf-32-le").strip(" ")
+        terms = pc.ascii_split_whitespace(pa.array([plain], pa.large_string())).flatten().dictionary_encode()
+        distinct = terms.dictionary.to_numpy(zero_copy_only=False)
+        buckets = np.fromiter(map(self.hashes.__getitem__, distinct), np.int64, len(distinct)) % self.width
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+        found = np.bincount(text * self.width + buckets[terms.indices.to_numpy()], minlength=len(texts) * self.width)
+        return found.reshape(len(texts), self.width)
+
 
 def embed_column(text: Column | str, embedder: Embedder, lowercase: bool = True) -> Column:
     """Vector of a text, computed in Arrow batches on the executors."""

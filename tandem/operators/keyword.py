@@ -36,13 +36,18 @@ def _stemmed(terms: DataFrame) -> DataFrame:
     return terms.join(stems, "term").withColumn("term", F.col("stem")).drop("stem")
 
 
-def _term_counts(source: DataFrame, key: str, text: Column, analyzer: str) -> DataFrame:
+def _words(source: DataFrame, key: str, text: Column, analyzer: str) -> DataFrame:
+    """``id, term`` of every word, not stemmed."""
     if analyzer not in ANALYZERS:
         raise ValueError(f"analyzer must be one of {ANALYZERS}")
     exploded = source.select(F.col(key).alias("id"), F.explode(tokens(text)).alias("term"))
     if analyzer != "simple":
         exploded = exploded.where(~is_stop_word("term"))
-    counted = exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return exploded
+
+
+def _term_counts(source: DataFrame, key: str, text: Column, analyzer: str) -> DataFrame:
+    counted = _words(source, key, text, analyzer).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     if analyzer != "english":
         return counted
     return _stemmed(counted).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
@@ -65,9 +70,12 @@ def build_postings(
 
 @dataclass(frozen=True)
 class KeywordIndex:
+    """``asked`` tells that the postings are written and are those of the queries' terms alone."""
+
     postings: DataFrame
     lengths: DataFrame
     analyzer: str
+    asked: bool = False
 
     @classmethod
     def build(cls, records: DataFrame, id_col: str = "id", content: Column | str = "contextual_content",
@@ -75,6 +83,21 @@ class KeywordIndex:
         postings = build_postings(records, id_col, content, id_text, analyzer)
         return cls(postings, lengths_of(postings), analyzer)
 
+    @classmethod
+    def for_queries(cls, records: DataFrame, queries: DataFrame, id_col: str = "id", content: Column | str = "contextual_content",
+                    analyzer: str = "english") -> KeywordIndex:
+        """A written index for one set of queries: the posting lists of their terms alone, with the
+        lengths of all records, so these queries find what they find in the whole index."""
+        listed = materialise(query_terms(queries, analyzer).select("term").distinct(), "asked-words").withColumn("listed", F.lit(True))
+        if analyzer == "english":
+            counted = _term_counts(records, id_col, as_column(content), analyzer).join(listed, "term", "left")
+        else:
+            counted = _words(records, id_col, as_column(content), analyzer).join(listed, "term", "left").withColumn("tf", F.lit(1))
+        # The words nobody asks for are one count per record, which its length needs.
+        counted = counted.groupBy("id", F.when(F.col("listed"), F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
+        counted = materialise(counted, "postings")
+        return cls(counted.where(F.col("term").isNotNull()), materialise(lengths_of(counted), "lengths"), analyzer, asked=True)
+
     def written(self) -> KeywordIndex:
         """The index as tables in the shared folder: built once for all that follows."""
         postings = materialise(self.postings, "postings")
@@ -125,12 +148,12 @@ def query_terms(queries: DataFrame, analyzer: str) -> DataFrame:
     return terms.withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
 
 
-def _matched_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def _matched_postings(postings: DataFrame, terms: DataFrame, written: bool = False) -> DataFrame:
     """Postings of every (query, record) pair that holds all terms of the query:
     ``query_id, id, term, tf, df``. A query without terms matches nothing."""
     # The posting lists asked for, read from the index once and used three times. Their files are
     # far smaller than their rows, so their size must not decide for a broadcast.
-    asked = materialise(asked_postings(postings, terms), "asked").hint("merge")
+    asked = (postings if written else materialise(asked_postings(postings, terms), "asked")).hint("merge")
     frequency = asked.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     known = terms.join(frequency, "term")
     rarest_first = Window.partitionBy("query_id").orderBy("df", "term")
@@ -152,13 +175,13 @@ def _matched_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
 def and_match(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """``query_id, id`` of records that hold every term of the query."""
     return (
-        _matched_postings(index.postings, query_terms(queries, index.analyzer)).select("query_id", "id").distinct()
+        _matched_postings(index.postings, query_terms(queries, index.analyzer), index.asked).select("query_id", "id").distinct()
     )
 
 
 def bm25_scores(index: KeywordIndex, queries: DataFrame) -> DataFrame:
     """``query_id, id, score`` of all AND matches."""
-    hits = _matched_postings(index.postings, query_terms(queries, index.analyzer))
+    hits = _matched_postings(index.postings, query_terms(queries, index.analyzer), index.asked)
     # One row: safe to attach to every hit.
     totals = index.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

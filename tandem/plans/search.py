@@ -91,19 +91,26 @@ def search_stages(
     embedder: Embedder | None = None,
     scorer: PairScorer | None = None,
     vector_options: Mapping[str, object] | None = None,
+    keyword_list: DataFrame | None = None,
 ) -> SearchStages:
     """``vector_options`` go to the vector join: ``{"index": ...}`` for a stored index of the
-    records, ``{"method": "approximate"}`` for one made on the way."""
+    records, ``{"method": "approximate"}`` for one made on the way. ``keyword_list`` is the result
+    of ``keyword_topk`` where it is there already; then no index is needed."""
     if config.use_vector and "query_vec" not in queries.columns:
         if embedder is None:
             raise ValueError("vector search needs query vectors or an embedder")
         queries = queries.withColumn("query_vec", embed_column("query_text", embedder))
-    if config.use_keyword and index is None:
+    if config.use_keyword and index is None and keyword_list is None:
         raise ValueError("keyword search needs an index")
     # Both lists (at most the candidates per query) feed the merge, the scores and the counts:
     # searched once.
     vector = materialise(vector_list(records, queries, config.candidates, **(vector_options or {})), "vector-list") if config.use_vector else None
-    keyword = materialise(keyword_topk(index, queries, config.candidates), "keyword-list") if config.use_keyword else None
+    if not config.use_keyword:
+        keyword = None
+    elif keyword_list is not None:
+        keyword = keyword_list.where(F.col("rank") <= config.candidates)
+    else:
+        keyword = materialise(keyword_topk(index, queries, config.candidates), "keyword-list")
     one = vector if vector is not None else keyword
     merge = fusion.rrf_merge if config.use_rrf else fusion.vector_primary_merge
     merged = merge(vector if vector is not None else _nothing(one), keyword if keyword is not None else _nothing(one))
@@ -117,6 +124,8 @@ def search_stages(
         texts = records.select("id", F.col("contextual_content").alias("text"))
         asked = queries.select("query_id", F.col("query_text").alias("text"))
         if scorer is None:
+            # Used three times, and its size tells that the texts need not travel to it.
+            pool = materialise(pool, "pool")
             scored = overlap_score(pool, asked, texts, "query_id", "id", "rerank")
         else:
             pairs = pool.join(texts, "id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
@@ -142,11 +151,12 @@ def hybrid_search(
     embedder: Embedder | None = None,
     scorer: PairScorer | None = None,
     vector_options: Mapping[str, object] | None = None,
+    keyword_list: DataFrame | None = None,
 ) -> DataFrame:
     """``query_id, rank, id, score, cosine_score, bm25_rank, rerank_score`` and the display
     columns, which are joined last."""
     stages = search_stages(
-        records, queries, index, config, embedder=embedder, scorer=scorer, vector_options=vector_options
+        records, queries, index, config, embedder=embedder, scorer=scorer, vector_options=vector_options, keyword_list=keyword_list
     )
     best = stages.ranked.where(F.col("rank") <= config.k).select(
         "query_id",

@@ -1,4 +1,5 @@
 import sys
+import hashlib
 import math
 import re
 
@@ -9,6 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tandem import models
 from tandem.functions.text import english_stem
 from tandem.functions.vectors import cosine, unit
 from tandem.models import HashedTermEmbedder, embed_column
@@ -275,3 +277,55 @@ def test_posting_lists_are_never_broadcast(spark):
     # Candidates, the terms of their query, and the postings of both.
     assert plan.count("SortMergeJoin") >= 3
     assert [(r.query_id, r.id) for r in keyword.and_match(index, asked).collect()] == [(7, 1)]
+
+
+@pytest.mark.parametrize("analyzer", ["simple", "english_unstemmed", "english"])
+def test_an_index_for_queries_holds_their_words_alone_and_finds_the_same(spark, analyzer):
+    texts = ["The red boats and nets", "a red, red net", "", "boats boating in the harbour", "RED boats", "nothing asked"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, contextual_content string")
+    asked = queries_of(spark, "red boats", "the net", "absent", "boats")
+    whole = keyword.KeywordIndex.build(docs, analyzer=analyzer)
+    own = keyword.KeywordIndex.for_queries(docs, asked, analyzer=analyzer)
+    assert set(own.lengths.collect()) == set(whole.lengths.collect())
+    wanted = {r.term for r in keyword.query_terms(asked, analyzer).collect()}
+    assert set(own.postings.collect()) == {r for r in whole.postings.select("id", "term", "tf").collect() if r.term in wanted}
+    assert set(keyword.keyword_topk(own, asked).collect()) == set(keyword.keyword_topk(whole, asked).collect())
+
+
+def test_a_given_keyword_list_is_not_searched_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "red boat"), (2, "red net"), (3, "boat")], "id long, contextual_content string")
+    asked = queries_of(spark, "red", "boat")
+    index, config = keyword.KeywordIndex.build(docs, analyzer="simple"), search.SearchConfig(k=2, use_vector=False)
+    expected = search.hybrid_search(docs, asked, index, config).collect()
+    words = keyword.keyword_topk(index, asked)
+    monkeypatch.setattr(search, "keyword_topk", lambda *_: pytest.fail("searched again"))
+    assert set(search.hybrid_search(docs, asked, None, config, keyword_list=words).collect()) == set(expected)
+
+
+def test_right_rows_stay_where_they_are_for_few_left_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = rng.standard_normal((700, 8))
+    rows[100:300] = rows[5]
+    monkeypatch.setattr(topk, "block_tasks", lambda *_: pytest.fail("right rows travel"))
+    left, right = as_frame(spark, rows[:12], "left"), as_frame(spark, rows, "right").repartition(3)
+    unknown = spark.createDataFrame([(900, None), (901, [])], right.schema)
+    found = topk.topk_cosine(left, right.unionByName(unknown), 4, block_rows=40)
+    unit_rows = rows / np.linalg.norm(rows, axis=1)[:, None]
+    best = np.argsort(-np.round(unit_rows[:12] @ unit_rows.T, 9), axis=1, kind="stable")[:, :4]
+    assert {(r.left_id, r.cand_pos, r.right_id) for r in found.collect()} == {
+        (i, j + 1, int(b)) for i, row in enumerate(best) for j, b in enumerate(row)}
+
+
+def test_hashed_terms_equal_their_definition_and_are_hashed_once(monkeypatch):
+    texts = ["", " .. ", None, "a_b a", "éÉ½²Ⅷ ٣x", "́a", "中文 字", "𝒳 a", "\x00a\x00", "b\x85g\x1cq", "a b c a " * 9]
+    monkeypatch.setattr(models, "CHUNK_CHARS", 12)
+    embedder = HashedTermEmbedder(16)
+    expected, known = np.zeros((len(texts), 16)), set()
+    for i, text in enumerate(texts):
+        for term in re.findall(r"[^\W_]+", text or ""):
+            expected[i, int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % 16] += 1
+            known.add(term)
+    lengths = np.linalg.norm(expected, axis=1, keepdims=True)
+    assert (embedder.embed(texts) == np.divide(expected, lengths, out=expected, where=lengths > 0)).all()
+    assert set(embedder.hashes) == known
+    assert embedder.embed([]).shape == (0, 16)
