@@ -67,10 +67,8 @@ class HashedTermEmbedder:
         self.hashes, self.letters = _Hashes(), None
 
     def __getstate__(self) -> dict:
-        return {"width": self.width}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__init__(**state)
+        # What was worked out here does not travel.
+        return self.__dict__ | {"hashes": _Hashes(), "letters": None}
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
         texts = [text or "" for text in texts]

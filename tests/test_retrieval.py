@@ -329,3 +329,16 @@ def test_hashed_terms_equal_their_definition_and_are_hashed_once(monkeypatch):
     assert (embedder.embed(texts) == np.divide(expected, lengths, out=expected, where=lengths > 0)).all()
     assert set(embedder.hashes) == known
     assert embedder.embed([]).shape == (0, 16)
+
+
+def test_an_embedder_with_more_settings_travels_without_what_it_remembers():
+    class Prefixed(HashedTermEmbedder):
+        def __init__(self, prefix, width):
+            super().__init__(width)
+            self.prefix = prefix
+
+    embedder = Prefixed("x", 8)
+    here = embedder.embed(["red boat"])
+    copy = cloudpickle.loads(cloudpickle.dumps(embedder))
+    assert (copy.prefix, copy.width, len(copy.hashes), copy.letters) == ("x", 8, 0, None)
+    assert (copy.embed(["red boat"]) == here).all()
