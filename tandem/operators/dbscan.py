@@ -6,11 +6,14 @@
   metric cells within its nearest-pivot distance plus twice eps (and within the cell radius
   plus eps), which by the triangle inequality hold every neighbour. Das Sarma, He, Chaudhuri:
   ClusterJoin (VLDB 2014).
-* A task compares tiles with matrix products and emits one number per point
+* A task reads its vectors where Arrow has put them, without a copy of a block, and compares tiles
+  with matrix products of single precision; pairs within the rounding error of eps are computed
+  again in double precision. It emits one number per point
   (neighbour weight), then one edge per core point (to the smallest core point of its local
   group). The edges grow with the points, not with the pairs.
 * A row that has reached ``min_samples`` is not counted further, and rows and columns that are in
-  one group already are not compared again: where clusters are wide, both passes end early.
+  one group already are not compared again: where clusters are wide, both passes end early. Points
+  without a neighbour do not travel in the second pass.
 * A cell whose radius is at most eps / 2 and whose weight reaches ``min_samples`` is dense:
   all its points are core and connected, so they are never compared with each other.
 
@@ -24,6 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +61,59 @@ def _angle_of(distance: float) -> float:
 
 def _hits(lefts: np.ndarray, rights: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the pairs within ``eps``."""
-    dots = lefts @ rights.T
-    row, col = np.nonzero(dots >= 1 - eps * eps / 2 - 1e-6)
-    near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots[row, col])) <= eps
+    dots = lefts.astype(np.float32) @ rights.astype(np.float32).T
+    # Twice what single precision can be off by for unit vectors.
+    bound, off = 1 - eps * eps / 2, (lefts.shape[1] + 16) * 2.0**-23
+    row, col = np.nonzero(dots >= np.float32(bound - off))
+    near = dots[row, col] > bound + off
+    open_ = np.flatnonzero(~near)
+    for at in range(0, len(open_), TILE_ROWS):
+        some = open_[at : at + TILE_ROWS]
+        exact = np.einsum("ij,ij->i", lefts[row[some]], rights[col[some]])
+        near[some] = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * exact)) <= eps
     return row[near], col[near]
 
 
+class _Rows:
+    """The vectors of a block, left in the Arrow buffers they came in; only rows asked for are copied."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.parts = []
+        for chunk in column.chunks:
+            lengths = np.unique(chunk.value_lengths().to_numpy(zero_copy_only=False))
+            if len(lengths) > 1:
+                raise ValueError("vectors differ in width")
+            if len(lengths):
+                self.parts.append(chunk.flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), lengths[0]))
+        self.starts = np.cumsum([0, *map(len, self.parts)])
+
+    def __getitem__(self, index: np.ndarray) -> np.ndarray:
+        home = np.searchsorted(self.starts, index, "right") - 1
+        found = np.empty((len(index), self.parts[0].shape[1]))
+        for part in np.unique(home):
+            here = home == part
+            found[here] = self.parts[part][index[here] - self.starts[part]]
+        return found
+
+
+class _Block:
+    """One side of a task: its columns by name, its vectors apart."""
+
+    def __init__(self, rows: pa.Table):
+        self.vectors = _Rows(rows["vec"])
+        self.columns = rows.drop_columns(["vec"]).to_pandas()
+
+    def __len__(self) -> int:
+        return len(self.columns)
+
+    def __getitem__(self, name: str) -> pd.Series:
+        return self.columns[name]
+
+
+def _vectors(side):
+    return side.vectors if isinstance(side, _Block) else matrix(side["vec"])
+
+
 def _merge(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Labels (the smallest member of each group) after the groups of ``u`` and ``v`` become one."""
     while True:
@@ -81,7 +132,7 @@ def _slices(lefts: pd.DataFrame, rights: pd.DataFrame, pivots: np.ndarray, reach
     triangle inequality leaves them; a pair in the same dense cell need not be compared."""
     home, own = lefts["cell"].to_numpy(), lefts["angle"].to_numpy()
     order = np.lexsort((own, home))
-    vectors, cells = matrix(lefts["vec"]), rights["cell"].to_numpy()
+    vectors, cells = _vectors(lefts), rights["cell"].to_numpy()
     radius = np.full(len(pivots), -np.inf)
     np.maximum.at(radius, cells, rights["angle"].to_numpy())
     for start in range(0, len(order), SLICE_ROWS):
@@ -98,10 +149,20 @@ def _slices(lefts: pd.DataFrame, rights: pd.DataFrame, pivots: np.ndarray, reach
 _POINT = ["id", "vec", "weight", "core", "cell", "angle"]
 
 
-def _meeting(left: DataFrame, right: DataFrame, lb: int, rb: int, comparisons: int):
-    sides = grid_sides(left.select(*_POINT), "id", lb, right.select(*_POINT), "id", rb)
-    left, right = (block_tasks(side, ["lb", "rb"], comparisons).groupBy("lb", "rb") for side in sides)
-    return left.cogroup(right)
+class _Meeting:
+    """Pairs of blocks. A task gets both as tables of Arrow."""
+
+    def __init__(self, left: DataFrame, right: DataFrame, lb: int, rb: int, comparisons: int):
+        sides = grid_sides(left.select(*_POINT), "id", lb, right.select(*_POINT), "id", rb)
+        left, right = (block_tasks(side, ["lb", "rb"], comparisons).groupBy("lb", "rb") for side in sides)
+        self.pairs = left.cogroup(right)
+
+    def applyInPandas(self, task: Callable, schema: str) -> DataFrame:  # noqa: N802
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            found = task(_Block(left), _Block(right))
+            return pa.table({c: pa.array(found[c], pa.bool_() if c == "border" else pa.int64()) for c in found})
+
+        return self.pairs.applyInArrow(run, schema)
 
 
 def _degrees(meeting, eps: float, slices: Callable, enough: float = np.inf) -> DataFrame:
@@ -111,7 +172,7 @@ def _degrees(meeting, eps: float, slices: Callable, enough: float = np.inf) -> D
     def count(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
         if not len(lefts) or not len(rights):
             return pd.DataFrame(columns=["id", "n"])
-        l_vecs, r_vecs = matrix(lefts["vec"]), matrix(rights["vec"])
+        l_vecs, r_vecs = _vectors(lefts), _vectors(rights)
         n, weight = np.zeros(len(lefts)), rights["weight"].to_numpy(np.float64)
         for rows, columns in slices(lefts, rights):
             rows = rows[n[rows] < enough]
@@ -145,14 +206,14 @@ def _links(meeting, eps: float, slices: Callable) -> DataFrame:
     border points (fewer neighbours than ``min_samples`` by definition) to their cores."""
 
     def link(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
-        rights = rights[rights["core"]] if len(rights) else rights
         if not len(lefts) or not len(rights):
             return pd.DataFrame(columns=["u", "v", "border"])
-        l_vecs, r_vecs = matrix(lefts["vec"]), matrix(rights["vec"])
-        core, n_left = lefts["core"].to_numpy(), len(lefts)
+        l_vecs, r_vecs = _vectors(lefts), _vectors(rights)
+        core, core_right, n_left = lefts["core"].to_numpy(), rights["core"].to_numpy(), len(lefts)
         ids = np.r_[lefts["id"].to_numpy(), rights["id"].to_numpy()]
         label, out = np.arange(len(ids)), []
         for every_row, every_column in slices(lefts, rights):
+            every_column = every_column[core_right[every_column]]
             for rows, columns in _unsettled(label, core, every_row, every_column, n_left):
                 row, col = _hits(l_vecs[rows], r_vecs[columns], eps)
                 row, col = rows[row], n_left + columns[col]
@@ -219,14 +280,16 @@ def dbscan(
     lb, rb = grid_counts(n_points, n_points, block_rows, slots, pivots.shape[1])
     comparisons = n_points * n_points
     degrees = _degrees(
-        _meeting(flagged.where(~F.col("core")), flagged, lb, rb, comparisons), eps, slices, max(1, min_samples - reached_weight))
+        _Meeting(flagged.where(~F.col("core")), flagged, lb, rb, comparisons), eps, slices, max(1, min_samples - reached_weight))
     with_core = materialise(
         flagged.join(degrees, "id", "left").withColumn(
             "core", F.col("core") | (F.coalesce("degree", F.lit(0)) + reached_weight >= min_samples)
         ),
         "dbscan-cores",
     )
-    links = materialise(_links(_meeting(with_core, with_core.where("core"), lb, rb, comparisons), eps, slices), "dbscan-links")
+    # A point that meets nothing but itself has no link.
+    met = with_core.where(F.col("core") | (F.col("degree") > F.col("weight")))
+    links = materialise(_links(_Meeting(met, with_core.where("core"), lb, rb, comparisons), eps, slices), "dbscan-links")
     first_of_cell = with_core.where(in_dense).groupBy("cell").agg(F.min("id").alias("v"))
     spokes = with_core.where(in_dense).join(F.broadcast(first_of_cell), "cell").select(F.col("id").alias("u"), "v")
     edges = links.where(~F.col("border")).select("u", "v").unionByName(spokes)

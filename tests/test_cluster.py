@@ -193,3 +193,57 @@ def test_settled_rows_are_not_compared_again(spark, monkeypatch):
     assert sum(compared) < len(points) ** 2 / 4
     true = near.sum(axis=1)
     assert ((degree >= 5) == (true >= 5)).all() and (degree[true < 5] == true[true < 5]).all()
+
+
+def test_a_task_keeps_no_copy_of_its_blocks():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, width = 8 * 512, 512
+    u = rng.standard_normal((n, width))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    u[1::2] = u[::2]
+    parts = [pa.ListArray.from_arrays(np.arange(0, 512 * width + 1, width, dtype=np.int32), u[at : at + 512].ravel()) for at in range(0, n, 512)]
+    rest = {"id": np.arange(n), "weight": np.ones(n, np.int64), "core": np.zeros(n, bool), "cell": np.zeros(n, np.int32), "angle": np.ones(n)}
+    table = pa.table({"vec": pa.chunked_array(parts)} | rest)
+
+    class Meeting:
+        def cogroup(self, _):
+            return self
+
+        def applyInArrow(self, run, _):  # noqa: N802
+            self.found = run(table, table).to_pandas()
+            return self
+
+        def groupBy(self, *_):  # noqa: N802
+            return self
+
+        def agg(self, *_):
+            return self
+
+    def slices(lefts, rights):
+        for at in range(0, n, 64):
+            for start in range(0, n, 256):
+                yield np.arange(at, at + 64), np.arange(start, start + 256)
+
+    meeting = dbscan_module._Meeting.__new__(dbscan_module._Meeting)
+    meeting.pairs = Meeting()
+    tracemalloc.start()
+    found = dbscan_module._degrees(meeting, 0.3, slices).found
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found["n"] == 2).all()
+    assert peak < u.nbytes / 3
+
+
+def test_pairs_at_eps_are_told_apart_in_double_precision():
+    steps = np.r_[-1e-9, 0, 1e-9, -1e-5, 1e-5, -1e-3, 1e-3, 0.2, -0.2]
+    angles = 2 * np.arcsin((0.3 + steps) / 2)
+    rights = np.c_[np.cos(angles), np.sin(angles), np.zeros((len(angles), 62))]
+    lefts = np.eye(1, 64)
+    true = np.sqrt(np.maximum(0, 2 - 2 * (lefts @ rights.T)[0])) <= 0.3
+    assert true[[0, 3, 5, 8]].all() and not true[[2, 4, 6, 7]].any()
+    row, col = dbscan_module._hits(lefts, rights, 0.3)
+    assert (row == 0).all() and sorted(col) == np.flatnonzero(true).tolist()
