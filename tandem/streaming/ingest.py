@@ -22,10 +22,12 @@ def record_stream(
     event_time: str | None = None,
     replay_window: str = "1 hour",
     sheet: str = "sheet_name",
+    as_given: bool = False,
 ) -> DataFrame:
     """Records from a stream of source rows, row by row. The id comes from the source.
 
-    With an event-time column, rows seen again within the replay window are dropped.
+    With an event-time column, rows seen again within the replay window are dropped. ``as_given``
+    takes the values of a typed table as they stand: each row is a record, one of unknown text too.
     """
     if event_time:
         rows = rows.withWatermark(event_time, replay_window).dropDuplicatesWithinWatermark([id_column])
@@ -33,9 +35,11 @@ def record_stream(
     records = rows.select(
         quoted(id_column).cast("bigint").alias("id"),
         quoted(sheet).cast("string").alias("sheet_name"),
-        *[stored_value(quoted(c)).alias(n) for c, n in names.items()],
-        contextual_content(context_columns, content_column, quoted(sheet)).alias("contextual_content"),
-    ).where(strip("contextual_content") != "")
+        *[(quoted(c).cast("string") if as_given else stored_value(quoted(c))).alias(n) for c, n in names.items()],
+        contextual_content(context_columns, content_column, quoted(sheet), as_given).alias("contextual_content"),
+    )
+    if not as_given:
+        records = records.where(strip("contextual_content") != "")
     return records if embedder is None else records.withColumn("embedding", embed_column("contextual_content", embedder))
 
 

@@ -120,3 +120,20 @@ def test_an_arrival_of_many_files_is_one_batch(spark, tmp_path, monkeypatch):
         *[("id", 1, i) for i in (1, 3, 7, 9, 11)], *[("keyword", 1, i) for i in (1, 4, 7, 10, 16)]]
     assert len(list((tmp_path / "work/arrived/part=0").glob("*.parquet"))) > 1
     assert len([f for f in (tmp_path / "work/checkpoint/commits").iterdir() if f.name.isdigit()]) == 7
+
+
+def odd_documents(spark, path):
+    rows = [(0, "red ring", "en", "web"), (1, "", "en", "web"), (2, "NaN", "de", "web"), (3, "  ", "nan", "web"), (4, None, "en", "web"), (5, "x", None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    return [("en", "[sheet] web | [lang] en | [text] red ring"), ("en", "[sheet] web | [lang] en | [text] "),
+            ("de", "[sheet] web | [lang] de | [text] NaN"), ("nan", "[sheet] web | [lang] nan | [text]   "), ("en", None), (None, None)]
+
+
+def test_streamed_documents_keep_empty_and_nan_texts(spark, tmp_path):
+    import queryset
+
+    queryset.load_all()
+    want = odd_documents(spark, tmp_path)
+    got = queryset.QUERIES["stream_ingest"](spark, str(tmp_path)).orderBy("id").collect()
+    assert [(r.col_lang, r.contextual_content) for r in got] == want
+    assert {(r.sheet_name, r.width) for r in got} == {("web", 64)}
