@@ -137,3 +137,15 @@ def test_streamed_documents_keep_empty_and_nan_texts(spark, tmp_path):
     got = queryset.QUERIES["stream_ingest"](spark, str(tmp_path)).orderBy("id").collect()
     assert [(r.col_lang, r.contextual_content) for r in got] == want
     assert {(r.sheet_name, r.width) for r in got} == {("web", 64)}
+
+
+def test_postings_of_streamed_documents_keep_empty_and_nan_texts(spark, tmp_path):
+    import queryset
+
+    queryset.load_all()
+    odd_documents(spark, tmp_path)
+    got = {}
+    for r in queryset.QUERIES["stream_postings"](spark, str(tmp_path)).collect():
+        got.setdefault(r.id, {})[r.term] = r.tf
+    sheet = {"sheet": 1, "web": 1, "lang": 1, "text": 1}
+    assert got == {0: sheet | {"en": 1, "red": 1, "ring": 1}, 1: sheet | {"en": 1}, 2: sheet | {"de": 1, "nan": 1}, 3: sheet | {"nan": 1}}
