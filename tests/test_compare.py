@@ -238,3 +238,15 @@ def test_a_run_without_vectors_finds_right_rows_of_any_id(spark):
     assert {(r.left_id, r.right_id, r.cand_pos) for r in run.candidates.collect()} == {(0, 9001, 1), (2, 9003, 1)}
     jobs = compare.run_many(records, config, judge=Constant()).collect()
     assert {(r.job_id, r.left_id, r.right_id) for r in jobs} == {("a", 0, 9001), ("b", 2, 9003)}
+
+
+def test_the_judge_sees_texts_of_a_typed_table_as_given(spark, tmp_path):
+    import queryset
+
+    queryset.load_all()
+    docs = [(0, "red ring", "en", "web"), (1, "", "en", "web"), (2, "NaN", "en", "web"), (3, None, "en", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "word"), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.id: r.text for r in queryset.QUERIES["judge_text_override"](spark, str(tmp_path)).collect()}
+    start = "[sheet] web | [lang] en | [text] "
+    assert got == {0: "[sheet] benchmark | [item_id] 0 | [n_chars] 4", 2: None, 1: start + "red ring", 3: start, 5: start + "NaN", 7: None}
